@@ -41,13 +41,13 @@ VIEWS = {
         cast(null as varchar) city, n_name state, c_custkey%25<>0 active
         from customer join nation on c_nationkey=n_nationkey where c_custkey%100<>99""",
     "purchase_order_tran_t": f"""select 1 company, {PONO} po_no,
-        row_number() over (partition by {PONO} order by {ORD}) rowid, l_partkey partnum,
+        cast(row_number() over (partition by {PONO} order by {ORD}) as integer) rowid, l_partkey partnum,
         {QTY} quantity, {PRICE} unit_price, {AMOUNT} amount, l_returnflag<>'R' active
         from lineitem""",
     "purchase_order_head_t": f"""select 1 company, po po_no, d po_date, v vendor, po%6<>0 active
         from (select {PONO} po, min(cast(date_trunc('month', l_shipdate) as date)) d,
             min(l_suppkey) v from lineitem group by 1) t""",
-    "goods_receipt_tran_t": f"""select 1 company, po grn_no, rn rowid, l_partkey partnum,
+    "goods_receipt_tran_t": f"""select 1 company, po grn_no, cast(rn as integer) rowid, l_partkey partnum,
         q quantity, up unit_price, cast(q*up as decimal(18,2)) amount, l_returnflag<>'R' active
         from (select {PONO} po, row_number() over (partition by {PONO} order by {ORD}) rn,
             l_partkey, cast({QTY}*cast(case when l_returnflag='A' then 0.5 else 1.0 end
@@ -60,7 +60,7 @@ VIEWS = {
         cast(o_orderdate as date) inv_dt, o_custkey customer, o_orderstatus<>'F' active
         from orders""",
     "sales_invoice_tran_t": f"""select 1 company, l_orderkey inv_no,
-        row_number() over (partition by l_orderkey order by {ORD}) rowid, l_partkey partnum,
+        cast(row_number() over (partition by l_orderkey order by {ORD}) as integer) rowid, l_partkey partnum,
         {QTY} quantity, {PRICE} unit_price, {AMOUNT} amount, l_returnflag<>'R' active
         from lineitem""",
     "stock_update_t": f"""select 1 company,
@@ -79,7 +79,7 @@ VIEWS = {
         case event_id%4 when 2 then 'APPROVED' when 3 then 'REJECTED' else 'PENDING' end status,
         event_id%8<>7 active, ts created
         from events""",
-    "indent_request_tran_t": """select 1 company, event_id indent_id, k rowid, user_id partnum,
+    "indent_request_tran_t": """select 1 company, event_id indent_id, k rowid, cast(user_id as integer) partnum,
         event_type part_desc, cast("value" as decimal(18,2)) quantity,
         case when k=1 then cast(ts as date) end required_date, event_id%5<>0 active
         from events, (values (1),(2)) n(k)

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.functions.ordering import newest
-from tallyhouse.functions.predicates import scoped
 from tallyhouse.operators.documents import PURCHASE, SALES, DocumentKind
 from tallyhouse.tables import Tables
 
@@ -54,16 +53,31 @@ def value_by_party(
     )
 
 
-def revenue_vs_expense(D: Tables, as_of: dt.date, months: int = 6) -> DataFrame:
-    """Sales, purchases, profit clamped at 0, and the unclamped net."""
+def value_by_name(
+    D: Tables, kind: DocumentKind, as_of: dt.date, months: int = 6
+) -> DataFrame:
+    """The same value per partner name; ``known`` is false for partners that are not in
+    the partner table."""
+    parties = kind.parties(D).withColumn("known", F.lit(True))
+    return (
+        value_by_party(D, kind, as_of, months)
+        .join(parties, ["company", kind.party], "left")
+        .groupBy(
+            F.coalesce("known", F.lit(False)).alias("known"),
+            F.col(kind.party_name).alias("name"),
+        )
+        .agg(F.sum("value").cast(VALUE).alias("value"))
+    )
+
+
+def _profit(sales: DataFrame, costs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(VALUE)
-    sales = value_by_party(D, SALES, as_of, months).select(
+    both = sales.select(
         F.col("value").alias("sales_revenue"), zero.alias("purchase_costs")
+    ).unionByName(
+        costs.select(zero.alias("sales_revenue"), F.col("value").alias("purchase_costs"))
     )
-    costs = value_by_party(D, PURCHASE, as_of, months).select(
-        zero.alias("sales_revenue"), F.col("value").alias("purchase_costs")
-    )
-    totals = sales.unionByName(costs).agg(
+    totals = both.agg(
         *[
             F.coalesce(F.sum(c), F.lit(0)).cast(VALUE).alias(c)
             for c in ("sales_revenue", "purchase_costs")
@@ -75,41 +89,46 @@ def revenue_vs_expense(D: Tables, as_of: dt.date, months: int = 6) -> DataFrame:
     )
 
 
-def top_by_value(
-    D: Tables, kind: DocumentKind, as_of: dt.date, n: int = 3, months: int = 6
-) -> DataFrame:
-    """The ``n`` partner names of highest value in the window."""
+def _top(values: DataFrame, n: int) -> DataFrame:
+    """The ``n`` known names of highest value. Known names sort first and are filtered
+    after the cut, which keeps the aggregate below identical wherever it is used, so
+    that Spark computes it once per plan."""
     return (
-        value_by_party(D, kind, as_of, months)
-        .join(kind.parties(D), ["company", kind.party])
-        .groupBy(F.col(kind.party_name).alias("name"))
-        .agg(F.sum("value").cast(VALUE).alias("total_value"))
-        .orderBy(*newest("total_value"), "name")
+        values.orderBy(F.col("known").desc(), *newest("value"), "name")
         .limit(n)
+        .filter("known")
+        .select("name", F.col("value").alias("total_value"))
+    )
+
+
+def _labelled(top: DataFrame, role: str) -> DataFrame:
+    return top.select(
+        F.lit(role).alias("role"),
+        "name",
+        F.format_string(PARTNER_LABELS[role], F.col("name")).alias("label"),
+        F.coalesce("total_value", F.lit(0)).cast(VALUE).alias("value"),
+    )
+
+
+def revenue_vs_expense(D: Tables, as_of: dt.date, months: int = 6) -> DataFrame:
+    """Sales, purchases, profit clamped at 0, and the unclamped net."""
+    return _profit(
+        value_by_party(D, SALES, as_of, months), value_by_party(D, PURCHASE, as_of, months)
     )
 
 
 def top_vendors(D: Tables, as_of: dt.date, n: int = 3) -> DataFrame:
-    return top_by_value(D, PURCHASE, as_of, n)
+    return _top(value_by_name(D, PURCHASE, as_of), n)
 
 
 def top_customers(D: Tables, as_of: dt.date, n: int = 3) -> DataFrame:
-    return top_by_value(D, SALES, as_of, n)
+    return _top(value_by_name(D, SALES, as_of), n)
 
 
 def top_partners(D: Tables, as_of: dt.date, n: int = 3) -> DataFrame:
     """Top vendors and top customers with their role and display label."""
-
-    def labelled(rows: DataFrame, role: str) -> DataFrame:
-        return rows.select(
-            F.lit(role).alias("role"),
-            "name",
-            F.format_string(PARTNER_LABELS[role], F.col("name")).alias("label"),
-            F.coalesce("total_value", F.lit(0)).cast(VALUE).alias("value"),
-        )
-
-    return labelled(top_vendors(D, as_of, n), "Vendor").unionByName(
-        labelled(top_customers(D, as_of, n), "Customer")
+    return _labelled(top_vendors(D, as_of, n), "Vendor").unionByName(
+        _labelled(top_customers(D, as_of, n), "Customer")
     )
 
 
@@ -173,29 +192,41 @@ def recent_transactions(D: Tables, n: int = 5) -> DataFrame:
 
 
 def dashboard_stats(D: Tables, as_of: dt.date) -> DataFrame:
-    """The whole dashboard as (section, label, value) rows of one plan."""
-    money = revenue_vs_expense(D, as_of)
-    pairs = F.array(
-        *[F.struct(F.lit(label).alias("label"), F.col(c).alias("value"))
-          for c, label in MONEY_LABELS.items()]
-    )
+    """The whole dashboard as (section, label, value) rows of one plan. The window's
+    value per partner is the common input of the money and the partner sections."""
+    sales, costs = value_by_name(D, SALES, as_of), value_by_name(D, PURCHASE, as_of)
+    money = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), F.col(c).alias("value"))
+            for c, label in MONEY_LABELS.items()
+        ]
+    )
+    partners = _labelled(_top(costs, 3), "Vendor").unionByName(
+        _labelled(_top(sales, 3), "Customer")
+    )
+    sections = {
+        "revenue_expense": _profit(sales, costs).select(F.inline(money)),
+        "top_partners": partners,
+        "operational_status": operational_status(D, as_of),
+    }
     return _stack(
         [
-            money.select(F.inline(pairs)).select(
-                F.lit("revenue_expense").alias("section"), "label", "value"
-            ),
-            top_partners(D, as_of).select(
-                F.lit("top_partners").alias("section"), "label", "value"
-            ),
-            operational_status(D, as_of).select(
-                F.lit("operational_status").alias("section"),
-                "label",
-                F.col("value").cast(VALUE).alias("value"),
-            ),
+            rows.select(F.lit(name).alias("section"), "label", F.col("value").cast(VALUE))
+            for name, rows in sections.items()
         ]
     )
 
 
+def dashboard_json(D: Tables, as_of: dt.date) -> DataFrame:
+    """The dashboard as JSON, one document {label: value} per section (a dozen rows)."""
+    entries = F.collect_list(F.struct("label", F.col("value").cast("double").alias("value")))
+    return (
+        dashboard_stats(D, as_of)
+        .groupBy("section")
+        .agg(F.to_json(F.map_from_entries(F.sort_array(entries))).alias("json"))
+    )
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     first, *rest = frames
     for frame in rest:

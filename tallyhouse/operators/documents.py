@@ -102,11 +102,11 @@ def document_lines(D: Tables, kind: DocumentKind, keys: DataFrame | None = None)
 
 
 def lines_per_document(D: Tables, kind: DocumentKind) -> DataFrame:
-    """One row per document: its active lines and their value."""
+    """One row per document of company 1: its active lines and their value."""
     active = F.col("active")
     return (
         scoped(kind.lines(D))
-        .groupBy("company", kind.number)
+        .groupBy(kind.number)
         .agg(
             F.count_if(active).alias("line_items"),
             F.sum(F.when(active, F.col("amount")).otherwise(0)).alias("total_amount"),
@@ -122,7 +122,7 @@ def document_register(D: Tables, kind: DocumentKind) -> DataFrame:
         scoped(kind.heads(D))
         .select("company", kind.number, kind.date, kind.party, "active", *extra)
         .join(kind.parties(D), ["company", kind.party], "left")
-        .join(lines_per_document(D, kind), ["company", kind.number], "left")
+        .join(lines_per_document(D, kind), kind.number, "left")
         .select(
             kind.number,
             kind.date,
@@ -164,14 +164,14 @@ def open_pos_for_receipt(D: Tables) -> DataFrame:
     """Active orders that have active lines, newest first, offered for receipt."""
     lines = (
         scoped(D.purchase_order_tran, active=True)
-        .groupBy("company", "po_no")
+        .groupBy("po_no")
         .agg(F.count(F.lit(1)).alias("total_items"), F.sum("amount").alias("total_amount"))
     )
     return (
         scoped(D.purchase_order_head, active=True)
         .select("company", "po_no", "po_date", "vendor", "active")
         .join(PURCHASE.parties(D), ["company", "vendor"], "left")
-        .join(lines, ["company", "po_no"])
+        .join(lines, "po_no")
         .select("po_no", "po_date", "vendor_name", "active", "total_items", "total_amount")
         .orderBy(*newest("po_date", "po_no"))
     )
@@ -191,7 +191,7 @@ def document_totals(D: Tables, kind: DocumentKind) -> DataFrame:
     """Per document: active lines, quantity and amount; zeros without lines."""
     lines = (
         scoped(kind.lines(D), active=True)
-        .groupBy("company", kind.number)
+        .groupBy(kind.number)
         .agg(
             F.count(F.lit(1)).alias("line_count"),
             F.round(F.sum("quantity"), 2).alias("total_quantity"),
@@ -201,8 +201,8 @@ def document_totals(D: Tables, kind: DocumentKind) -> DataFrame:
     sums = ["line_count", "total_quantity", "total_amount"]
     return (
         scoped(kind.heads(D))
-        .select("company", kind.number)
-        .join(lines, ["company", kind.number], "left")
+        .select(kind.number)
+        .join(lines, kind.number, "left")
         .select(kind.number, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     )
 
@@ -211,14 +211,14 @@ def po_item_check(D: Tables) -> DataFrame:
     """Per purchase order: whether it has lines, inactive ones included, and how many."""
     counts = (
         scoped(D.purchase_order_tran)
-        .groupBy("company", "po_no")
+        .groupBy("po_no")
         .agg(F.count(F.lit(1)).alias("item_count"))
     )
     items = F.coalesce("item_count", F.lit(0))
     return (
         scoped(D.purchase_order_head)
-        .select("company", "po_no")
-        .join(counts, ["company", "po_no"], "left")
+        .select("po_no")
+        .join(counts, "po_no", "left")
         .select("po_no", (items > 0).alias("has_items"), items.alias("item_count"))
     )
 

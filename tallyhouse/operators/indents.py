@@ -21,12 +21,12 @@ def indent_register(D: Tables) -> DataFrame:
     """All indents, newest first, with the number of active lines."""
     lines = (
         scoped(D.indent_request_tran, active=True)
-        .groupBy("company", "indent_id")
+        .groupBy("indent_id")
         .agg(F.count("rowid").alias("line_items"))
     )
     return (
         scoped(D.indent_request_head)
-        .join(lines, ["company", "indent_id"], "left")
+        .join(lines, "indent_id", "left")
         .select(
             "indent_id", "indent_dt", "department", "requested_by", "status", "active",
             F.coalesce("line_items", F.lit(0)).alias("line_items"),

@@ -11,10 +11,10 @@ from tallyhouse.tables import Tables
 
 
 def active_value(D: Tables, kind: DocumentKind) -> DataFrame:
-    """Active lines and their value per document."""
+    """Active lines and their value per document of company 1."""
     return (
         scoped(kind.lines(D), active=True)
-        .groupBy("company", kind.number)
+        .groupBy(kind.number)
         .agg(F.count(F.lit(1)).alias("line_items"), F.sum("amount").alias("value"))
     )
 
@@ -24,13 +24,9 @@ def scorecard(D: Tables, kind: DocumentKind) -> DataFrame:
     Partners without documents show 0, 0, 0 and NULL."""
     totals = (
         scoped(kind.heads(D))
-        .select("company", kind.number, kind.party, kind.date, "active")
-        .join(
-            active_value(D, kind).select("company", kind.number, "value"),
-            ["company", kind.number],
-            "left",
-        )
-        .groupBy("company", kind.party)
+        .select(kind.number, kind.party, kind.date, "active")
+        .join(active_value(D, kind).select(kind.number, "value"), kind.number, "left")
+        .groupBy(kind.party)
         .agg(
             F.count(F.lit(1)).alias("total_documents"),
             F.count_if("active").alias("active_documents"),
@@ -41,8 +37,8 @@ def scorecard(D: Tables, kind: DocumentKind) -> DataFrame:
     zeros = ["total_documents", "active_documents", "total_value"]
     return (
         scoped(getattr(D, kind.party_table))
-        .select("company", F.col(kind.party_code).alias(kind.party))
-        .join(totals, ["company", kind.party], "left")
+        .select(F.col(kind.party_code).alias(kind.party))
+        .join(totals, kind.party, "left")
         .select(
             F.col(kind.party).alias(kind.party_code),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in zeros],
@@ -54,9 +50,9 @@ def scorecard(D: Tables, kind: DocumentKind) -> DataFrame:
 def recent_documents(D: Tables, kind: DocumentKind, n: int = 10) -> DataFrame:
     """The newest ``n`` documents of each partner with active line count and value.
     The rank needs heads only, so lines join the few documents that remain."""
-    heads = scoped(kind.heads(D)).select("company", kind.number, kind.date, kind.party, "active")
-    recent = top_n_per(heads, ["company", kind.party], newest(kind.date, kind.number), n)
-    return recent.join(active_value(D, kind), ["company", kind.number], "left").select(
+    heads = scoped(kind.heads(D)).select(kind.number, kind.date, kind.party, "active")
+    recent = top_n_per(heads, [kind.party], newest(kind.date, kind.number), n)
+    return recent.join(active_value(D, kind), kind.number, "left").select(
         F.col(kind.party).alias(kind.party_code),
         kind.number,
         kind.date,
@@ -72,28 +68,23 @@ def top_parts(D: Tables, kind: DocumentKind, n: int = 5) -> DataFrame:
     sums = ["purchase_count", "total_quantity", "total_value"]
     bought = (
         scoped(kind.lines(D), active=True)
-        .select("company", kind.number, "partnum", "quantity", "amount")
-        .join(
-            scoped(kind.heads(D)).select("company", kind.number, kind.party),
-            ["company", kind.number],
-        )
-        .groupBy("company", kind.party, "partnum")
+        .select(kind.number, "partnum", "quantity", "amount")
+        .join(scoped(kind.heads(D)).select(kind.number, kind.party), kind.number)
+        .groupBy(kind.party, "partnum")
         .agg(
             F.count(F.lit(1)).alias(sums[0]),
             F.sum("quantity").alias(sums[1]),
             F.sum("amount").alias(sums[2]),
         )
     )
-    parts = D.part.select(
-        "company", F.col("part_num").alias("partnum"), "part_num", "part_desc"
-    )
+    parts = scoped(D.part).select(F.col("part_num").alias("partnum"), "part_num", "part_desc")
     named = (
-        bought.join(parts, ["company", "partnum"], "left")
-        .groupBy("company", kind.party, "part_num", "part_desc")
+        bought.join(parts, "partnum", "left")
+        .groupBy(kind.party, "part_num", "part_desc")
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
     order = [*newest("total_value"), F.col("part_num").asc_nulls_last()]
-    return top_n_per(named, ["company", kind.party], order, n).select(
+    return top_n_per(named, [kind.party], order, n).select(
         F.col(kind.party).alias(kind.party_code), "part_num", "part_desc", *sums
     )
 
@@ -101,13 +92,11 @@ def top_parts(D: Tables, kind: DocumentKind, n: int = 5) -> DataFrame:
 def part_recent_documents(D: Tables, kind: DocumentKind, n: int = 5) -> DataFrame:
     """The newest ``n`` active lines of each part with document and partner."""
     lines = scoped(kind.lines(D), active=True).select(
-        "company", kind.number, "rowid", "partnum", "quantity", "unit_price", "amount"
+        kind.number, "rowid", "partnum", "quantity", "unit_price", "amount"
     )
     heads = scoped(kind.heads(D)).select("company", kind.number, kind.date, kind.party)
     order = [*newest(kind.date, kind.number), F.col("rowid")]
-    recent = top_n_per(
-        lines.join(heads, ["company", kind.number]), ["company", "partnum"], order, n
-    )
+    recent = top_n_per(lines.join(heads, kind.number), ["partnum"], order, n)
     return recent.join(kind.parties(D), ["company", kind.party], "left").select(
         F.col("partnum").alias("part_num"),
         kind.number,

@@ -15,16 +15,16 @@ def grn_summary(D: Tables, distinct: bool = False) -> DataFrame:
     ``distinct`` counts each receipt once."""
     lines = (
         scoped(D.goods_receipt_tran)
-        .groupBy("company", "grn_no")
+        .groupBy("grn_no")
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum(F.when(F.col("active"), F.col("amount")).otherwise(0)).alias("value"),
         )
     )
-    heads = scoped(D.goods_receipt_head).select("company", "grn_no", "vendor", "active")
+    heads = scoped(D.goods_receipt_head).select("grn_no", "vendor", "active")
     weight = F.lit(1) if distinct else F.coalesce("lines", F.lit(1))
     without_lines = F.col("lines").isNull()
-    return heads.join(lines, ["company", "grn_no"], "left").agg(
+    return heads.join(lines, "grn_no", "left").agg(
         F.coalesce(F.sum(weight), F.lit(0)).alias("total_grns"),
         F.coalesce(F.sum(F.when(F.col("active"), weight)), F.lit(0)).alias("active_grns"),
         F.sum(F.when(without_lines, 0).otherwise(F.col("value"))).alias("total_value"),
@@ -38,25 +38,33 @@ def received_quantity(D: Tables, per_po: bool = False) -> DataFrame:
     total = F.sum("quantity").alias("already_received")
     if not per_po:
         return lines.groupBy("partnum").agg(total)
-    heads = scoped(D.goods_receipt_head).select("company", "grn_no", "po_no")
-    per_receipt = lines.groupBy("company", "grn_no", "partnum").agg(
+    heads = scoped(D.goods_receipt_head).select("grn_no", "po_no")
+    per_receipt = lines.groupBy("grn_no", "partnum").agg(
         F.sum("quantity").alias("quantity")
     )
-    return per_receipt.join(heads, ["company", "grn_no"]).groupBy("po_no", "partnum").agg(total)
+    return per_receipt.join(heads, "grn_no").groupBy("po_no", "partnum").agg(total)
 
 
 def po_receipt_status(D: Tables, per_po: bool = False) -> DataFrame:
     """Active order lines with received and pending quantity. As published, receipts
     are summed per part over all orders, so pending can be negative; ``per_po`` matches
-    receipts to their own order."""
-    keys = ["po_no", "partnum"] if per_po else ["partnum"]
+    receipts to their own order.
+
+    Per part, labels and received quantity are put together first: the order lines then
+    meet one table with one row per part, a join whose hot parts Spark can split.
+    """
+    lines = scoped(D.purchase_order_tran, active=True).select(
+        "po_no", "rowid", "partnum", "quantity", "unit_price", "amount"
+    )
+    parts = scoped(parts_with_unit(D)).drop("company")
+    received = received_quantity(D, per_po)
+    if per_po:
+        rows = lines.join(received, ["po_no", "partnum"], "left").join(parts, "partnum", "left")
+    else:
+        rows = lines.join(parts.join(received, "partnum", "full_outer"), "partnum", "left")
     received = F.coalesce("already_received", F.lit(0)).cast("decimal(28,2)")
     return (
-        scoped(D.purchase_order_tran, active=True)
-        .select("company", "po_no", "rowid", "partnum", "quantity", "unit_price", "amount")
-        .join(received_quantity(D, per_po), keys, "left")
-        .join(parts_with_unit(D), ["company", "partnum"], "left")
-        .select(
+        rows.select(
             "po_no", "rowid", "partnum", "part_desc", "quantity", "unit_price", "amount",
             "unit_desc",
             received.alias("already_received"),
