@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
+from oracle_posts import POSTS  # noqa: E402
 from oracle_reads import READS  # noqa: E402
 from oracle_views import with_views  # noqa: E402
 from tallyhouse.functions import predicates as P, values as V  # noqa: E402
@@ -25,12 +26,22 @@ from tallyhouse.operators import (  # noqa: E402
     receipts,
     stock,
 )
+from tallyhouse.plans import (  # noqa: E402
+    documents as post_docs,
+    indents as post_indents,
+    masters as post_masters,
+    stock as post_stock,
+    validation,
+)
+from tallyhouse.plans.batches import Posting  # noqa: E402
+from tallyhouse.sources import star_batches as forms  # noqa: E402
 from tallyhouse.sources.readers import lookup  # noqa: E402
 from tallyhouse.sources.sinks import to_json_rows  # noqa: E402
 from tallyhouse.sources.star import star_tables  # noqa: E402
 from tallyhouse.tables import Tables  # noqa: E402
 
 AS_OF = dt.date(2001, 8, 1)
+NOW = dt.datetime(2001, 8, 1, 12)
 FILTERS = {
     "party": "00",
     "part": "p_rt",
@@ -232,6 +243,145 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _reasons(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+def _invoices(D: Tables) -> Posting:
+    return post_docs.post_documents(D, SI, forms.invoice_forms(D), AS_OF)
+
+
+def _order_edits(D: Tables) -> Posting:
+    return post_docs.replace_documents(D, PO, forms.order_edits(D), AS_OF)
+
+
+def _deleted_orders(D: Tables) -> Posting:
+    """The orders of inactive vendors."""
+    inactive = D.vendor.filter("not active").select(F.col("vendor_code").alias("vendor"))
+    keys = D.purchase_order_head.join(inactive, "vendor", "left_semi")
+    return post_docs.soft_delete(D, "purchase", keys, AS_OF)
+
+
+def _deleted_vendors(D: Tables) -> Posting:
+    """The vendors of inactive orders."""
+    keys = D.purchase_order_head.filter("not active").select(F.col("vendor").alias("vendor_code"))
+    return post_docs.soft_delete(D, "vendor", keys, AS_OF)
+
+
+def _receipts(D: Tables) -> Posting:
+    return post_stock.post_receipts(D, forms.receipt_forms(D), AS_OF)
+
+
+def _movements(D: Tables) -> Posting:
+    return post_stock.post_movements(D, forms.movement_forms(D), AS_OF)
+
+
+def _new_indents(D: Tables) -> Posting:
+    return post_indents.create_indents(D, forms.new_indents(D), NOW)
+
+
+def _indent_edits(D: Tables) -> Posting:
+    return post_indents.update_indents(D, forms.indent_edits(D), NOW)
+
+
+def _decisions(D: Tables, strict: bool = False) -> Posting:
+    return post_indents.transition_indents(D, forms.indent_decisions(D), strict)
+
+
+def _parts(D: Tables) -> Posting:
+    return post_masters.upsert_master(D, "part", forms.part_forms(D), AS_OF)
+
+
+LEDGER = ["update_id", "part_num", "type", "qty", "update_date"]
+
+POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
+    "post_invoices_heads": lambda D: _invoices(D).added[SI.head].select(
+        "inv_no", "inv_dt", "customer", "active", "updated"
+    ),
+    "post_invoices_lines": lambda D: _invoices(D).added[SI.tran].select(
+        "inv_no", "rowid", "partnum", "quantity", "unit_price", "amount", "active"
+    ),
+    "post_invoices_rejects": lambda D: _reasons(_invoices(D).rejects, "submission_id"),
+    "replace_orders_heads": lambda D: _order_edits(D).state[PO.head].select(
+        "po_no", "po_date", "vendor", "remarks", "active"
+    ),
+    "replace_orders_lines": lambda D: _order_edits(D).state[PO.tran].select(
+        "po_no", "rowid", "partnum", "quantity", "amount", "active"
+    ),
+    "replace_orders_rejects": lambda D: _reasons(_order_edits(D).rejects, "submission_id"),
+    "delete_orders_heads": lambda D: _deleted_orders(D).state[PO.head].select("po_no", "active"),
+    "delete_orders_lines": lambda D: _deleted_orders(D).state[PO.tran].select(
+        "po_no", "rowid", "active"
+    ),
+    "delete_vendors": lambda D: _deleted_vendors(D).state["vendor"].select(
+        "vendor_code", "active"
+    ),
+    "delete_vendors_rejects": lambda D: _reasons(_deleted_vendors(D).rejects, "vendor_code"),
+    "post_receipts_heads": lambda D: _receipts(D).added[GR.head].select(
+        "grn_no", "grn_dt", "po_no", "vendor", "active"
+    ),
+    "post_receipts_lines": lambda D: _receipts(D).added[GR.tran].select(
+        "grn_no", "rowid", "partnum", "quantity", "unit_price", "amount"
+    ),
+    "post_receipts_movements": lambda D: _receipts(D).added["stock_update"].select(*LEDGER),
+    "post_receipts_rejects": lambda D: _reasons(_receipts(D).rejects, "submission_id"),
+    "post_receipts_on_hand": lambda D: stock.ledger_level(_receipts(D).apply(D)),
+    "post_movements": lambda D: _movements(D).added["stock_update"].select(*LEDGER),
+    "post_movements_rejects": lambda D: _reasons(_movements(D).rejects, "submission_id"),
+    "post_adjustments": lambda D: post_stock.post_adjustments(
+        D, forms.movement_forms(D), AS_OF
+    ).added["stock_update"].select(*LEDGER),
+    "create_indents_heads": lambda D: _new_indents(D).added["indent_request_head"].select(
+        "indent_id", "indent_dt", "department", "requested_by", "status", "active"
+    ),
+    "create_indents_lines": lambda D: _new_indents(D).added["indent_request_tran"].select(
+        "indent_id", "rowid", "partnum", "part_desc", "quantity", "required_date", "active"
+    ),
+    "create_indents_rejects": lambda D: _reasons(_new_indents(D).rejects, "submission_id"),
+    "update_indents_heads": lambda D: _indent_edits(D).state["indent_request_head"].select(
+        "indent_id", "indent_dt", "department", "remarks", "status"
+    ),
+    "update_indents_lines": lambda D: _indent_edits(D).state["indent_request_tran"].select(
+        "indent_id", "rowid", "quantity", "active"
+    ),
+    "update_indents_rejects": lambda D: _reasons(_indent_edits(D).rejects, "submission_id"),
+    "transition_indents": lambda D: _decisions(D).state["indent_request_head"].select(
+        "indent_id", "status"
+    ),
+    "transition_indents_strict": lambda D: _decisions(D, True).state[
+        "indent_request_head"
+    ].select("indent_id", "status"),
+    "transition_indents_rejects": lambda D: _reasons(
+        _decisions(D).rejects, "indent_id", "status"
+    ),
+    "upsert_parts": lambda D: _parts(D).state["part"].select(
+        "part_num", "part_desc", "part_category", "pur_price", "active"
+    ),
+    "upsert_parts_rejects": lambda D: _reasons(_parts(D).rejects, "submission_id"),
+    "upsert_vendors": lambda D: post_masters.upsert_master(
+        D, "vendor", forms.vendor_forms(D), AS_OF
+    ).state["vendor"].select("vendor_code", "vendor_name", "gst", "active"),
+    "validate_lines": lambda D: _reasons(
+        validation.validate(forms.tax_lines(D), "line")[1], "submission_id", "position"
+    ),
+    "validate_vendors": lambda D: _reasons(
+        validation.validate(forms.shared_vendor_names(D), "vendor")[1], "vendor_code"
+    ),
+    "validate_adjustments": lambda D: _reasons(
+        validation.validate(forms.movement_forms(D), "adjustment")[1], "submission_id"
+    ),
+    "validate_indents": lambda D: _reasons(
+        validation.validate(D.indent_request_head, "indent")[1], "indent_id"
+    ),
+    "validate_documents": lambda D: _reasons(
+        validation.validate_documents(forms.invoice_forms(D))[1], "submission_id"
+    ),
+    "validate_receipts": lambda D: _reasons(
+        validation.validate_receipts(D, forms.receipt_forms(D), per_po=True)[1], "submission_id"
+    ),
+}
+
+
 def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))
 
@@ -242,8 +392,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _registered(report) for name, report in REPORTS.items()}
+    return {name: _registered(report) for name, report in {**REPORTS, **POSTINGS}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(READS[name]) for name in REPORTS if name in READS}
+    return {name: with_views(sql) for name, sql in {**READS, **POSTS}.items()}
