@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -36,7 +37,13 @@ from tallyhouse.plans import (  # noqa: E402
 from tallyhouse.plans.batches import Posting  # noqa: E402
 from tallyhouse.sources import star_batches as forms  # noqa: E402
 from tallyhouse.sources.readers import lookup  # noqa: E402
-from tallyhouse.sources.sinks import to_json_rows  # noqa: E402
+from tallyhouse.sources.checkpoints import shared_folder  # noqa: E402
+from tallyhouse.sources.sinks import (  # noqa: E402
+    append,
+    export_report,
+    read_appended,
+    to_json_rows,
+)
 from tallyhouse.sources.star import star_tables  # noqa: E402
 from tallyhouse.tables import Tables  # noqa: E402
 
@@ -209,6 +216,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "operational_status": lambda D: dashboard.operational_status(D, AS_OF),
     "recent_transactions": dashboard.recent_transactions,
     "dashboard_stats": lambda D: dashboard.dashboard_stats(D, AS_OF),
+    "dashboard_json": lambda D: dashboard.dashboard_json(D, AS_OF),
     "indent_status_counts": indents.indent_status_counts,
     "grn_summary": receipts.grn_summary,
     "grn_summary_distinct": lambda D: receipts.grn_summary(D, distinct=True),
@@ -294,6 +302,28 @@ def _parts(D: Tables) -> Posting:
 
 LEDGER = ["update_id", "part_num", "type", "qty", "update_date"]
 
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _append_ledger(D: Tables) -> DataFrame:
+    """The ledger appended by month and read back for the months of three years."""
+    rows = D.stock_update
+    path = _new_path(rows.sparkSession, "ledger")
+    append(rows, path, "update_date")
+    back = read_appended(rows.sparkSession, path, "stock_update", "1996-01", "1998-12")
+    return back.select(*LEDGER)
+
+
+def _export_register(D: Tables) -> DataFrame:
+    """The order register exported as CSV with display dates and read back."""
+    register = documents.po_register(D)
+    path = _new_path(register.sparkSession, "register")
+    export_report(register, path, "csv", "day_first")
+    layout = register.withColumn("po_date", F.lit("")).schema
+    return register.sparkSession.read.csv(path, header=True, schema=layout)
+
 POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "post_invoices_heads": lambda D: _invoices(D).added[SI.head].select(
         "inv_no", "inv_dt", "customer", "active", "updated"
@@ -386,13 +416,19 @@ def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))
 
 
+SINKS = {"append_ledger": _append_ledger, "export_po_register": _export_register}
+
+
+ALL = {**REPORTS, **POSTINGS, **SINKS}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The purchase order register over the smallest data set."""
     return _doubles(documents.po_register(star_tables(spark, "/root/testdata/sf0.001")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _registered(report) for name, report in {**REPORTS, **POSTINGS}.items()}
+    return {name: _registered(report) for name, report in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -220,6 +220,17 @@ POSTS = {
             select part_num, case when type = 'IN' then qty else -qty end as q
                 from stock_update_t where part_num is not null
             union all select partnum, quantity from received) x group by part_num""",
+    "append_ledger": f"""
+        select update_id, part_num, type, {d("qty")}, update_date from stock_update_t
+        where update_date between DATE '1996-01-01' and DATE '1998-12-31'""",
+    "export_po_register": f"""
+        select h.po_no, strftime(h.po_date, '%d-%m-%Y') as po_date, v.vendor_name, h.active,
+            count(case when t.active then t.rowid end) as line_items,
+            {d("sum(case when t.active then t.amount else 0 end)", "total_amount")}
+        from purchase_order_head_t h
+        left join vendor_t v on h.vendor = v.vendor_code
+        left join purchase_order_tran_t t on h.po_no = t.po_no
+        group by 1, 2, 3, 4""",
     "post_movements": _movements("('IN', 'OUT')"),
     "post_adjustments": _movements("('INCREASE', 'DECREASE')"),
     "post_movements_rejects": """

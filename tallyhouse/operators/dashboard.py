@@ -219,7 +219,7 @@ def dashboard_stats(D: Tables, as_of: dt.date) -> DataFrame:
 
 def dashboard_json(D: Tables, as_of: dt.date) -> DataFrame:
     """The dashboard as JSON, one document {label: value} per section (a dozen rows)."""
-    entries = F.collect_list(F.struct("label", F.col("value").cast("double").alias("value")))
+    entries = F.collect_list(F.struct("label", "value"))
     return (
         dashboard_stats(D, as_of)
         .groupBy("section")

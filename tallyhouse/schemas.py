@@ -5,7 +5,7 @@ starts with ``company``.  Documents are a head table and a line ("tran") table.
 """
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 MONEY = "decimal(18,2)"
 PERCENT = "decimal(5,2)"
@@ -57,7 +57,7 @@ DDL = {
 
 
 def schema(table: str) -> StructType:
-    return _parse_datatype_string(DDL[table])
+    return StructType.fromDDL(DDL[table])
 
 
 def columns(table: str) -> list[str]:

@@ -1,10 +1,69 @@
-"""Writing results: JSON rows, month-partitioned appends, report files."""
+"""Writing results: JSON rows, month-partitioned appends, report files, publications."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyhouse.functions.values import date_text
+from tallyhouse.schemas import conform, schema
+from tallyhouse.tables import Tables
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON document per row, in a single ``json`` column."""
     return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def append(df: DataFrame, path: str, date: str) -> None:
+    """Appends rows under ``month=yyyy-MM`` folders. Rows are rebalanced by month first:
+    Spark merges small months into few files and splits a month that is too large for
+    one task."""
+    dated = df.withColumn("month", F.date_format(date, "yyyy-MM"))
+    dated.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+
+
+def read_appended(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    month_from: str | None = None,
+    month_to: str | None = None,
+) -> DataFrame:
+    """Rows written by ``append``; months outside the range are not read at all."""
+    layout = schema(table).add("month", "string")
+    rows = spark.read.schema(layout).parquet(path)
+    if month_from:
+        rows = rows.filter(F.col("month") >= month_from)
+    if month_to:
+        rows = rows.filter(F.col("month") <= month_to)
+    return conform(rows, table)
+
+
+def export_report(
+    df: DataFrame, path: str, fmt: str = "csv", date_style: str | None = None
+) -> None:
+    """A report as ``csv`` with header, ``json`` or ``parquet`` files; ``date_style``
+    writes dates as text in one of the display formats."""
+    if date_style:
+        dates = [f.name for f in df.schema if f.dataType.typeName() in ("date", "timestamp")]
+        df = df.withColumns({c: date_text(F.col(c), date_style) for c in dates})
+    options = {"header": True} if fmt == "csv" else {}
+    df.write.mode("overwrite").format(fmt).options(**options).save(path)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes a new version of the tables next to the old ones and names it current last,
+    so readers see either all of a batch or nothing of it."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    current = spark.range(1).select(F.lit(version).alias("version"))
+    current.write.mode("append").parquet(f"{root}/versions")
+
+
+def published(spark: SparkSession, root: str) -> Tables:
+    """The tables of the highest published version."""
+    marks = spark.read.schema("version string").parquet(f"{root}/versions")
+    version = marks.agg(F.max("version")).first()[0]
+    return Tables(
+        lambda name: spark.read.schema(schema(name)).parquet(f"{root}/{version}/{name}")
+    )
