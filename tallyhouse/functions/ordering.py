@@ -53,10 +53,7 @@ def running_totals(
         *parts, *[F.sum(f"_{n}_total").over(before).alias(f"_{n}_opening") for n in measures]
     )
     within = df.withColumns({f"_{n}_within": F.sum(m).over(inside) for n, m in measures.items()})
-    return within.join(opening, parts, "left").select(
-        *[F.col(c) for c in df.columns],
-        *[
-            (F.coalesce(F.col(f"_{n}_opening"), F.lit(0)) + F.col(f"_{n}_within")).alias(n)
-            for n in measures
-        ],
+    return within.join(opening, parts, "left").selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"coalesce(_{n}_opening, 0) + _{n}_within as {n}" for n in measures],
     )

@@ -4,7 +4,9 @@ Money and quantities are ``decimal(18,2)``; the natural key of every table
 starts with ``company``.  Documents are a head table and a line ("tran") table.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from functools import cache
+
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 MONEY = "decimal(18,2)"
@@ -56,6 +58,7 @@ DDL = {
 }
 
 
+@cache
 def schema(table: str) -> StructType:
     return StructType.fromDDL(DDL[table])
 
@@ -67,9 +70,10 @@ def columns(table: str) -> list[str]:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the columns of ``table`` in order, typed; absent ones become NULL."""
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()})"
+            f" as `{f.name}`"
             for f in schema(table)
         ]
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyhouse.functions.values import date_text
 from tallyhouse.schemas import conform, schema
@@ -30,7 +31,7 @@ def read_appended(
     month_to: str | None = None,
 ) -> DataFrame:
     """Rows written by ``append``; months outside the range are not read at all."""
-    layout = schema(table).add("month", "string")
+    layout = StructType([*schema(table), StructField("month", StringType())])
     rows = spark.read.schema(layout).parquet(path)
     if month_from:
         rows = rows.filter(F.col("month") >= month_from)

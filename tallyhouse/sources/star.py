@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions.ordering import running_totals
-from tallyhouse.schemas import conform
+from tallyhouse.schemas import conform, schema
 from tallyhouse.tables import Tables
 
 STAR_DDL = {
@@ -49,21 +49,27 @@ def star_tables(spark: SparkSession, path: str) -> Tables:
     return Tables(_Star(spark, path).table)
 
 
-def _columns(df: DataFrame, **expressions: str) -> DataFrame:
-    return df.select(*[F.expr(e).alias(n) for n, e in expressions.items()])
-
-
 def _po_number() -> Column:
     return F.expr("l_suppkey * 1000 + (year(l_shipdate) - 1995) * 12 + month(l_shipdate)")
 
 
+def _rows(df: DataFrame, table: str, **expressions: str) -> DataFrame:
+    """The columns of ``table`` from SQL expressions, typed; absent ones are NULL."""
+    return df.selectExpr(
+        *[
+            f"cast({expressions.get(f.name, 'null')} as {f.dataType.simpleString()}) as `{f.name}`"
+            for f in schema(table)
+        ]
+    )
+
+
 class _Star:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
     def table(self, name: str) -> DataFrame:
-        return conform(getattr(self, name)(), name)
+        return getattr(self, name)()
 
     def read(self, name: str) -> DataFrame:
         return read_star(self.spark, self.path, name)
@@ -78,14 +84,16 @@ class _Star:
         )
 
     def tax(self) -> DataFrame:
-        return self.spark.sql(
+        rows = self.spark.sql(
             "select * from values (1, 0, 'GST 5', 5, true), (1, 1, 'GST 12', 12, true),"
             " (1, 2, 'GST 18', 18, false) as t(company, tax_id, tax_desc, tax_percent, active)"
         )
+        return conform(rows, "tax")
 
     def part(self) -> DataFrame:
-        return _columns(
+        return _rows(
             self.read("part"),
+            "part",
             company="1",
             part_num="p_partkey",
             part_desc="p_name",
@@ -109,8 +117,9 @@ class _Star:
         rows = self.read("supplier").join(
             self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")
         )
-        return _columns(
+        return _rows(
             rows.filter("s_suppkey % 50 <> 49"),
+            "vendor",
             company="1",
             vendor_code="s_suppkey",
             vendor_name="s_name",
@@ -124,8 +133,9 @@ class _Star:
         rows = self.read("customer").join(
             self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
-        return _columns(
+        return _rows(
             rows.filter("c_custkey % 100 <> 99"),
+            "customer",
             company="1",
             customer_code="c_custkey",
             customer_name="c_name",
@@ -137,8 +147,9 @@ class _Star:
         lines = running_totals(
             self.purchase_lines(), ["po"], ["l_orderkey"], LINE_ORDER, rowid=F.lit(1)
         )
-        return _columns(
+        return _rows(
             lines,
+            "purchase_order_tran",
             company="1",
             po_no="po",
             rowid="rowid",
@@ -154,8 +165,9 @@ class _Star:
             F.min(F.trunc(F.col("l_shipdate").cast("date"), "month")).alias("opened"),
             F.min("l_suppkey").alias("supplier"),
         )
-        return _columns(
+        return _rows(
             heads,
+            "purchase_order_head",
             company="1",
             po_no="po",
             po_date="opened",
@@ -177,8 +189,9 @@ class _Star:
                 as decimal(2,1)) as decimal(18,2))"""
             ),
         )
-        return _columns(
+        return _rows(
             received,
+            "goods_receipt_tran",
             company="1",
             grn_no="po",
             rowid="rowid",
@@ -191,8 +204,9 @@ class _Star:
 
     def goods_receipt_head(self) -> DataFrame:
         received = self.received_lines().select(F.col("po").alias("po_no")).distinct()
-        return _columns(
+        return _rows(
             self.purchase_order_head().join(received, "po_no", "left_semi"),
+            "goods_receipt_head",
             company="1",
             grn_no="po_no",
             grn_dt="date_add(po_date, 14)",
@@ -202,8 +216,9 @@ class _Star:
         )
 
     def sales_invoice_head(self) -> DataFrame:
-        return _columns(
+        return _rows(
             self.read("orders"),
+            "sales_invoice_head",
             company="1",
             inv_no="o_orderkey",
             inv_dt="cast(o_orderdate as date)",
@@ -219,8 +234,9 @@ class _Star:
             LINE_ORDER,
             rowid=F.lit(1),
         )
-        return _columns(
+        return _rows(
             lines,
+            "sales_invoice_tran",
             company="1",
             inv_no="l_orderkey",
             rowid="rowid",
@@ -239,8 +255,9 @@ class _Star:
             ["l_shipdate", *LINE_ORDER],
             position=F.lit(1),
         )
-        return _columns(
+        return _rows(
             ledger,
+            "stock_update",
             company="1",
             update_id="l_partkey * 100000 + position",
             part_num="case when l_partkey % 97 = 0 then null else l_partkey end",
@@ -252,8 +269,9 @@ class _Star:
         )
 
     def indent_request_head(self) -> DataFrame:
-        return _columns(
+        return _rows(
             self.read("events"),
+            "indent_request_head",
             company="1",
             indent_id="event_id",
             indent_dt="cast(ts as date)",
@@ -271,8 +289,9 @@ class _Star:
             F.array(F.lit(1))
         )
         rows = self.read("events").filter("event_id % 3 <> 0").withColumn("k", F.explode(slots))
-        return _columns(
+        return _rows(
             rows,
+            "indent_request_tran",
             company="1",
             indent_id="event_id",
             rowid="k",

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyhouse.plans.stock import MOVEMENTS, post_movements
 from tallyhouse.schemas import schema
@@ -16,7 +17,8 @@ LEDGER = "stock_update"
 
 def read_ledger(spark, path: str) -> DataFrame:
     """The ledger written by ``post_stream`` with the micro-batch of each row."""
-    return spark.read.schema(schema(LEDGER).add("arrival", "long")).parquet(path)
+    layout = StructType([*schema(LEDGER), StructField("arrival", LongType())])
+    return spark.read.schema(layout).parquet(path)
 
 
 def post_stream(
