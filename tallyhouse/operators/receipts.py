@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.functions.values import money
 from tallyhouse.operators.documents import parts_with_unit
@@ -50,18 +51,20 @@ def po_receipt_status(D: Tables, per_po: bool = False) -> DataFrame:
     are summed per part over all orders, so pending can be negative; ``per_po`` matches
     receipts to their own order.
 
-    Per part, labels and received quantity are put together first: the order lines then
-    meet one table with one row per part, a join whose hot parts Spark can split.
+    Per part, labels and received quantity are put together first, so that the order lines
+    are shuffled by part only once.
     """
     lines = scoped(D.purchase_order_tran, active=True).select(
         "po_no", "rowid", "partnum", "quantity", "unit_price", "amount"
     )
-    parts = scoped(parts_with_unit(D)).drop("company")
+    parts = scoped(parts_with_unit(D)).select("partnum", "part_desc", "unit_desc")
     received = received_quantity(D, per_po)
     if per_po:
-        rows = lines.join(received, ["po_no", "partnum"], "left").join(parts, "partnum", "left")
+        rows = with_per_key(lines, received, ["po_no", "partnum"])
+        rows = rows.join(parts, "partnum", "left")
     else:
-        rows = lines.join(parts.join(received, "partnum", "full_outer"), "partnum", "left")
+        per_part = parts.join(received, "partnum", "full_outer")
+        rows = with_per_key(lines, per_part, ["partnum"])
     received = F.coalesce("already_received", F.lit(0)).cast("decimal(28,2)")
     return (
         rows.select(

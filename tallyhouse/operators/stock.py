@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.ordering import by_label, running_totals
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.functions.values import sign_label, signed_quantity, stock_status
@@ -12,7 +13,7 @@ from tallyhouse.tables import Tables
 LEVEL = "decimal(28,2)"
 
 # Ids per ledger segment: bounds how many rows of one part and day share a task.
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 100_000_000
 
 
 def ledger_level(D: Tables, sign: str = "reference") -> DataFrame:
@@ -159,7 +160,7 @@ def project_stock(movements: DataFrame, D: Tables, sign: str = "reference") -> D
     change = signed_quantity(F.col("type"), F.col("quantity"), "adjusted")
     current = F.coalesce("current_stock", F.lit(0)).cast(LEVEL)
     return (
-        movements.join(ledger_level(D, sign), "part_num", "left")
+        with_per_key(movements, ledger_level(D, sign), ["part_num"])
         .withColumn("current_stock", current)
         .withColumn("new_stock", (F.col("current_stock") + change).cast(LEVEL))
         .withColumns(

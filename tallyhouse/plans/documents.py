@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.operators.catalog import LOOKUPS
 from tallyhouse.operators.documents import KINDS, DocumentKind
@@ -106,11 +107,8 @@ def deactivated(
     rows: DataFrame, keys: DataFrame, on: str, as_of: dt.date | None = None
 ) -> DataFrame:
     """``rows`` of company 1 whose key is in ``keys`` (distinct) switched off."""
-    marked = rows.join(
-        keys.select(F.lit(1).alias("company"), on, F.lit(True).alias("_hit")),
-        ["company", on],
-        "left",
-    )
+    listed = keys.select(F.lit(1).alias("company"), on, F.lit(True).alias("_hit"))
+    marked = with_per_key(rows, listed, ["company", on])
     changes = {"active": F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("active"))}
     if as_of is not None:
         changes["updated"] = F.when(F.col("_hit"), F.lit(as_of)).otherwise(F.col("updated"))

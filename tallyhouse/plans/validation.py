@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.operators.receipts import po_receipt_status
 from tallyhouse.plans.batches import Batch, accepted, filled, with_reasons
 from tallyhouse.tables import Tables
@@ -142,10 +143,11 @@ def validate_receipts(D: Tables, batch: Batch, per_po: bool = False) -> tuple[Da
         .agg(F.max("pending_qty").alias("pending"))
     )
     received = F.coalesce(_number("quantity"), F.lit(0))
+    entered = batch.lines.join(
+        batch.heads.select("submission_id", "po_no"), "submission_id"
+    ).withColumns({"part": F.col("part_num").try_cast("bigint"), "received": received})
     lines = (
-        batch.lines.join(batch.heads.select("submission_id", "po_no"), "submission_id")
-        .withColumns({"part": F.col("part_num").try_cast("bigint"), "received": received})
-        .join(pending, ["po_no", "part"], "left")
+        with_per_key(entered, pending, ["po_no", "part"])
         .groupBy("submission_id")
         .agg(
             F.max("received").alias("most"),

@@ -39,6 +39,12 @@ LINE_ORDER = [
 QUANTITY = "cast(l_quantity as decimal(18,2))"
 PRICE = "cast(l_extendedprice as decimal(18,2))"
 
+# Coarse steps of the line order, so that one huge document or part is many segments
+# and the segments stay few.
+ORDER_BLOCK = "l_orderkey div 1000000"
+PART_BLOCK = "l_partkey div 1000"
+DAY_ORDER_BLOCK = "l_orderkey div 100000000"
+
 
 def read_star(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_DDL[name]).parquet(f"{path}/{name}.parquet")
@@ -63,6 +69,11 @@ def _rows(df: DataFrame, table: str, **expressions: str) -> DataFrame:
     )
 
 
+def _positions(lines: DataFrame, document: str) -> DataFrame:
+    blocks = lines.withColumn("block", F.expr(ORDER_BLOCK))
+    return running_totals(blocks, [document], ["block"], LINE_ORDER, rowid=F.lit(1))
+
+
 class _Star:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -144,9 +155,7 @@ class _Star:
         )
 
     def purchase_order_tran(self) -> DataFrame:
-        lines = running_totals(
-            self.purchase_lines(), ["po"], ["l_orderkey"], LINE_ORDER, rowid=F.lit(1)
-        )
+        lines = _positions(self.purchase_lines(), "po")
         return _rows(
             lines,
             "purchase_order_tran",
@@ -179,9 +188,7 @@ class _Star:
         return self.purchase_lines().filter("l_linestatus = 'F' and l_suppkey % 3 <> 0")
 
     def goods_receipt_tran(self) -> DataFrame:
-        lines = running_totals(
-            self.received_lines(), ["po"], ["l_orderkey"], LINE_ORDER, rowid=F.lit(1)
-        )
+        lines = _positions(self.received_lines(), "po")
         received = lines.withColumn(
             "received",
             F.expr(
@@ -228,9 +235,9 @@ class _Star:
 
     def sales_invoice_tran(self) -> DataFrame:
         lines = running_totals(
-            self.read("lineitem"),
+            self.read("lineitem").withColumn("block", F.expr(PART_BLOCK)),
             ["l_orderkey"],
-            ["l_linenumber", "l_partkey"],
+            ["l_linenumber", "block"],
             LINE_ORDER,
             rowid=F.lit(1),
         )
@@ -249,9 +256,9 @@ class _Star:
 
     def stock_update(self) -> DataFrame:
         ledger = running_totals(
-            self.read("lineitem"),
+            self.read("lineitem").withColumn("block", F.expr(DAY_ORDER_BLOCK)),
             ["l_partkey"],
-            ["l_shipdate", "l_orderkey"],
+            ["l_shipdate", "block"],
             ["l_shipdate", *LINE_ORDER],
             position=F.lit(1),
         )
