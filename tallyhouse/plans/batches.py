@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions.values import money
+from tallyhouse.functions.joins import with_per_key
+from tallyhouse.functions.values import line_amount
 from tallyhouse.tables import Tables
 
 
@@ -79,7 +80,7 @@ def entered_lines(lines: DataFrame) -> DataFrame:
         F.col("quantity").try_cast("decimal(18,2)").alias("quantity"),
         F.col("rate").try_cast("decimal(18,2)").alias("unit_price"),
     )
-    return read.withColumn("amount", money(F.col("quantity") * F.col("unit_price")))
+    return read.withColumn("amount", line_amount(F.col("quantity"), F.col("unit_price")))
 
 
 def unreadable(lines: DataFrame, *columns: str) -> DataFrame:
@@ -93,3 +94,28 @@ def unreadable(lines: DataFrame, *columns: str) -> DataFrame:
         .distinct()
         .withColumn("unreadable", F.lit(True))
     )
+
+
+def check_numbers(
+    forms: DataFrame, number: str, existing: DataFrame, rules: dict[str, Column]
+) -> DataFrame:
+    """Applies ``rules``, and rejects a given number that exists or that an earlier sound
+    form of the batch has taken. Forms without a number take no part in the joins on it,
+    so they do not all meet in the partition of the NULL key."""
+    blank = with_reasons(forms.filter(F.col(number).isNull()), rules)
+    taken = existing.select(number, F.lit(True).alias("taken"))
+    given = with_reasons(
+        with_per_key(forms.filter(F.col(number).isNotNull()), taken, [number]),
+        {**rules, "number exists": F.col("taken")},
+    )
+    first = (
+        accepted(given).groupBy(number).agg(F.min("submission_id").alias("first_submission"))
+    )
+    repeated = (F.size("reasons") == 0) & (F.col("first_submission") != F.col("submission_id"))
+    judged = with_per_key(given, first, [number]).withColumn(
+        "reasons",
+        F.when(repeated, F.array(F.lit("number repeated in batch"))).otherwise(
+            F.col("reasons")
+        ),
+    )
+    return judged.drop("taken", "first_submission").unionByName(blank)

@@ -14,6 +14,7 @@ from tallyhouse.plans.batches import (
     Batch,
     Posting,
     accepted,
+    check_numbers,
     entered_lines,
     rejected,
     unreadable,
@@ -56,30 +57,9 @@ def post_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.date)
     that an earlier accepted form of the batch has taken rejects the form."""
     lines = entered_lines(batch.lines)
     existing = scoped(kind.heads(D)).select(F.col(kind.number).alias("doc_no"))
-    sound = (
-        batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
-        .join(existing.withColumn("taken", F.lit(True)), "doc_no", "left")
-        .transform(
-            with_reasons, {**head_rules(), "number exists": F.col("taken")}
-        )
-    )
-    first = (
-        accepted(sound)
-        .filter("doc_no is not null")
-        .groupBy("doc_no")
-        .agg(F.min("submission_id").alias("first_submission"))
-    )
+    forms = batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
     checked = in_order(
-        sound.join(first, "doc_no", "left")
-        .withColumn(
-            "reasons",
-            F.when(
-                (F.size("reasons") == 0)
-                & (F.col("first_submission") != F.col("submission_id")),
-                F.array(F.lit("number repeated in batch")),
-            ).otherwise(F.col("reasons")),
-        )
-        .select("submission_id", "doc_no", "doc_date", "party", "remarks", "reasons"),
+        check_numbers(forms, "doc_no", existing, head_rules()).drop("unreadable"),
         "submission_id",
     )
     posted = accepted(checked)
@@ -130,12 +110,10 @@ def replace_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.dat
     known = scoped(kind.heads(D)).select(
         F.col(kind.number).alias("doc_no"), F.lit(True).alias("known")
     )
-    checked = (
-        batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
-        .join(known, "doc_no", "left")
-        .transform(
-            with_reasons, {"unknown document": F.col("known").isNull(), **head_rules()}
-        )
+    forms = batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
+    checked = with_reasons(
+        with_per_key(forms, known, ["doc_no"]),
+        {"unknown document": F.col("known").isNull(), **head_rules()},
     )
     edits = accepted(checked).select(
         "submission_id", F.col("doc_no").alias(kind.number), "doc_date", "party", "remarks",
@@ -164,13 +142,13 @@ def replace_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.dat
         {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new_values.items()}
     ).select(*old.columns)
     final = last.select(kind.number, F.col("submission_id").alias("last_submission"))
-    forms = edits.join(final, kind.number).select(
+    applied = with_per_key(edits, final, [kind.number]).select(
         "submission_id",
         kind.number,
         (F.col("submission_id") == F.col("last_submission")).alias("active"),
     )
     tran = deactivated(kind.lines(D), last, kind.number, as_of).unionByName(
-        line_rows(lines, forms, kind, as_of)
+        line_rows(lines, applied, kind, as_of)
     )
     return Posting(
         rejects=rejected(checked, "submission_id"), state={kind.head: heads, kind.tran: tran}

@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.plans.batches import (
     Batch,
     Posting,
     accepted,
+    check_numbers,
     filled,
     rejected,
     unreadable,
@@ -63,27 +65,10 @@ def create_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
     quantity; an id that exists or repeats in the batch rejects the form."""
     lines = requested_lines(batch.lines)
     existing = scoped(getattr(D, HEAD)).select("indent_id")
-    sound = (
-        _facts(batch, lines)
-        .join(existing.withColumn("taken", F.lit(True)), "indent_id", "left")
-        .transform(with_reasons, {**_checks(), "number exists": F.col("taken")})
-    )
-    first = (
-        accepted(sound)
-        .filter("indent_id is not null")
-        .groupBy("indent_id")
-        .agg(F.min("submission_id").alias("first_submission"))
-    )
-    repeated = (F.size("reasons") == 0) & (F.col("first_submission") != F.col("submission_id"))
     checked = in_order(
-        sound.join(first, "indent_id", "left")
-        .withColumn(
-            "reasons",
-            F.when(repeated, F.array(F.lit("number repeated in batch"))).otherwise(
-                F.col("reasons")
-            ),
-        )
-        .drop("unreadable", "valid_lines", "taken", "first_submission"),
+        check_numbers(_facts(batch, lines), "indent_id", existing, _checks()).drop(
+            "unreadable", "valid_lines"
+        ),
         "submission_id",
     )
     posted = accepted(checked)
@@ -119,17 +104,13 @@ def update_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
     lines = requested_lines(batch.lines)
     old = getattr(D, HEAD)
     known = scoped(old).select("indent_id", F.col("status").alias("current_status"))
-    checked = (
-        _facts(batch, lines)
-        .join(known, "indent_id", "left")
-        .transform(
-            with_reasons,
-            {
-                "not found": F.col("current_status").isNull(),
-                "not pending": F.col("current_status") != PENDING,
-                **_checks(),
-            },
-        )
+    checked = with_reasons(
+        with_per_key(_facts(batch, lines), known, ["indent_id"]),
+        {
+            "not found": F.col("current_status").isNull(),
+            "not pending": F.col("current_status") != PENDING,
+            **_checks(),
+        },
     )
     fields = ["indent_dt", "department", "requested_by", "remarks"]
     edits = accepted(checked).select("submission_id", "indent_id", *fields)
@@ -149,12 +130,12 @@ def update_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
         {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
     ).select(*old.columns)
     final = last.select("indent_id", F.col("submission_id").alias("last_submission"))
-    forms = edits.join(final, "indent_id").select(
+    applied = with_per_key(edits, final, ["indent_id"]).select(
         "submission_id",
         "indent_id",
         (F.col("submission_id") == F.col("last_submission")).alias("active"),
     )
-    new_lines = lines.join(forms, "submission_id").withColumn("company", F.lit(1))
+    new_lines = lines.join(applied, "submission_id").withColumn("company", F.lit(1))
     tran = deactivated(getattr(D, TRAN), last, "indent_id").unionByName(
         conform(new_lines, TRAN)
     )
@@ -168,7 +149,7 @@ def transition_indents(D: Tables, decisions: DataFrame, strict: bool = False) ->
     takes the last decision; ``strict`` accepts only the first decision on a PENDING one."""
     old = getattr(D, HEAD)
     known = scoped(old).select("indent_id", F.col("status").alias("current_status"))
-    facts = decisions.join(known, "indent_id", "left")
+    facts = with_per_key(decisions, known, ["indent_id"])
     rules = {
         "not found": F.col("current_status").isNull(),
         "unknown status": ~F.coalesce(F.col("status").isin(APPROVED, REJECTED), F.lit(False)),
@@ -181,7 +162,7 @@ def transition_indents(D: Tables, decisions: DataFrame, strict: bool = False) ->
             F.min(F.struct("updated", "status")).alias("first")
         )
         late = (F.size("reasons") == 0) & (F.struct("updated", "status") != F.col("first"))
-        checked = checked.join(first, "indent_id", "left").withColumn(
+        checked = with_per_key(checked, first, ["indent_id"]).withColumn(
             "reasons", F.when(late, F.array(F.lit("not pending"))).otherwise(F.col("reasons"))
         )
     taken = accepted(checked).groupBy("indent_id").agg(

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.operators.documents import RECEIPT
 from tallyhouse.plans.batches import (
@@ -34,18 +35,16 @@ def post_receipts(D: Tables, batch: Batch, as_of: dt.date) -> Posting:
     orders = scoped(D.purchase_order_head).select(
         "po_no", "vendor", F.lit(True).alias("known")
     )
+    forms = batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
     checked = in_order(
-        batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
-        .join(orders, "po_no", "left")
-        .transform(
-            with_reasons,
+        with_reasons(
+            with_per_key(forms, orders, ["po_no"]),
             {
                 "unknown purchase order": F.col("known").isNull(),
                 "missing date": F.col("grn_date").isNull(),
                 "unreadable line": F.col("unreadable"),
             },
-        )
-        .select("submission_id", "po_no", "vendor", "grn_date", "reasons"),
+        ).select("submission_id", "po_no", "vendor", "grn_date", "reasons"),
         "submission_id",
     )
     heads = (

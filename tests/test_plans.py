@@ -26,8 +26,9 @@ def test_no_cross_join_and_no_window_in_one_task(spark, no_broadcast, name):
     text = "\n".join(lines)
     assert "Cartesian" not in text and "NestedLoop" not in text
     assert "PythonUDF" not in text and "Python" not in text
-    for above, below in zip(lines, lines[1:]):
-        assert not ("Window" in above and "SinglePartition" in below)
+    for i, line in enumerate(lines):
+        if "Window [" in line or "WindowGroupLimit" in line:
+            assert "SinglePartition" not in "".join(lines[i + 1 : i + 4])
 
 
 def test_row_positions_are_not_computed_when_unused(spark):

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.ordering import newest, running_totals, top_n_per
 
 ROWS = 6000
@@ -50,3 +52,41 @@ def test_top_n_is_cut_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
     best = sorted((r[3], r[2]) for r in data if r[0] == 1)[-3:]
     assert sorted((r.v, r.id) for r in top.filter("k = 1").collect()) == best
+
+
+@pytest.fixture
+def eager_skew_handling(spark):
+    """Thresholds small enough for test data, and no broadcasts."""
+    settings = {
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_join_with_an_aggregate_splits_a_hot_key(spark, eager_skew_handling):
+    data, df = hot_rows(spark)
+    per_key = df.groupBy("k").agg(F.sum("v").alias("total"))
+    joined = with_per_key(df, per_key, ["k"])
+    got = {(r.id, r.total) for r in joined.collect()}
+    sums = {}
+    for k, _, _, v in data:
+        sums[k] = sums.get(k, 0) + v
+    assert got == {(i, sums[k]) for k, _, i, _ in data}
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_join_leaves_null_keys_unmatched(spark):
+    rows = spark.createDataFrame([(None, 1), (2, 2), (3, 3)], "k int, id int")
+    info = spark.createDataFrame([(None, "x"), (2, "y")], "k int, label string")
+    got = {(r.id, r.k, r.label) for r in with_per_key(rows, info, ["k"]).collect()}
+    assert got == {(1, None, None), (2, 2, "y"), (3, 3, None)}
