@@ -8,6 +8,8 @@ order, supplier or part does not land in one task.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions.ordering import running_totals
@@ -50,8 +52,10 @@ def read_star(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_DDL[name]).parquet(f"{path}/{name}.parquet")
 
 
+@cache
 def star_tables(spark: SparkSession, path: str) -> Tables:
-    """Tables over the star schema files in ``path``."""
+    """Tables over the star schema files in ``path``. A session defines them once, like
+    views; they hold plans, not data."""
     return Tables(_Star(spark, path).table)
 
 

@@ -29,9 +29,8 @@ def rows(columns, records):
     return Counter(tuple(_value(r[i]) for i in order) for r in records)
 
 
-def difference(spark, con, query, sql, sf_dir):
+def difference(df, con, sql):
     """None when equal, else a short description."""
-    df = query(spark, sf_dir)
     result = con.execute(sql)
     names = [c[0] for c in result.description]
     if sorted(names) != sorted(df.columns):
