@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import importlib.util
 import sys
 import uuid
 from collections.abc import Callable
@@ -422,14 +423,31 @@ SINKS = {"append_ledger": _append_ledger, "export_po_register": _export_register
 ALL = {**REPORTS, **POSTINGS, **SINKS}
 
 
+def _llm() -> tuple[dict, dict]:
+    """Queries and DuckDB text of the training-data operators, where that subpackage is installed."""
+    if importlib.util.find_spec("tallyhouse.llm") is None:
+        return {}, {}
+    from tallyhouse.llm import queries as llm
+
+    return llm.QUERIES, llm.ORACLE
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The purchase order register over the smallest data set."""
     return _doubles(documents.po_register(star_tables(spark, "/root/testdata/sf0.001")))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _registered(report) for name, report in ALL.items()}
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in {**READS, **POSTS}.items()}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | _llm()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | _llm()[1]

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from compare import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry.core_queries(), entry.core_oracle_sql()
 
 
 @pytest.fixture(scope="module")
