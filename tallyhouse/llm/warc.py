@@ -107,7 +107,8 @@ def _writer(folder: str, level: int):
                     )
                     if out is None:
                         fs.create_dir(root)
-                        out = fs.open_output_stream(f"{root}/{path.rpartition('/')[2]}")
+                        name = path.rpartition("/")[2]
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(data)
                     for n, v in zip(names, (path, at, len(data), page_id, url, digest, kind)):
                         index[n].append(v)
