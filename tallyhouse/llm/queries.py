@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import shards, warc
+import public_tokenizers
+
+from tallyhouse.llm import bpe, packed, shards, warc
 from tallyhouse.llm.shared import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {
     "op2_hypergeometric_shards": lambda spark, d: shards.op2_hypergeometric_shards(
         table(spark, d, "documents")
     ),
+    "op4_packed_ids": lambda spark, d: packed.op4_packed_ids(table(spark, d, "documents"), WORD_BPE),
+    "op6_forced_boundary_bpe": lambda spark, d: bpe.op6_forced_boundary_bpe(
+        table(spark, d, "documents"), WORD_BPE
+    ),
     "op9_warc_index_first": lambda spark, d: warc.op9_warc_index_first(table(spark, d, "pages")),
 }
 
