@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -171,7 +172,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = TEXT_BYTES)
     """The batches in runs of rows of about ``most`` bytes of text (at least one row)."""
     for batch in batches:
         sizes = np.cumsum(
-            [0, *(v or 0 for v in pa.compute.binary_length(batch.column(text)).to_pylist())]
+            [0, *(v or 0 for v in pc.binary_length(batch.column(text)).to_pylist())]
         )
         at = 0
         while at < batch.num_rows:
