@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, packed, shards, warc
+from tallyhouse.llm import bpe, packed, positions, shards, warc
 from tallyhouse.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,10 +17,46 @@ QUERIES = {
     "op6_forced_boundary_bpe": lambda spark, d: bpe.op6_forced_boundary_bpe(
         table(spark, d, "documents"), WORD_BPE
     ),
+    "op8_positional_decontamination": lambda spark, d: positions.op8_positional_decontamination(
+        table(spark, d, "documents"), table(spark, d, "benchmark")
+    ),
     "op9_warc_index_first": lambda spark, d: warc.op9_warc_index_first(table(spark, d, "pages")),
 }
 
+WORDS = r"""regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"""
+
 ORACLE = {
+    "op8_positional_decontamination": f"""
+        with d as (
+          select row_number() over () as r, doc_id, {WORDS} as w from documents
+        ), i as (
+          select distinct item_id, {WORDS} as w from benchmark
+        ), windows as (
+          select item_id, least(len(w), 13) as n,
+                 unnest([w[k:k + least(len(w), 13) - 1] for k in range(1, greatest(len(w) - 11, 2))]) as win
+          from i where len(w) > 0
+        ), lengths as (
+          select distinct n from windows
+        ), runs as (
+          select r, n, unnest(range(1, len(w) - n + 2)) as p, w from d, lengths where len(w) >= n
+        ), hits as (
+          select r, p, runs.n, item_id
+          from (select r, p, n, w[p:p + n - 1] as win from runs) runs join windows using (win)
+        ), words as (
+          select r, count(distinct q) as n_hit
+          from (select r, unnest(range(p, p + n)) as q from hits) group by r
+        ), items as (
+          select r, count(distinct item_id) as n_items,
+                 sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as names
+          from hits group by r
+        )
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit,
+               coalesce(n_items, 0) as n_items, coalesce(names, sha256('')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join words using (r) left join items using (r)
+    """,
     "op9_warc_index_first": """
         with p as (
           select page_id, encode(coalesce(html, '')) as payload from pages
