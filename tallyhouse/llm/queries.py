@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, packed, positions, shards, warc
+from tallyhouse.llm import bpe, packed, positions, shards, simhash, warc
 from tallyhouse.llm.shared import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -13,6 +13,9 @@ QUERIES = {
     "op2_hypergeometric_shards": lambda spark, d: shards.op2_hypergeometric_shards(
         table(spark, d, "documents")
     ),
+    "op3_simhash_pivot_tables": lambda spark, d: simhash.op3_simhash_pivot_tables(
+        table(spark, d, "documents")
+    ),
     "op4_packed_ids": lambda spark, d: packed.op4_packed_ids(table(spark, d, "documents"), WORD_BPE),
     "op6_forced_boundary_bpe": lambda spark, d: bpe.op6_forced_boundary_bpe(
         table(spark, d, "documents"), WORD_BPE
