@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, packed, positions, shards, simhash, warc
+from tallyhouse.llm import bpe, language, packed, positions, shards, simhash, warc
 from tallyhouse.llm.shared import table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
@@ -24,6 +25,9 @@ QUERIES = {
         table(spark, d, "documents"), table(spark, d, "benchmark")
     ),
     "op9_warc_index_first": lambda spark, d: warc.op9_warc_index_first(table(spark, d, "pages")),
+    "op10_marginalised_unigrams": lambda spark, d: language.op10_marginalised_unigrams(
+        table(spark, d, "documents"), PIECES
+    ),
 }
 
 WORDS = r"""regexp_extract_all(
