@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, language, packed, positions, shards, simhash, warc
+from tallyhouse.llm import bpe, language, packed, positions, repeats, shards, simhash, warc
 from tallyhouse.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,9 @@ QUERIES = {
     "op6_forced_boundary_bpe": lambda spark, d: bpe.op6_forced_boundary_bpe(
         table(spark, d, "documents"), WORD_BPE
     ),
+    "op7_suffix_array_repeats": lambda spark, d: repeats.op7_suffix_array_repeats(
+        table(spark, d, "documents")
+    ),
     "op8_positional_decontamination": lambda spark, d: positions.op8_positional_decontamination(
         table(spark, d, "documents"), table(spark, d, "benchmark")
     ),
