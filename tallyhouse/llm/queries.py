@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, language, packed, positions, repeats, shards, simhash, warc
+from tallyhouse.llm import bpe, language, neighbours, packed, positions, repeats, shards, simhash, warc
 from tallyhouse.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op1_multi_index_hashing": lambda spark, d: neighbours.op1_multi_index_hashing(
+        table(spark, d, "embeddings")
+    ),
     "op2_hypergeometric_shards": lambda spark, d: shards.op2_hypergeometric_shards(
         table(spark, d, "documents")
     ),
