@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, language, neighbours, packed, positions, repeats, shards, simhash, warc
+from tallyhouse.llm import bpe, language, neighbours, packed, positions, repeats, scoring, shards, simhash, warc
 from tallyhouse.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,9 @@ QUERIES = {
         table(spark, d, "documents")
     ),
     "op4_packed_ids": lambda spark, d: packed.op4_packed_ids(table(spark, d, "documents"), WORD_BPE),
+    "op5_attention_scores": lambda spark, d: scoring.op5_attention_scores(
+        table(spark, d, "documents"), WORD_BPE
+    ),
     "op6_forced_boundary_bpe": lambda spark, d: bpe.op6_forced_boundary_bpe(
         table(spark, d, "documents"), WORD_BPE
     ),
