@@ -427,9 +427,10 @@ def _llm() -> tuple[dict, dict]:
     """Queries and DuckDB text of the training-data operators, where that subpackage is installed."""
     if importlib.util.find_spec("tallyhouse.llm") is None:
         return {}, {}
+    import corpus_pipeline
     from tallyhouse.llm import queries as llm
 
-    return llm.QUERIES, llm.ORACLE
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, llm.ORACLE
 
 
 def entry(spark: SparkSession) -> DataFrame:
