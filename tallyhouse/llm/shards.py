@@ -118,6 +118,7 @@ def communication_matrix(counts: DataFrame, blocks: Column, n_parts: int, seed:
     nodes = (
         counts.groupBy()
         .agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+        .where(F.size("parts") > 0)
         .select("parts", blocks.alias("columns"))
     )
     for level in range(math.ceil(math.log2(max(n_parts, 2)))):
