@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.shared import UPPER, size_class, staged
+from tallyhouse.llm.shared import UPPER, bound, size_class, staged
 
 #: ASCII characters that belong to no word of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing.
 BETWEEN = "".join(
@@ -140,13 +140,12 @@ def occurrences(docs: DataFrame, found: DataFrame, phrases: DataFrame) -> DataFr
         "doc",
         "left_semi",
     )
-    w = F.col("w")
-    true = F.filter(
-        "claims", lambda c: F.slice(w, c.start + 1, F.size(c.window)) == c.window
+    true = bound(
+        words(F.col("text")),
+        lambda w: F.filter("claims", lambda c: F.slice(w, c.start + 1, F.size(c.window)) == c.window),
     )
     return (
         texts.join(each, "doc")
-        .select("doc", "claims", words(F.col("text")).alias("w"))
         .select(
             "doc",
             F.array_sort(

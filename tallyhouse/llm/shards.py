@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.llm.shared import staged
+from tallyhouse.llm.shared import bound, staged
 
 ROW = "_row"
 
@@ -27,11 +27,6 @@ def uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, although ``use`` names it often."""
-    return F.transform(F.array(value), use)[0]
-
-
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` rows are marked when ``marked`` of ``total`` rows are."""
 
