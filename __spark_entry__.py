@@ -42,6 +42,8 @@ from tallyhouse.sources.checkpoints import shared_folder  # noqa: E402
 from tallyhouse.sources.sinks import (  # noqa: E402
     append,
     export_report,
+    publish,
+    published,
     read_appended,
     to_json_rows,
 )
@@ -52,7 +54,7 @@ AS_OF = dt.date(2001, 8, 1)
 NOW = dt.datetime(2001, 8, 1, 12)
 FILTERS = {
     "party": "00",
-    "part": "p_rt",
+    "part": "w_dg",
     "date_from": "1996-01-01",
     "date_to": "1999-12-31",
 }
@@ -82,7 +84,7 @@ def _grn_list_on_day(D: Tables) -> DataFrame:
 
 
 def _vendors_by_state(D: Tables) -> DataFrame:
-    rows = P.facet_filter(catalog.vendor_directory(D), "state", "an")
+    rows = P.facet_filter(catalog.vendor_directory(D), "state", "tion_1")
     rows = P.search(rows, "SUPPLIER", ["vendor_code", "vendor_name"])
     return rows.select("vendor_code", "vendor_name", "state")
 
@@ -272,8 +274,10 @@ def _deleted_orders(D: Tables) -> Posting:
 
 
 def _deleted_vendors(D: Tables) -> Posting:
-    """The vendors of inactive orders."""
-    keys = D.purchase_order_head.filter("not active").select(F.col("vendor").alias("vendor_code"))
+    """The vendors of inactive orders; some of the keys are unknown."""
+    keys = D.purchase_order_head.filter("not active").selectExpr(
+        "case when po_no % 30 = 0 then -vendor else vendor end as vendor_code"
+    )
     return post_docs.soft_delete(D, "vendor", keys, AS_OF)
 
 
@@ -309,12 +313,32 @@ def _new_path(spark: SparkSession, name: str) -> str:
 
 
 def _append_ledger(D: Tables) -> DataFrame:
-    """The ledger appended by month and read back for the months of three years."""
+    """The ledger appended by month and read back whole."""
+    return _appended(D).select(*LEDGER)
+
+
+def _append_ledger_years(D: Tables) -> DataFrame:
+    """The same, read back for the months of three years only."""
+    return _appended(D, "1996-01", "1998-12").select(*LEDGER)
+
+
+def _appended(D: Tables, *months: str) -> DataFrame:
     rows = D.stock_update
     path = _new_path(rows.sparkSession, "ledger")
     append(rows, path, "update_date")
-    back = read_appended(rows.sparkSession, path, "stock_update", "1996-01", "1998-12")
-    return back.select(*LEDGER)
+    return read_appended(rows.sparkSession, path, "stock_update", *months)
+
+
+def _published(D: Tables) -> DataFrame:
+    """Vendors and parts published, then the vendors after a deletion; the parts carry over."""
+    spark = D.vendor.sparkSession
+    path = _new_path(spark, "publication")
+    publish(spark, {"vendor": D.vendor, "part": D.part}, path, 9)
+    publish(spark, {"vendor": _deleted_vendors(D).state["vendor"]}, path, 10)
+    current = published(spark, path)
+    return current.vendor.selectExpr("'vendor' as entity", "vendor_code as code", "active").unionByName(
+        current.part.selectExpr("'part' as entity", "part_num as code", "active")
+    )
 
 
 def _export_register(D: Tables) -> DataFrame:
@@ -417,7 +441,12 @@ def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))
 
 
-SINKS = {"append_ledger": _append_ledger, "export_po_register": _export_register}
+SINKS = {
+    "append_ledger": _append_ledger,
+    "append_ledger_years": _append_ledger_years,
+    "published_tables": _published,
+    "export_po_register": _export_register,
+}
 
 
 ALL = {**REPORTS, **POSTINGS, **SINKS}

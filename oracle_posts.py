@@ -6,8 +6,8 @@ START = "(select coalesce(max({col}), 0) from {table})"
 
 INVOICE_FORMS = """
     forms as (select inv_no as submission_id,
-        case when inv_no % 13 = 0 then inv_no when inv_no % 11 = 0 then inv_no + 100000000
-            when inv_no % 17 = 0 then 900000000 + customer % 5 end as doc_no,
+        case when inv_no % 13 = 0 then inv_no when inv_no % 11 = 0 then -inv_no
+            when inv_no % 17 = 0 then -1 - customer % 5 end as doc_no,
         case when inv_no % 19 <> 0 then inv_dt end as doc_date, customer as party
         from sales_invoice_head_t),
     form_lines as (select inv_no as submission_id, rowid, partnum,
@@ -37,7 +37,7 @@ INVOICE_FORMS = """
 
 RECEIPT_FORMS = f"""
     forms as (select po_no as submission_id,
-        case when po_no % 7 = 0 then po_no + 1000000000 else po_no end as po_no,
+        case when po_no % 7 = 0 then -po_no else po_no end as po_no,
         case when po_no % 23 <> 0 then cast(po_date + interval '20' day as date) end as grn_date
         from purchase_order_head_t),
     form_lines as (select po_no as submission_id, rowid, partnum,
@@ -132,7 +132,7 @@ def _movements(types):
 
 PART_FORMS = f"""
     forms as (select part_num as submission_id,
-        case when part_num % 6 = 0 then null when part_num % 5 = 0 then part_num + 1000000
+        case when part_num % 6 = 0 then null when part_num % 5 = 0 then -part_num
             when part_num % 4 = 0 then part_num // 8 * 8 + 1 else part_num end as code,
         case when part_num % 40 = 1 then null else part_desc || ' v2' end as part_desc,
         part_num % 41 = 0 as unread, sell_price, part_category, part_num % 2 = 1 as active
@@ -198,13 +198,15 @@ POSTS = {
         join purchase_order_head_t h on t.po_no = h.po_no
         left join vendor_t v on h.vendor = v.vendor_code""",
     "delete_vendors": """
-        select vendor_code, active and vendor_code not in (
-            select vendor from purchase_order_head_t where not active) as active
+        select vendor_code, active and not (company = 1 and vendor_code in (
+            select case when po_no % 30 = 0 then -vendor else vendor end
+            from purchase_order_head_t where not active)) as active
         from vendor_t""",
     "delete_vendors_rejects": """
-        select distinct vendor as vendor_code, 'not found' as reasons
-        from purchase_order_head_t
-        where not active and vendor not in (select vendor_code from vendor_t)""",
+        with keys as (select distinct case when po_no % 30 = 0 then -vendor else vendor end as vendor_code
+            from purchase_order_head_t where not active)
+        select vendor_code, 'not found' as reasons from keys
+        where vendor_code not in (select vendor_code from vendor_t where company = 1)""",
     "post_receipts_heads": f"""with {RECEIPT_FORMS}
         select grn_no, grn_dt, po_no, vendor, true as active from posted""",
     "post_receipts_lines": f"""with {RECEIPT_FORMS}
@@ -221,6 +223,14 @@ POSTS = {
                 from stock_update_t where part_num is not null
             union all select partnum, quantity from received) x group by part_num""",
     "append_ledger": f"""
+        select update_id, part_num, type, {d("qty")}, update_date from stock_update_t""",
+    "published_tables": """
+        select 'vendor' as entity, vendor_code as code, active and not (company = 1 and vendor_code in (
+            select case when po_no % 30 = 0 then -vendor else vendor end
+            from purchase_order_head_t where not active)) as active
+        from vendor_t
+        union all select 'part', part_num, active from part_t""",
+    "append_ledger_years": f"""
         select update_id, part_num, type, {d("qty")}, update_date from stock_update_t
         where update_date between DATE '1996-01-01' and DATE '1998-12-31'""",
     "export_po_register": f"""
@@ -256,7 +266,7 @@ POSTS = {
         from indent_request_head_t h left join done x on x.target = h.indent_id""",
     "update_indents_lines": f"""with {EDITED_INDENTS}
         select t.indent_id, t.rowid, {d("t.quantity")}, t.active and x.target is null as active
-        from indent_request_tran_t t left join done x on x.target = t.indent_id
+        from indent_request_tran_t t left join done x on x.target = t.indent_id and t.company = 1
         union all
         select l.submission_id, l.rowid, {d("l.quantity")}, true
         from form_lines l join done x on x.target = l.submission_id where l.quantity > 0""",

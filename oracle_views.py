@@ -13,11 +13,15 @@ PRICE = "cast(l_extendedprice as decimal(18,2))"
 AMOUNT = f"cast({QTY}*{PRICE} as decimal(18,2))"
 
 VIEWS = {
-    "unit_t": """select * from (values (1,0,'EACH',true),(1,1,'BOX',true),(1,2,'KG',false),
-        (2,1,'BOX-2',true)) t(company,unit_id,unit_desc,active)""",
-    "tax_t": """select company, tax_id, tax_desc, cast(pct as decimal(5,2)) tax_percent, active
-        from (values (1,0,'GST 5',5,true),(1,1,'GST 12',12,true),(1,2,'GST 18',18,false))
-        t(company,tax_id,tax_desc,pct,active)""",
+    "unit_t": """select c.company, s.u unit_id, c.unit_desc, s.u<>2 active
+        from (select distinct p_size%4 u from part) s
+        join (values (0,1,'EACH'),(1,1,'BOX'),(1,2,'BOX-2'),(2,1,'KG'),(3,2,'SET'))
+            c(u,company,unit_desc) on c.u=s.u""",
+    "tax_t": """select c.company, s.t tax_id, c.tax_desc,
+        cast(c.pct as decimal(5,2)) tax_percent, s.t<>2 active
+        from (select distinct p_size%5 t from part) s
+        join (values (0,1,'GST 5',5),(1,1,'GST 12',12),(2,1,'GST 18',18),(3,2,'GST 28',28),
+            (4,2,'GST 28',28)) c(t,company,tax_desc,pct) on c.t=s.t""",
     "part_t": """select 1 company, p_partkey part_num, p_name part_desc, p_type part_type,
         case when p_partkey%10=0 then null else p_brand end part_category,
         p_size%4 unit_id,
@@ -31,15 +35,15 @@ VIEWS = {
             when 2 then cast(18 as decimal(5,2)) end tax_percent,
         p_partkey%20<>0 active
         from part""",
-    "vendor_t": """select 1 company, s_suppkey vendor_code, s_name vendor_name,
+    "vendor_t": """select case when s_suppkey%50=49 then 2 else 1 end company, s_suppkey vendor_code, s_name vendor_name,
         cast(null as varchar) city, n_name state,
         case s_suppkey%3 when 0 then '27ABCDE1234F1Z5' when 1 then '27ABC' end gst,
         case s_suppkey%3 when 0 then 'ABCDE1234F' when 1 then 'ABCD' end pan,
         s_suppkey%10<>0 active
-        from supplier join nation on s_nationkey=n_nationkey where s_suppkey%50<>49""",
-    "customer_t": """select 1 company, c_custkey customer_code, c_name customer_name,
+        from supplier join nation on s_nationkey=n_nationkey""",
+    "customer_t": """select case when c_custkey%100=99 then 2 else 1 end company, c_custkey customer_code, c_name customer_name,
         cast(null as varchar) city, n_name state, c_custkey%25<>0 active
-        from customer join nation on c_nationkey=n_nationkey where c_custkey%100<>99""",
+        from customer join nation on c_nationkey=n_nationkey""",
     "purchase_order_tran_t": f"""select 1 company, {PONO} po_no,
         cast(row_number() over (partition by {PONO} order by {ORD}) as integer) rowid, l_partkey partnum,
         {QTY} quantity, {PRICE} unit_price, {AMOUNT} amount, l_returnflag<>'R' active
@@ -52,7 +56,7 @@ VIEWS = {
         from (select {PONO} po, row_number() over (partition by {PONO} order by {ORD}) rn,
             l_partkey, cast({QTY}*cast(case when l_returnflag='A' then 0.5 else 1.0 end
                 as decimal(2,1)) as decimal(18,2)) q, {PRICE} up, l_returnflag
-            from lineitem where l_linestatus='F' and l_suppkey%3<>0) t""",
+            from lineitem where l_linestatus='F') t""",
     "goods_receipt_head_t": """select 1 company, po_no grn_no,
         cast(po_date + interval '14' day as date) grn_dt, po_no, vendor, po_no%9<>0 active
         from purchase_order_head_t where po_no in (select grn_no from goods_receipt_tran_t)""",
@@ -64,7 +68,7 @@ VIEWS = {
         {QTY} quantity, {PRICE} unit_price, {AMOUNT} amount, l_returnflag<>'R' active
         from lineitem""",
     "stock_update_t": f"""select 1 company,
-        l_partkey*100000 + row_number() over (partition by l_partkey
+        l_partkey*4294967296 + row_number() over (partition by l_partkey
             order by l_shipdate, {ORD}) update_id,
         case when l_partkey%97=0 then null else l_partkey end part_num,
         case when l_linestatus='F' and l_returnflag<>'R' then 'IN'
@@ -79,11 +83,11 @@ VIEWS = {
         case event_id%4 when 2 then 'APPROVED' when 3 then 'REJECTED' else 'PENDING' end status,
         event_id%8<>7 active, ts created
         from events""",
-    "indent_request_tran_t": """select 1 company, event_id indent_id, k rowid, cast(user_id as integer) partnum,
+    "indent_request_tran_t": """select case when event_id%3=0 then 2 else 1 end company, event_id indent_id, k rowid, cast(user_id as integer) partnum,
         event_type part_desc, cast("value" as decimal(18,2)) quantity,
         case when k=1 then cast(ts as date) end required_date, event_id%5<>0 active
         from events, (values (1),(2)) n(k)
-        where event_id%3<>0 and (k=1 or event_id%2=0)""",
+        where k=1 or event_id%2=0""",
 }
 
 

@@ -7,6 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def of_heads(rows: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` that have a row in ``heads`` (one per key), with its columns; a key with a third
+    of all rows is split as in ``with_per_key``."""
+    known = heads.withColumn("_known", F.lit(True))
+    return with_per_key(rows, known, keys).filter("_known").drop("_known")
+
+
 def with_per_key(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` left-joined with ``info``, which has at most one row per key.
 

@@ -44,10 +44,14 @@ def value_by_party(
     """Value of active lines of active documents of the window, per partner."""
     since = F.add_months(F.lit(as_of), -months)
     heads = kind.heads(D).filter(F.col("active") & (F.col(kind.date) >= since))
-    lines = kind.lines(D).filter("active")
+    totals = (
+        kind.lines(D)
+        .filter("active")
+        .groupBy("company", kind.number)
+        .agg(F.sum("amount").alias("amount"))
+    )
     return (
-        lines.select("company", kind.number, "amount")
-        .join(heads.select("company", kind.number, kind.party), ["company", kind.number])
+        totals.join(heads.select("company", kind.number, kind.party), ["company", kind.number])
         .groupBy("company", kind.party)
         .agg(F.sum("amount").cast(VALUE).alias("value"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import of_heads
 from tallyhouse.functions.ordering import newest
 from tallyhouse.functions.predicates import contains_pattern, in_range, scoped
 from tallyhouse.operators.documents import PURCHASE, SALES, DocumentKind, parts_with_unit
@@ -45,7 +46,7 @@ def history(
         heads = heads.join(parties.filter(wanted_party), ["company", kind.party])
     if wanted_part is not None:
         lines = lines.join(parts.filter(wanted_part), ["company", "partnum"])
-    rows = lines.join(heads, ["company", kind.number])
+    rows = of_heads(lines, heads, ["company", kind.number])
     if limit is not None:
         rows = rows.orderBy(*order).limit(limit)
     if wanted_party is None:
@@ -75,7 +76,8 @@ def history_summary(
     date_to=None,
 ) -> DataFrame:
     """Documents, lines, quantity and value under the history filters; the sums are
-    NULL when no line matches. Name filters act as semi joins on the small side."""
+    NULL when no line matches. Name filters act as semi joins on the small side; lines are
+    summed per document before they meet the heads, so a huge document is one row."""
     lines = scoped(kind.lines(D), active=True).select(
         "company", kind.number, "partnum", "quantity", "amount"
     )
@@ -91,13 +93,15 @@ def history_summary(
             parts_with_unit(D).filter(wanted_part), ["company", "partnum"], "left_semi"
         )
     return (
-        lines.join(heads, ["company", kind.number], "left_semi")
-        .groupBy(kind.number)
+        lines.groupBy("company", kind.number)
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum("quantity").alias("quantity"),
             F.sum("amount").alias("amount"),
         )
+        .join(heads, ["company", kind.number], "left_semi")
+        .groupBy(kind.number)
+        .agg(*[F.sum(c).alias(c) for c in ("lines", "quantity", "amount")])
         .agg(
             F.count(F.lit(1)).alias("total_documents"),
             F.coalesce(F.sum("lines"), F.lit(0)).alias("total_line_items"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.joins import of_heads
 from tallyhouse.functions.ordering import newest, top_n_per
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.operators.documents import PURCHASE, SALES, DocumentKind
@@ -68,15 +69,19 @@ def top_parts(D: Tables, kind: DocumentKind, n: int = 5) -> DataFrame:
     sums = ["purchase_count", "total_quantity", "total_value"]
     bought = (
         scoped(kind.lines(D), active=True)
-        .select(kind.number, "partnum", "quantity", "amount")
-        .join(scoped(kind.heads(D)).select(kind.number, kind.party), kind.number)
-        .groupBy(kind.party, "partnum")
+        .groupBy(kind.number, "partnum")
         .agg(
             F.count(F.lit(1)).alias(sums[0]),
             F.sum("quantity").alias(sums[1]),
             F.sum("amount").alias(sums[2]),
         )
     )
+    heads = scoped(kind.heads(D)).select(kind.number, kind.party)
+    bought = (
+        of_heads(bought, heads, [kind.number])
+        .groupBy(kind.party, "partnum")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
     parts = scoped(D.part).select(F.col("part_num").alias("partnum"), "part_num", "part_desc")
     named = (
         bought.join(parts, "partnum", "left")
@@ -96,7 +101,7 @@ def part_recent_documents(D: Tables, kind: DocumentKind, n: int = 5) -> DataFram
     )
     heads = scoped(kind.heads(D)).select("company", kind.number, kind.date, kind.party)
     order = [*newest(kind.date, kind.number), F.col("rowid")]
-    recent = top_n_per(lines.join(heads, kind.number), ["partnum"], order, n)
+    recent = top_n_per(of_heads(lines, heads, [kind.number]), ["partnum"], order, n)
     return recent.join(kind.parties(D), ["company", kind.party], "left").select(
         F.col("partnum").alias("part_num"),
         kind.number,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
-from tallyhouse.functions.values import money
 from tallyhouse.operators.documents import parts_with_unit
 from tallyhouse.tables import Tables
 
@@ -79,7 +78,7 @@ def po_receipt_status(D: Tables, per_po: bool = False) -> DataFrame:
 def pending_value(D: Tables, per_po: bool = False) -> DataFrame:
     """Per order line the value still to be received, 0 where quantity or price is
     missing."""
-    value = money(F.col("pending_qty") * F.col("unit_price"))
+    value = (F.col("pending_qty") * F.col("unit_price")).cast("decimal(28,2)")
     return po_receipt_status(D, per_po).select(
         "po_no",
         "rowid",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -52,19 +53,39 @@ def export_report(
     df.write.mode("overwrite").format(fmt).options(**options).save(path)
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Writes a new version of the tables next to the old ones and names it current last,
-    so readers see either all of a batch or nothing of it."""
+MANIFEST = "version bigint, name string, path string"
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: int) -> None:
+    """Writes the changed ``tables`` as a new version and lists all tables of it last, so readers
+    see either all of a batch or nothing of it. Tables that do not change keep their files.
+    The first version has no list to carry over; later versions must have higher numbers."""
+    listed = _manifest(spark, root)
+    before = max((row.version for row in listed), default=None)
+    if before is not None and version <= before:
+        raise ValueError(f"version {version} does not follow {before}")
+    kept = {row.name: row.path for row in listed if row.version == before}
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    current = spark.range(1).select(F.lit(version).alias("version"))
+        kept[name] = f"{root}/{version}/{name}"
+        rows.write.mode("overwrite").parquet(kept[name])
+    rows = [(version, name, path) for name, path in kept.items()]
+    current = spark.createDataFrame(rows, MANIFEST).coalesce(1)
     current.write.mode("append").parquet(f"{root}/versions")
 
 
+def _manifest(spark: SparkSession, root: str) -> list:
+    """One row a version and table: a few rows, whatever the data."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{root}/versions").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def published(spark: SparkSession, root: str) -> Tables:
     """The tables of the highest published version."""
-    marks = spark.read.schema("version string").parquet(f"{root}/versions")
-    version = marks.agg(F.max("version")).first()[0]
-    return Tables(
-        lambda name: spark.read.schema(schema(name)).parquet(f"{root}/{version}/{name}")
-    )
+    listed = _manifest(spark, root)
+    version = max(row.version for row in listed)
+    paths = {row.name: row.path for row in listed if row.version == version}
+    return Tables(lambda name: spark.read.schema(schema(name)).parquet(paths[name]))

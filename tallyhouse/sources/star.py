@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.functions.ordering import running_totals
-from tallyhouse.schemas import conform, schema
+from tallyhouse.schemas import schema
 from tallyhouse.tables import Tables
 
 STAR_DDL = {
@@ -93,17 +93,30 @@ class _Star:
         return self.read("lineitem").withColumn("po", _po_number())
 
     def unit(self) -> DataFrame:
-        return self.spark.sql(
-            "select * from values (1, 0, 'EACH', true), (1, 1, 'BOX', true),"
-            " (1, 2, 'KG', false), (2, 1, 'BOX-2', true) as t(company, unit_id, unit_desc, active)"
+        sizes = self.read("part").selectExpr("p_size % 4 as unit").where("unit is not null").distinct()
+        companies = "case unit when 1 then array(1, 2) when 3 then array(2) else array(1) end"
+        return _rows(
+            sizes.withColumn("company", F.explode(F.expr(companies))),
+            "unit",
+            company="company",
+            unit_id="unit",
+            unit_desc="""case when unit = 0 then 'EACH' when unit = 2 then 'KG'
+                when unit = 3 then 'SET' when company = 1 then 'BOX' else 'BOX-2' end""",
+            active="unit <> 2",
         )
 
     def tax(self) -> DataFrame:
-        rows = self.spark.sql(
-            "select * from values (1, 0, 'GST 5', 5, true), (1, 1, 'GST 12', 12, true),"
-            " (1, 2, 'GST 18', 18, false) as t(company, tax_id, tax_desc, tax_percent, active)"
+        sizes = self.read("part").selectExpr("p_size % 5 as tax").where("tax is not null").distinct()
+        percent = "case tax when 0 then 5 when 1 then 12 when 2 then 18 else 28 end"
+        return _rows(
+            sizes,
+            "tax",
+            company="case when tax < 3 then 1 else 2 end",
+            tax_id="tax",
+            tax_desc=f"concat('GST ', {percent})",
+            tax_percent=percent,
+            active="tax <> 2",
         )
-        return conform(rows, "tax")
 
     def part(self) -> DataFrame:
         return _rows(
@@ -133,9 +146,9 @@ class _Star:
             self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")
         )
         return _rows(
-            rows.filter("s_suppkey % 50 <> 49"),
+            rows,
             "vendor",
-            company="1",
+            company="case when s_suppkey % 50 = 49 then 2 else 1 end",
             vendor_code="s_suppkey",
             vendor_name="s_name",
             state="n_name",
@@ -149,9 +162,9 @@ class _Star:
             self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
         return _rows(
-            rows.filter("c_custkey % 100 <> 99"),
+            rows,
             "customer",
-            company="1",
+            company="case when c_custkey % 100 = 99 then 2 else 1 end",
             customer_code="c_custkey",
             customer_name="c_name",
             state="n_name",
@@ -189,7 +202,7 @@ class _Star:
         )
 
     def received_lines(self) -> DataFrame:
-        return self.purchase_lines().filter("l_linestatus = 'F' and l_suppkey % 3 <> 0")
+        return self.purchase_lines().filter("l_linestatus = 'F'")
 
     def goods_receipt_tran(self) -> DataFrame:
         lines = _positions(self.received_lines(), "po")
@@ -270,7 +283,7 @@ class _Star:
             ledger,
             "stock_update",
             company="1",
-            update_id="l_partkey * 100000 + position",
+            update_id="l_partkey * 4294967296 + position",
             part_num="case when l_partkey % 97 = 0 then null else l_partkey end",
             type="""case when l_linestatus = 'F' and l_returnflag <> 'R' then 'IN'
                 when l_linestatus = 'F' then 'INCREASE'
@@ -299,11 +312,11 @@ class _Star:
         slots = F.when(F.col("event_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
             F.array(F.lit(1))
         )
-        rows = self.read("events").filter("event_id % 3 <> 0").withColumn("k", F.explode(slots))
+        rows = self.read("events").withColumn("k", F.explode(slots))
         return _rows(
             rows,
             "indent_request_tran",
-            company="1",
+            company="case when event_id % 3 = 0 then 2 else 1 end",
             indent_id="event_id",
             rowid="k",
             partnum="user_id",

@@ -20,8 +20,8 @@ def invoice_forms(D: Tables) -> Batch:
         D.sales_invoice_head,
         submission_id="inv_no",
         doc_no="""case when inv_no % 13 = 0 then inv_no
-            when inv_no % 11 = 0 then inv_no + 100000000
-            when inv_no % 17 = 0 then 900000000 + customer % 5 end""",
+            when inv_no % 11 = 0 then -inv_no
+            when inv_no % 17 = 0 then -1 - customer % 5 end""",
         doc_date="case when inv_no % 19 <> 0 then inv_dt end",
         party="customer",
         remarks="cast(null as string)",
@@ -71,7 +71,7 @@ def receipt_forms(D: Tables) -> Batch:
     heads = _shaped(
         D.purchase_order_head,
         submission_id="po_no",
-        po_no="case when po_no % 7 = 0 then po_no + 1000000000 else po_no end",
+        po_no="case when po_no % 7 = 0 then -po_no else po_no end",
         grn_date="case when po_no % 23 <> 0 then date_add(po_date, 20) end",
     )
     return Batch(heads, _entered(D.purchase_order_tran, "po_no"))
@@ -151,7 +151,7 @@ def part_forms(D: Tables) -> DataFrame:
         D.part,
         submission_id="part_num",
         part_num="""case when part_num % 6 = 0 then ' ' when part_num % 5 = 0
-            then cast(part_num + 1000000 as string) when part_num % 4 = 0
+            then cast(-part_num as string) when part_num % 4 = 0
             then cast(part_num div 8 * 8 + 1 as string) else cast(part_num as string) end""",
         part_desc="case when part_num % 40 = 1 then '' else concat(part_desc, ' v2') end",
         part_type="part_type",

@@ -1,12 +1,17 @@
 """One key with a third of all rows: right results, and work split over tasks."""
 
+import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.ordering import newest, running_totals, top_n_per
+from tallyhouse.operators import dashboard, history, parties
+from tallyhouse.sources.star import star_tables
 
 ROWS = 6000
 
@@ -64,6 +69,8 @@ def eager_skew_handling(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        # Test data is so small that all of it would otherwise come from one map task.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for key, value in settings.items():
@@ -90,3 +97,63 @@ def test_join_leaves_null_keys_unmatched(spark):
     info = spark.createDataFrame([(None, "x"), (2, "y")], "k int, label string")
     got = {(r.id, r.k, r.label) for r in with_per_key(rows, info, ["k"]).collect()}
     assert got == {(1, None, None), (2, 2, "y"), (3, 3, None)}
+
+
+@pytest.fixture
+def hot_order(spark, tmp_path):
+    """The star tables with 40 % of all lines on one vendor and month, and order keys as far
+    apart as in large data, so that the hot order has many segments."""
+    for source in Path(SF_DIR).iterdir():
+        if source.stem != "lineitem":
+            (tmp_path / source.name).symlink_to(source)
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    hot = F.col("l_orderkey") % 5 < 2
+    lines.withColumns(
+        {
+            "l_orderkey": F.col("l_orderkey") * 1_000_000,
+            "l_suppkey": F.when(hot, F.lit(1).cast("bigint")).otherwise(F.col("l_suppkey")),
+            "l_shipdate": F.when(hot, F.lit("1997-03-04").cast("timestamp_ntz")).otherwise(
+                F.col("l_shipdate")
+            ),
+        }
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return star_tables(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        lambda D: history.purchase_history(D, limit=None),
+        parties.part_recent_purchases,
+        parties.top_parts_by_vendor,
+    ],
+)
+def test_lines_of_a_hot_order_are_split(eager_skew_handling, hot_order, report):
+    df = report(hot_order)
+    assert df.collect()
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        history.purchase_summary,
+        lambda D: dashboard.top_vendors(D, dt.date(1997, 6, 1)),
+        lambda D: dashboard.revenue_vs_expense(D, dt.date(1997, 6, 1)),
+    ],
+)
+def test_lines_are_summed_before_they_meet_the_heads(eager_skew_handling, hot_order, report):
+    """Below every join of the plan, lines have passed a partial aggregate on their document."""
+    df = report(hot_order)
+    assert df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(plan)}
+    for i, line in enumerate(plan):
+        if "Relation [" not in line or "l_quantity" not in line and "l_extendedprice" not in line:
+            continue
+        above, at = [], depth[i]
+        for j in range(i - 1, -1, -1):
+            if depth[j] < at:
+                at = depth[j]
+                above.append(plan[j].lstrip(" :+-").split()[0])
+        assert "Aggregate" in above and above.index("Aggregate") < above.index("Join")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from compare import rows
 from conftest import SF_DIR, records
 from pyspark.sql import functions as F
@@ -58,10 +60,14 @@ def test_export_formats(spark, frame, tmp_path):
 
 def test_publication_shows_the_last_complete_version(spark, frame, tmp_path):
     root = str(tmp_path)
-    publish(spark, {"unit": frame("unit", {"unit_id": 1})}, root, "0001")
-    publish(spark, {"unit": frame("unit", {"unit_id": 2})}, root, "0002")
-    frame("unit", {"unit_id": 3}).write.parquet(f"{root}/0003/unit")
+    first = {"unit": frame("unit", {"unit_id": 1}), "tax": frame("tax", {"tax_id": 7})}
+    publish(spark, first, root, 9)
+    publish(spark, {"unit": frame("unit", {"unit_id": 2})}, root, 10)
+    frame("unit", {"unit_id": 3}).write.parquet(f"{root}/11/unit")
     assert records(published(spark, root).unit, "unit_id") == [(2,)]
+    assert records(published(spark, root).tax, "tax_id") == [(7,)]
+    with pytest.raises(ValueError):
+        publish(spark, first, root, 10)
 
 
 def test_stream_numbers_movements_across_batches(spark, frame, tmp_path):
