@@ -8,6 +8,7 @@ form has to fit one row; ``explode_batch`` accepts the nested layout as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,19 +24,47 @@ class Batch:
     lines: DataFrame
 
 
+class Frames(Mapping):
+    """Frames by table, each built when first asked for: numbering runs Spark jobs, which a
+    caller that wants the rejects or another table should not wait for."""
+
+    def __init__(self, **builders: Callable[[], DataFrame]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._builders
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 @dataclass(frozen=True)
 class Posting:
     """``added``: rows to append per table; ``state``: full new content of tables in which
     rows changed; ``rejects``: submission key and reasons."""
 
     rejects: DataFrame
-    added: dict[str, DataFrame] = field(default_factory=dict)
-    state: dict[str, DataFrame] = field(default_factory=dict)
+    added: Mapping[str, DataFrame] = field(default_factory=dict)
+    state: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def apply(self, D: Tables) -> Tables:
         """The tables as they are after the posting."""
-        appended = {t: getattr(D, t).unionByName(rows) for t, rows in self.added.items()}
-        return D.replace(**appended, **self.state)
+
+        def table(name: str) -> DataFrame:
+            if name in self.state:
+                return self.state[name]
+            rows = getattr(D, name)
+            return rows.unionByName(self.added[name]) if name in self.added else rows
+
+        return Tables(table)
 
 
 def explode_batch(forms: DataFrame) -> Batch:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +13,7 @@ from tallyhouse.operators.catalog import LOOKUPS
 from tallyhouse.operators.documents import KINDS, DocumentKind
 from tallyhouse.plans.batches import (
     Batch,
+    Frames,
     Posting,
     accepted,
     check_numbers,
@@ -58,28 +60,31 @@ def post_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.date)
     lines = entered_lines(batch.lines)
     existing = scoped(kind.heads(D)).select(F.col(kind.number).alias("doc_no"))
     forms = batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
-    checked = in_order(
-        check_numbers(forms, "doc_no", existing, head_rules()).drop("unreadable"),
-        "submission_id",
-    )
-    posted = accepted(checked)
-    given = posted.filter("doc_no is not null")
-    numbered = assign_numbers(
-        posted.filter("doc_no is null"), "doc_no", existing, given.select("doc_no")
-    )
-    heads = (
-        given.unionByName(numbered)
-        .withColumnsRenamed({"doc_no": kind.number, "doc_date": kind.date, "party": kind.party})
-        .withColumn("active", F.lit(True))
-    )
+    checked = check_numbers(forms, "doc_no", existing, head_rules()).drop("unreadable")
+
+    @cache
+    def heads() -> DataFrame:
+        posted = in_order(accepted(checked), "submission_id")
+        given = posted.filter("doc_no is not null")
+        numbered = assign_numbers(
+            posted.filter("doc_no is null"), "doc_no", existing, given.select("doc_no")
+        )
+        names = {"doc_no": kind.number, "doc_date": kind.date, "party": kind.party}
+        rows = given.unionByName(numbered).withColumnsRenamed(names)
+        return rows.withColumn("active", F.lit(True))
+
+    def tran() -> DataFrame:
+        numbers = heads().select("submission_id", kind.number, "active")
+        return line_rows(lines, numbers, kind, as_of)
+
     return Posting(
         rejects=rejected(checked, "submission_id"),
-        added={
-            kind.head: conform(stamped(heads, "created_by", as_of), kind.head),
-            kind.tran: line_rows(
-                lines, heads.select("submission_id", kind.number, "active"), kind, as_of
-            ),
-        },
+        added=Frames(
+            **{
+                kind.head: lambda: conform(stamped(heads(), "created_by", as_of), kind.head),
+                kind.tran: tran,
+            }
+        ),
     )
 
 

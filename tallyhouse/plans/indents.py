@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,6 +11,7 @@ from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.plans.batches import (
     Batch,
+    Frames,
     Posting,
     accepted,
     check_numbers,
@@ -65,37 +67,36 @@ def create_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
     quantity; an id that exists or repeats in the batch rejects the form."""
     lines = requested_lines(batch.lines)
     existing = scoped(getattr(D, HEAD)).select("indent_id")
-    checked = in_order(
-        check_numbers(_facts(batch, lines), "indent_id", existing, _checks()).drop(
-            "unreadable", "valid_lines"
-        ),
-        "submission_id",
-    )
-    posted = accepted(checked)
-    given = posted.filter("indent_id is not null")
-    numbered = assign_numbers(
-        posted.filter("indent_id is null"), "indent_id", existing, given.select("indent_id")
-    )
-    heads = given.unionByName(numbered).withColumns(
-        {
-            "company": F.lit(1),
-            "status": F.lit(PENDING),
-            "active": F.lit(True),
-            "created": F.lit(now),
-            "updated": F.lit(now),
-        }
+    checked = check_numbers(_facts(batch, lines), "indent_id", existing, _checks()).drop(
+        "unreadable", "valid_lines"
     )
+
+    @cache
+    def heads() -> DataFrame:
+        posted = in_order(accepted(checked), "submission_id")
+        given = posted.filter("indent_id is not null")
+        numbered = assign_numbers(
+            posted.filter("indent_id is null"), "indent_id", existing, given.select("indent_id")
+        )
+        return given.unionByName(numbered).withColumns(
+            {
+                "company": F.lit(1),
+                "status": F.lit(PENDING),
+                "active": F.lit(True),
+                "created": F.lit(now),
+                "updated": F.lit(now),
+            }
+        )
+
+    def tran() -> DataFrame:
+        numbers = heads().select("submission_id", "indent_id", "active")
+        rows = lines.join(numbers, "submission_id").withColumn("company", F.lit(1))
+        return conform(rows, TRAN)
+
     return Posting(
         rejects=rejected(checked, "submission_id"),
-        added={
-            HEAD: conform(heads, HEAD),
-            TRAN: conform(
-                lines.join(heads.select("submission_id", "indent_id", "active"), "submission_id")
-                .withColumn("company", F.lit(1)),
-                TRAN,
-            ),
-        },
-    )
+        added=Frames(**{HEAD: lambda: conform(heads(), HEAD), TRAN: tran}),
+    )
 
 
 def update_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.functions.values import normalise
 from tallyhouse.operators.catalog import LOOKUPS
-from tallyhouse.plans.batches import Posting, accepted, rejected, with_reasons
+from tallyhouse.plans.batches import Frames, Posting, accepted, rejected, with_reasons
 from tallyhouse.plans.documents import USER
 from tallyhouse.plans.numbering import assign_numbers, in_order
 from tallyhouse.schemas import schema
@@ -44,49 +44,49 @@ def upsert_master(D: Tables, kind: str, forms: DataFrame, as_of: dt.date) -> Pos
             )
         ).alias("unread"),
     )
-    checked = in_order(
-        with_reasons(
-            typed,
-            {
-                f"missing {name}": F.col(name).isNull(),
-                "unreadable field": F.size("unread") > 0,
-            },
-        ).drop("unread"),
-        "submission_id",
-    )
-    posted = accepted(checked)
-    existing = scoped(getattr(D, kind)).select(key)
-    given = posted.filter(F.col(key).isNotNull())
-    numbered = assign_numbers(
-        posted.filter(F.col(key).isNull()), key, existing, given.select(key)
-    )
-    names = [f.name for f in fields if f.name != key]
-    latest = (
-        given.unionByName(numbered.select(*given.columns))
-        .groupBy(key)
-        .agg(
-            F.max(F.struct("submission_id", *names)).alias("form"),
-            F.count(F.lit(1)).alias("forms"),
+    checked = with_reasons(
+        typed,
+        {
+            f"missing {name}": F.col(name).isNull(),
+            "unreadable field": F.size("unread") > 0,
+        },
+    ).drop("unread")
+
+    def merged_table() -> DataFrame:
+        posted = in_order(accepted(checked), "submission_id")
+        existing = scoped(getattr(D, kind)).select(key)
+        given = posted.filter(F.col(key).isNotNull())
+        numbered = assign_numbers(
+            posted.filter(F.col(key).isNull()), key, existing, given.select(key)
         )
-        .select(F.lit(1).alias("company"), key, "form", "forms")
-    )
-    old = getattr(D, kind)
-    merged = old.withColumn("_old", F.lit(True)).join(latest, ["company", key], "full_outer")
-    touched = F.col("form").isNotNull()
-    inserted_once = F.col("_old").isNull() & (F.col("forms") == 1)
-    values = {n: F.when(touched, F.col(f"form.{n}")).otherwise(F.col(n)) for n in names}
-    values["active"] = (
-        F.when(inserted_once, F.lit(True))
-        .when(touched, F.col("form.active"))
-        .otherwise(F.col("active"))
-    )
-    values["created_by"] = F.when(F.col("_old").isNull(), F.lit(USER)).otherwise(
-        F.col("created_by")
-    )
-    values["updated"] = F.when(touched, F.lit(as_of)).otherwise(F.col("updated"))
+        names = [f.name for f in fields if f.name != key]
+        latest = (
+            given.unionByName(numbered.select(*given.columns))
+            .groupBy(key)
+            .agg(
+                F.max(F.struct("submission_id", *names)).alias("form"),
+                F.count(F.lit(1)).alias("forms"),
+            )
+            .select(F.lit(1).alias("company"), key, "form", "forms")
+        )
+        old = getattr(D, kind)
+        merged = old.withColumn("_old", F.lit(True)).join(latest, ["company", key], "full_outer")
+        touched = F.col("form").isNotNull()
+        inserted_once = F.col("_old").isNull() & (F.col("forms") == 1)
+        values = {n: F.when(touched, F.col(f"form.{n}")).otherwise(F.col(n)) for n in names}
+        values["active"] = (
+            F.when(inserted_once, F.lit(True))
+            .when(touched, F.col("form.active"))
+            .otherwise(F.col("active"))
+        )
+        values["created_by"] = F.when(F.col("_old").isNull(), F.lit(USER)).otherwise(
+            F.col("created_by")
+        )
+        values["updated"] = F.when(touched, F.lit(as_of)).otherwise(F.col("updated"))
+        return merged.withColumns(values).select(*old.columns)
+
     return Posting(
-        rejects=rejected(checked, "submission_id"),
-        state={kind: merged.withColumns(values).select(*old.columns)},
+        rejects=rejected(checked, "submission_id"), state=Frames(**{kind: merged_table})
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from tallyhouse.functions.predicates import scoped
 from tallyhouse.operators.documents import RECEIPT
 from tallyhouse.plans.batches import (
     Batch,
+    Frames,
     Posting,
     accepted,
     entered_lines,
@@ -36,45 +38,53 @@ def post_receipts(D: Tables, batch: Batch, as_of: dt.date) -> Posting:
         "po_no", "vendor", F.lit(True).alias("known")
     )
     forms = batch.heads.join(unreadable(lines, *LINE_NUMBERS), "submission_id", "left")
-    checked = in_order(
-        with_reasons(
-            with_per_key(forms, orders, ["po_no"]),
-            {
-                "unknown purchase order": F.col("known").isNull(),
-                "missing date": F.col("grn_date").isNull(),
-                "unreadable line": F.col("unreadable"),
-            },
-        ).select("submission_id", "po_no", "vendor", "grn_date", "reasons"),
-        "submission_id",
-    )
-    heads = (
-        assign_numbers(
-            accepted(checked), "grn_no", scoped(D.goods_receipt_head).select("grn_no")
+    checked = with_reasons(
+        with_per_key(forms, orders, ["po_no"]),
+        {
+            "unknown purchase order": F.col("known").isNull(),
+            "missing date": F.col("grn_date").isNull(),
+            "unreadable line": F.col("unreadable"),
+        },
+    ).select("submission_id", "po_no", "vendor", "grn_date", "reasons")
+
+    @cache
+    def heads() -> DataFrame:
+        existing = scoped(D.goods_receipt_head).select("grn_no")
+        return (
+            assign_numbers(in_order(accepted(checked), "submission_id"), "grn_no", existing)
+            .withColumnRenamed("grn_date", "grn_dt")
+            .withColumn("active", F.lit(True))
         )
-        .withColumnRenamed("grn_date", "grn_dt")
-        .withColumn("active", F.lit(True))
-    )
-    received = in_order(
-        lines.join(heads.select("submission_id", "grn_no", "grn_dt", "active"), "submission_id"),
-        "submission_id",
-        "rowid",
-    )
-    movements = assign_numbers(
-        received, "update_id", scoped(D.stock_update).select("update_id")
-    ).select(
-        "update_id",
-        F.col("partnum").alias("part_num"),
-        F.lit("IN").alias("type"),
-        F.col("quantity").alias("qty"),
-        F.col("grn_dt").alias("update_date"),
-    )
+
+    def received() -> DataFrame:
+        numbers = heads().select("submission_id", "grn_no", "grn_dt", "active")
+        return lines.join(numbers, "submission_id")
+
+    def movements() -> DataFrame:
+        rows = in_order(received(), "submission_id", "rowid")
+        return assign_numbers(
+            rows, "update_id", scoped(D.stock_update).select("update_id")
+        ).select(
+            "update_id",
+            F.col("partnum").alias("part_num"),
+            F.lit("IN").alias("type"),
+            F.col("quantity").alias("qty"),
+            F.col("grn_dt").alias("update_date"),
+        )
+
     return Posting(
         rejects=rejected(checked, "submission_id"),
-        added={
-            RECEIPT.head: conform(stamped(heads, "created_by", as_of), RECEIPT.head),
-            RECEIPT.tran: conform(stamped(received, "createdby", as_of), RECEIPT.tran),
-            "stock_update": conform(stamped(movements, "created_by", as_of), "stock_update"),
-        },
+        added=Frames(
+            **{
+                RECEIPT.head: lambda: conform(stamped(heads(), "created_by", as_of), RECEIPT.head),
+                RECEIPT.tran: lambda: conform(
+                    stamped(received(), "createdby", as_of), RECEIPT.tran
+                ),
+                "stock_update": lambda: conform(
+                    stamped(movements(), "created_by", as_of), "stock_update"
+                ),
+            }
+        ),
     )
 
 
@@ -82,23 +92,26 @@ def post_movements(
     D: Tables, batch: DataFrame, as_of: dt.date, types: list[str] = MOVEMENTS
 ) -> Posting:
     """Ledger rows dated ``as_of`` from (submission_id, part_num, type, quantity)."""
-    checked = in_order(
-        with_reasons(
-            batch,
-            {
-                "missing part": F.col("part_num").isNull(),
-                "missing quantity": F.col("quantity").isNull(),
-                "unknown type": ~F.coalesce(F.col("type").isin(*types), F.lit(False)),
-            },
-        ),
-        "submission_id",
+    checked = with_reasons(
+        batch,
+        {
+            "missing part": F.col("part_num").isNull(),
+            "missing quantity": F.col("quantity").isNull(),
+            "unknown type": ~F.coalesce(F.col("type").isin(*types), F.lit(False)),
+        },
     )
-    rows = assign_numbers(
-        accepted(checked), "update_id", scoped(D.stock_update).select("update_id")
-    ).withColumns({"qty": F.col("quantity"), "update_date": F.lit(as_of)})
+
+    def rows() -> DataFrame:
+        ordered = in_order(
+            accepted(checked).select("submission_id", "part_num", "type", "quantity"), "submission_id"
+        )
+        numbered = assign_numbers(
+            ordered, "update_id", scoped(D.stock_update).select("update_id")
+        ).withColumns({"qty": F.col("quantity"), "update_date": F.lit(as_of)})
+        return conform(stamped(numbered, "created_by", as_of), "stock_update")
+
     return Posting(
-        rejects=rejected(checked, "submission_id"),
-        added={"stock_update": conform(stamped(rows, "created_by", as_of), "stock_update")},
+        rejects=rejected(checked, "submission_id"), added=Frames(stock_update=rows)
     )
 
 

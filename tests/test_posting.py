@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import records
+from conftest import SF_DIR, records
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import stock
@@ -15,6 +15,8 @@ from tallyhouse.plans.indents import create_indents, transition_indents, update_
 from tallyhouse.plans.masters import upsert_master
 from tallyhouse.plans.numbering import assign_numbers, in_order
 from tallyhouse.plans.stock import post_adjustments, post_movements, post_receipts
+from tallyhouse.sources import star_batches as forms
+from tallyhouse.sources.star import star_tables
 
 TODAY = dt.date(2024, 5, 1)
 NOW = dt.datetime(2024, 5, 1, 9, 30)
@@ -344,3 +346,17 @@ def test_receipt_validation(tables, batch):
     assert sorted(records(bad, "submission_id", "reasons")) == [
         (2, ["more than pending"]), (3, ["nothing received"]), (4, ["nothing received"])
     ]
+
+
+def test_rejects_need_no_job(spark):
+    """Numbering runs jobs; a posting's checks and its list of rejects are plans only."""
+    D = star_tables(spark, SF_DIR)
+    spark.sparkContext.setJobGroup("building", "postings without an action")
+    post_documents(D, PURCHASE, forms.order_edits(D), TODAY).rejects
+    post_receipts(D, forms.receipt_forms(D), TODAY).rejects
+    post_movements(D, forms.movement_forms(D), TODAY).rejects
+    create_indents(D, forms.new_indents(D), NOW).rejects
+    upsert_master(D, "part", forms.part_forms(D), TODAY).rejects
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
