@@ -301,6 +301,35 @@ def _decisions(D: Tables, strict: bool = False) -> Posting:
     return post_indents.transition_indents(D, forms.indent_decisions(D), strict)
 
 
+def _orders(D: Tables) -> Posting:
+    return post_docs.post_documents(D, PO, forms.order_forms(D), AS_OF)
+
+
+def _invoice_edits(D: Tables) -> Posting:
+    return post_docs.replace_documents(D, SI, forms.invoice_edits(D), AS_OF)
+
+
+def _deleted_invoices(D: Tables) -> Posting:
+    """The invoices of inactive customers."""
+    inactive = P.scoped(D.customer).filter("not active").select(
+        F.col("customer_code").alias("customer")
+    )
+    keys = D.sales_invoice_head.join(inactive, "customer", "left_semi")
+    return post_docs.soft_delete(D, "sales", keys, AS_OF)
+
+
+def _deleted_customers(D: Tables) -> Posting:
+    """The customers of inactive invoices."""
+    keys = D.sales_invoice_head.filter("not active").selectExpr("customer as customer_code")
+    return post_docs.soft_delete(D, "customer", keys, AS_OF)
+
+
+def _deleted_parts(D: Tables) -> Posting:
+    """The parts of inactive order lines."""
+    keys = D.purchase_order_tran.filter("not active").selectExpr("partnum as part_num")
+    return post_docs.soft_delete(D, "part", keys, AS_OF)
+
+
 def _parts(D: Tables) -> Posting:
     return post_masters.upsert_master(D, "part", forms.part_forms(D), AS_OF)
 
@@ -357,6 +386,33 @@ POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
         "inv_no", "rowid", "partnum", "quantity", "unit_price", "amount", "active"
     ),
     "post_invoices_rejects": lambda D: _reasons(_invoices(D).rejects, "submission_id"),
+    "post_orders_heads": lambda D: _orders(D).added[PO.head].select(
+        "po_no", "po_date", "vendor", "active", "updated"
+    ),
+    "post_orders_lines": lambda D: _orders(D).added[PO.tran].select(
+        "po_no", "rowid", "partnum", "quantity", "unit_price", "amount", "active"
+    ),
+    "post_orders_rejects": lambda D: _reasons(_orders(D).rejects, "submission_id"),
+    "replace_invoices_heads": lambda D: _invoice_edits(D).state[SI.head].select(
+        "inv_no", "inv_dt", "customer", "remarks", "active"
+    ),
+    "replace_invoices_lines": lambda D: _invoice_edits(D).state[SI.tran].select(
+        "inv_no", "rowid", "partnum", "quantity", "amount", "active"
+    ),
+    "replace_invoices_rejects": lambda D: _reasons(_invoice_edits(D).rejects, "submission_id"),
+    "delete_invoices_heads": lambda D: _deleted_invoices(D).state[SI.head].select(
+        "inv_no", "active"
+    ),
+    "delete_invoices_lines": lambda D: _deleted_invoices(D).state[SI.tran].select(
+        "inv_no", "rowid", "active"
+    ),
+    "delete_customers": lambda D: _deleted_customers(D).state["customer"].select(
+        "customer_code", "active"
+    ),
+    "delete_parts": lambda D: _deleted_parts(D).state["part"].select("part_num", "active"),
+    "upsert_customers": lambda D: post_masters.upsert_master(
+        D, "customer", forms.customer_forms(D), AS_OF
+    ).state["customer"].select("customer_code", "customer_name", "active"),
     "replace_orders_heads": lambda D: _order_edits(D).state[PO.head].select(
         "po_no", "po_date", "vendor", "remarks", "active"
     ),
@@ -416,6 +472,27 @@ POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "upsert_vendors": lambda D: post_masters.upsert_master(
         D, "vendor", forms.vendor_forms(D), AS_OF
     ).state["vendor"].select("vendor_code", "vendor_name", "gst", "active"),
+    "validate_indent_heads": lambda D: _reasons(
+        validation.validate(forms.indent_heads(D), "indent")[1], "indent_id"
+    ),
+    "validate_indent_heads_accepted": lambda D: validation.validate(
+        forms.indent_heads(D), "indent"
+    )[0].select("indent_id"),
+    "validate_lines_accepted": lambda D: validation.validate(forms.tax_lines(D), "line")[
+        0
+    ].select("submission_id", "position"),
+    "validate_vendors_accepted": lambda D: validation.validate(
+        forms.shared_vendor_names(D), "vendor"
+    )[0].select("vendor_code"),
+    "validate_adjustments_accepted": lambda D: validation.validate(
+        forms.movement_forms(D), "adjustment"
+    )[0].select("submission_id"),
+    "validate_documents_accepted": lambda D: validation.validate_documents(
+        forms.invoice_forms(D)
+    )[0].select("submission_id"),
+    "validate_receipts_accepted": lambda D: validation.validate_receipts(
+        D, forms.receipt_forms(D), per_po=True
+    )[0].select("submission_id"),
     "validate_lines": lambda D: _reasons(
         validation.validate(forms.tax_lines(D), "line")[1], "submission_id", "position"
     ),

@@ -4,21 +4,24 @@ from oracle_reads import AS_OF, d
 
 START = "(select coalesce(max({col}), 0) from {table})"
 
-INVOICE_FORMS = """
-    forms as (select inv_no as submission_id,
-        case when inv_no % 13 = 0 then inv_no when inv_no % 11 = 0 then -inv_no
-            when inv_no % 17 = 0 then -1 - customer % 5 end as doc_no,
-        case when inv_no % 19 <> 0 then inv_dt end as doc_date, customer as party
-        from sales_invoice_head_t),
-    form_lines as (select inv_no as submission_id, rowid, partnum,
+
+
+def _document_forms(no, date, party, table):
+    return f"""
+    forms as (select {no} as submission_id,
+        case when {no} % 13 = 0 then {no} when {no} % 11 = 0 then -{no}
+            when {no} % 17 = 0 then -1 - {party} % 5 end as doc_no,
+        case when {no} % 19 <> 0 then {date} end as doc_date, {party} as party
+        from {table}_head_t),
+    form_lines as (select {no} as submission_id, rowid, partnum,
         case when partnum % 1001 = 7 then null else quantity end as quantity, unit_price
-        from sales_invoice_tran_t where partnum % 8 <> 3),
+        from {table}_tran_t where partnum % 8 <> 3),
     checked as (select f.*, concat_ws('; ',
             case when doc_date is null then 'missing date' end,
             case when party is null then 'missing party' end,
             case when submission_id in (select submission_id from form_lines
                 where quantity is null) then 'unreadable line' end,
-            case when doc_no in (select inv_no from sales_invoice_head_t)
+            case when doc_no in (select {no} from {table}_head_t)
                 then 'number exists' end) as reasons
         from forms f),
     firsts as (select doc_no, min(submission_id) as first_id from checked
@@ -27,14 +30,18 @@ INVOICE_FORMS = """
             case when c.reasons = '' and x.first_id <> c.submission_id
                 then 'number repeated in batch' else c.reasons end as reasons
         from checked c left join firsts x on c.doc_no = x.doc_no),
-    starting as (select greatest((select max(inv_no) from sales_invoice_head_t),
+    starting as (select greatest((select max({no}) from {table}_head_t),
         (select coalesce(max(doc_no), 0) from final where reasons = '')) as n),
     posted as (select submission_id, doc_date, party,
             coalesce(doc_no, n + row_number() over (
-                partition by doc_no is null order by submission_id)) as inv_no
+                partition by doc_no is null order by submission_id)) as {no}
         from final, starting where reasons = '')
 """
 
+
+INVOICE_FORMS = _document_forms("inv_no", "inv_dt", "customer", "sales_invoice")
+ORDER_FORMS = _document_forms("po_no", "po_date", "vendor", "purchase_order")
+
 RECEIPT_FORMS = f"""
     forms as (select po_no as submission_id,
         case when po_no % 7 = 0 then -po_no else po_no end as po_no,
@@ -168,6 +175,57 @@ POSTS = {
         from form_lines l join posted p on l.submission_id = p.submission_id""",
     "post_invoices_rejects": f"""with {INVOICE_FORMS}
         select submission_id, reasons from final where reasons <> ''""",
+    "post_orders_heads": f"""with {ORDER_FORMS}
+        select po_no, doc_date as po_date, party as vendor, true as active,
+            {AS_OF} as updated from posted""",
+    "post_orders_lines": f"""with {ORDER_FORMS}
+        select p.po_no, l.rowid, l.partnum, {d("l.quantity")}, {d("l.unit_price")},
+            {d("cast(l.quantity * l.unit_price as decimal(18,2))", "amount")}, true as active
+        from form_lines l join posted p on l.submission_id = p.submission_id""",
+    "post_orders_rejects": f"""with {ORDER_FORMS}
+        select submission_id, reasons from final where reasons <> ''""",
+    "replace_invoices_heads": """
+        select inv_no, case when inv_no % 31 = 0 then inv_dt
+                else cast(inv_dt + interval '1' day as date) end as inv_dt, customer,
+            case when inv_no % 31 <> 0 then 'edited' end as remarks,
+            case when inv_no % 31 = 0 then active else inv_no % 2 = 0 end as active
+        from sales_invoice_head_t""",
+    "replace_invoices_lines": f"""
+        with edited as (select inv_no from sales_invoice_head_t where inv_no % 31 <> 0)
+        select inv_no, rowid, partnum, {d("quantity")}, {d("amount")},
+            active and inv_no not in (select inv_no from edited) as active
+        from sales_invoice_tran_t
+        union all
+        select inv_no, rowid, partnum, {d("quantity")}, {d("amount")}, true
+        from sales_invoice_tran_t
+        where partnum % 8 <> 3 and inv_no in (select inv_no from edited)""",
+    "replace_invoices_rejects": """
+        select inv_no as submission_id, 'unknown document' as reasons
+        from sales_invoice_head_t where inv_no % 31 = 0""",
+    "delete_invoices_heads": """
+        select inv_no, active and customer not in (
+            select customer_code from customer_t where company = 1 and not active) as active
+        from sales_invoice_head_t""",
+    "delete_invoices_lines": """
+        select t.inv_no, t.rowid, t.active and h.inv_no is null as active
+        from sales_invoice_tran_t t left join sales_invoice_head_t h
+            on t.inv_no = h.inv_no and h.customer in (
+                select customer_code from customer_t where company = 1 and not active)""",
+    "delete_customers": """
+        select customer_code, active and not (company = 1 and customer_code in (
+            select customer from sales_invoice_head_t where not active)) as active
+        from customer_t""",
+    "delete_parts": """
+        select part_num, active and part_num not in (
+            select partnum from purchase_order_tran_t where not active) as active
+        from part_t""",
+    "upsert_customers": """
+        select customer_code, case when company = 1 then customer_name || ' Ltd'
+            else customer_name end as customer_name,
+            case when company = 1 then customer_code % 3 = 0 else active end as active
+        from customer_t
+        union all select customer_code, customer_name || ' Ltd', true
+        from customer_t where company = 2""",
     "replace_orders_heads": f"""with {EDIT_FORMS}
         select h.po_no, coalesce(e.doc_date, h.po_date) as po_date, h.vendor, e.remarks,
             case when e.po_no is not null then e.active else h.active end as active
@@ -302,7 +360,10 @@ POSTS = {
             case when part_num % 41 = 0 then 'unreadable field' end) as reasons
         from part_t where part_num % 40 = 1 or part_num % 41 = 0""",
     "upsert_vendors": """
-        select vendor_code, vendor_name, gst, vendor_code % 3 = 0 as active from vendor_t""",
+        select vendor_code, vendor_name, gst,
+            case when company = 1 then vendor_code % 3 = 0 else active end as active
+        from vendor_t
+        union all select vendor_code, vendor_name, gst, true from vendor_t where company = 2""",
     "validate_lines": """
         select * from (select po_no as submission_id, rowid as position, concat_ws('; ',
             case when partnum % 97 = 0 then 'missing part' end,
@@ -328,6 +389,11 @@ POSTS = {
         from stock_update_t) r where reasons <> ''""",
     "validate_indents": """
         select indent_id, 'bad requester' as reasons from indent_request_head_t""",
+    "validate_indent_heads": """
+        select indent_id, 'bad requester' as reasons from indent_request_head_t
+        where indent_id % 2 <> 0""",
+    "validate_indent_heads_accepted": """
+        select indent_id from indent_request_head_t where indent_id % 2 = 0""",
     "validate_documents": f"""with {INVOICE_FORMS}
         select submission_id, concat_ws('; ',
             case when doc_no is null then 'missing number' end,
@@ -353,3 +419,18 @@ POSTS = {
             from facts)
         select * from judged where reasons <> ''""",
 }
+
+# The accepted half of a validation: all forms but the rejected ones.
+ACCEPTED = {
+    "validate_lines": "select po_no as submission_id, rowid as position from purchase_order_tran_t",
+    "validate_vendors": "select vendor_code from vendor_t",
+    "validate_adjustments": "select update_id as submission_id from stock_update_t",
+    "validate_documents": "select inv_no as submission_id from sales_invoice_head_t",
+    "validate_receipts": "select po_no as submission_id from purchase_order_head_t",
+}
+KEYS = {"validate_lines": "submission_id, position", "validate_vendors": "vendor_code"}
+POSTS |= {
+    f"{name}_accepted": f"""select * from ({every}) a except
+        select {KEYS.get(name, "submission_id")} from (select * from ({POSTS[name]}) r) b"""
+    for name, every in ACCEPTED.items()
+}

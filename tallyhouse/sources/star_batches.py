@@ -29,6 +29,62 @@ def invoice_forms(D: Tables) -> Batch:
     return Batch(heads, _entered(D.sales_invoice_tran, "inv_no"))
 
 
+def order_forms(D: Tables) -> Batch:
+    """Every purchase order entered again as a new form."""
+    heads = _shaped(
+        D.purchase_order_head,
+        submission_id="po_no",
+        doc_no="""case when po_no % 13 = 0 then po_no when po_no % 11 = 0 then -po_no
+            when po_no % 17 = 0 then -1 - vendor % 5 end""",
+        doc_date="case when po_no % 19 <> 0 then po_date end",
+        party="vendor",
+        remarks="cast(null as string)",
+    )
+    return Batch(heads, _entered(D.purchase_order_tran, "po_no"))
+
+
+def invoice_edits(D: Tables) -> Batch:
+    """Every invoice edited once under its own number, every thirty-first under an unknown one."""
+    heads = _shaped(
+        D.sales_invoice_head,
+        submission_id="inv_no",
+        doc_no="case when inv_no % 31 = 0 then -inv_no - 1 else inv_no end",
+        doc_date="date_add(inv_dt, 1)",
+        party="customer",
+        remarks="'edited'",
+        active="inv_no % 2 = 0",
+    )
+    lines = _shaped(
+        D.sales_invoice_tran,
+        submission_id="inv_no",
+        position="rowid",
+        part_num="cast(partnum as string)",
+        quantity="case when partnum % 8 = 3 then '' else cast(quantity as string) end",
+        rate="cast(unit_price as string)",
+    )
+    return Batch(heads, lines)
+
+
+def customer_forms(D: Tables) -> DataFrame:
+    """Every customer's form under a new name."""
+    return _shaped(
+        D.customer,
+        submission_id="customer_code",
+        customer_code="cast(customer_code as string)",
+        customer_name="concat(customer_name, ' Ltd ')",
+        state="state",
+        active="case when customer_code % 3 = 0 then 'on' else 'off' end",
+    )
+
+
+def indent_heads(D: Tables) -> DataFrame:
+    """Indents of which every other one has a requester's name without digits."""
+    return D.indent_request_head.withColumn(
+        "requested_by",
+        F.when(F.col("indent_id") % 2 == 0, F.lit("Store Keeper")).otherwise(F.col("requested_by")),
+    )
+
+
 def _entered(lines: DataFrame, number: str) -> DataFrame:
     return _shaped(
         lines,
