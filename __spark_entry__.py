@@ -183,8 +183,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "grn_register": documents.grn_register,
     "indent_register": indents.indent_register,
     "open_pos_for_receipt": documents.open_pos_for_receipt,
-    "po_register_stats": lambda D: documents.register_stats(documents.po_register(D)),
-    "invoice_register_stats": lambda D: documents.register_stats(documents.invoice_register(D)),
+    "po_register_stats": lambda D: documents.document_stats(D, PO),
+    "invoice_register_stats": lambda D: documents.document_stats(D, SI),
     "po_totals": lambda D: documents.document_totals(D, PO),
     "invoice_totals": lambda D: documents.document_totals(D, SI),
     "grn_totals": lambda D: documents.document_totals(D, GR),

@@ -89,16 +89,14 @@ def document_header(D: Tables, kind: DocumentKind, keys: DataFrame | None = None
 
 
 def document_lines(D: Tables, kind: DocumentKind, keys: DataFrame | None = None) -> DataFrame:
-    """Active lines in form order with part and unit labels."""
+    """Active lines with part and unit labels; those of the documents in ``keys`` in form
+    order, all of them in no order (one sort over every document serves no page)."""
     lines = _only(scoped(kind.lines(D), active=True), keys, kind.number)
-    return (
-        lines.join(parts_with_unit(D), ["company", "partnum"], "left")
-        .select(
-            kind.number, "rowid", "partnum", "quantity", "unit_price", "amount",
-            "part_desc", "unit_desc",
-        )
-        .orderBy(kind.number, "rowid")
-    )
+    rows = lines.join(parts_with_unit(D), ["company", "partnum"], "left").select(
+        kind.number, "rowid", "partnum", "quantity", "unit_price", "amount",
+        "part_desc", "unit_desc",
+    )
+    return rows if keys is None else rows.orderBy(kind.number, "rowid")
 
 
 def lines_per_document(D: Tables, kind: DocumentKind) -> DataFrame:
@@ -187,6 +185,12 @@ def register_stats(register: DataFrame) -> DataFrame:
     )
 
 
+def document_stats(D: Tables, kind: DocumentKind) -> DataFrame:
+    """``register_stats`` of all documents, from heads and summed lines alone."""
+    heads = scoped(kind.heads(D)).select(kind.number, "active")
+    return register_stats(heads.join(lines_per_document(D, kind), kind.number, "left"))
+
+
 def document_totals(D: Tables, kind: DocumentKind) -> DataFrame:
     """Per document: active lines, quantity and amount; zeros without lines."""
     lines = (

@@ -54,8 +54,10 @@ def indent_header(D: Tables, keys: DataFrame | None = None) -> DataFrame:
 
 
 def indent_lines(D: Tables, keys: DataFrame | None = None) -> DataFrame:
-    """Active lines in form order; the description is the one stored on the line."""
-    rows = scoped(D.indent_request_tran, active=True)
-    if keys is not None:
-        rows = rows.join(keys.select("indent_id"), "indent_id", "left_semi")
-    return rows.select("indent_id", *LINE_COLUMNS).orderBy("indent_id", "rowid")
+    """Active lines, those of ``keys`` in form order; the description is the one stored on the line."""
+    rows = scoped(D.indent_request_tran, active=True).select("indent_id", *LINE_COLUMNS)
+    if keys is None:
+        return rows
+    return rows.join(keys.select("indent_id"), "indent_id", "left_semi").orderBy(
+        "indent_id", "rowid"
+    )
