@@ -8,6 +8,7 @@ block table (8 bytes each). Blocks can be read and unpacked in any order.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyhouse.llm.shared import file_system, new_path, staged
 
 MAGIC, VERSION, BLOCK, HEADER, FOOTER = b"PKID", 1, 4096, 16, 24
-READ_BLOCKS = 256
+READ_BLOCKS, STRIPE = 256, 1 << 22
 TEXT_BYTES = 2 << 20
 MANIFEST = "doc_id long, part int, file string, turn long, begin long, n_tokens long"
 DIGEST = "doc_id long, part int, begin long, n_tokens long, ids_crc32 long"
@@ -251,12 +252,13 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, from the files themselves."""
+    n_ids = manifest.agg(F.sum("n_tokens")).first()[0] or 0
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     read = (
-        manifest.select("doc_id", "part", "file", "begin", "n_tokens", F.floor(F.col("begin") / (1 << 24)).alias("stripe"))
-        .repartition("file", "stripe")
+        manifest.select("doc_id", "part", "file", "begin", "n_tokens", F.floor(F.col("begin") / STRIPE).alias("stripe"))
+        .repartition(max(1, math.ceil(n_ids / STRIPE)), "file", "stripe")
         .sortWithinPartitions("file", "begin")
         .drop("stripe")
         .mapInArrow(_reader, DIGEST)

@@ -6,7 +6,8 @@ payload. Each task writes its records to one archive on shared storage, every re
 member of its own, and returns an index row (file, offset, length, url, digest) a record. Files
 have names that no second attempt reuses; the staged index names the files that count.
 
-Reading: index rows are sorted by file and offset, near neighbours are coalesced to one ranged
+Reading: there is a task for every ``STRIPE`` bytes that the index selects (its own rows are too
+small to tell). Index rows are sorted by file and offset, near neighbours are coalesced to one ranged
 read of at most ``MOST_BYTES`` (or one record, if that is longer), and the records are parsed.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -200,9 +202,10 @@ def read_archives(index: DataFrame, columns: list[str] | None = None) -> DataFra
     kinds = dict(f.strip().split() for f in RECORD.split(","))
     arrow = {"long": pa.int64(), "string": pa.string()}
     stripe = F.floor(F.col("offset") / STRIPE)
+    size = index.agg(F.sum("length")).first()[0] or 0
     ordered = (
         index.select("file", "offset", "length", stripe.alias("stripe"))
-        .repartition("file", "stripe")
+        .repartition(max(1, math.ceil(size / STRIPE)), "file", "stripe")
         .sortWithinPartitions("file", "offset")
         .drop("stripe")
     )
