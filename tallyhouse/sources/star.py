@@ -45,7 +45,7 @@ PRICE = "cast(l_extendedprice as decimal(18,2))"
 # and the segments stay few.
 ORDER_BLOCK = "l_orderkey div 1000000"
 PART_BLOCK = "l_partkey div 1000"
-DAY_ORDER_BLOCK = "l_orderkey div 100000000"
+DAY_ORDER_BLOCK = "l_orderkey div 1000000"
 
 
 def read_star(spark: SparkSession, path: str, name: str) -> DataFrame:
