@@ -44,6 +44,39 @@ WORDS = r"""regexp_extract_all(
   '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"""
 
 ORACLE = {
+    "op7_suffix_array_repeats": """
+        with d as (
+          select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b,
+                 octet_length(encode(coalesce(text, ''))) as n
+          from documents
+        ), strings as (
+          select r, doc_id, p, array_slice(b, p, p + 49) as s
+          from (select r, doc_id, b, unnest(range(1, n - 48)) as p from d) x
+        ), firsts as (
+          select s, min(doc_id) as least from strings group by s
+        ), gone as (
+          select r, p, lag(p) over (partition by r order by p) as before
+          from strings join firsts using (s) where least < doc_id
+        ), spans as (
+          select r, min(p) as a, max(p) + 49 as e
+          from (select r, p, sum((before is null or p > before + 50)::int)
+                    over (partition by r order by p) as k from gone) g
+          group by r, k
+        ), pieces as (
+          select r, coalesce(lag(e) over w, 0) + 1 as a, s.a - 1 as e from spans s
+          window w as (partition by r order by s.a)
+          union all select r, coalesce(max(e), 0) + 1, any_value(n)
+          from d left join spans using (r) group by r
+        ), kept as (
+          select r, string_agg(hex(array_slice(b, a, e)), '' order by a) as h
+          from pieces join d using (r) where a <= e group by r
+        ), counts as (
+          select r, sum(e - a + 1)::bigint as n_removed, count(*) as n_spans from spans group by r
+        )
+        select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed,
+               coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(h, ''))) as kept_sha256
+        from d left join counts using (r) left join kept using (r)
+    """,
     "op8_positional_decontamination": f"""
         with d as (
           select row_number() over () as r, doc_id, {WORDS} as w from documents
