@@ -37,7 +37,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once and read back from a Parquet table on shared storage, so a lost
     executor costs a read and not the work before it."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
