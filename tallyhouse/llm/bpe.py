@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyhouse.llm.packed import slices
+from tallyhouse.llm.shared import release, small_batches
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -28,7 +29,7 @@ class Encoder:
     ``most`` bounds the remembered words and, apart from that, the remembered fragments.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,6 +118,10 @@ class Encoder:
             got = self.words[text] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         return got
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.fragments.clear()
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids and the SHA-256 of the ids as text and of the decoded text.
 
@@ -185,7 +190,11 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if len(e.words) > e.most // 2:
+            e.forget()
+            release()
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(rows, DIGEST)
 
 

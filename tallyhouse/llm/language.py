@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhouse.llm.packed import slices
-from tallyhouse.llm.shared import staged
+from tallyhouse.llm.shared import release, small_batches, staged
 
 SAMPLE, ROUNDS, LONGEST, MOST_SYMBOLS = 1000, 4, 32, 8
 ALPHA, STRANGE = 0.01, 1e-7
@@ -165,7 +165,7 @@ def learn(counts: dict[str, int], strings: list[str]) -> np.ndarray:
 class Identifier:
     """Scores texts with a learned table (piece x language); remembers ``most`` words."""
 
-    def __init__(self, languages: list[str], strings: list[str], table: np.ndarray, most: int = 400_000):
+    def __init__(self, languages: list[str], strings: list[str], table: np.ndarray, most: int = 200_000):
         self.languages, self.pieces, self.table = languages, Pieces(strings), table
         self.most, self.place, self.scores = most, {}, np.zeros((0, len(languages)))
 
@@ -258,27 +258,34 @@ def train(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> tuple[list[
     return languages, strings, table
 
 
-def labelled(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score in place of its ``text``; each whole text is scored once."""
+def labelled(
+    docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], keep_text: bool = False
+) -> DataFrame:
+    """``docs`` with lang_pred and score, and without its ``text`` unless ``keep_text``; each whole
+    text is scored once."""
     languages, strings, table = model
-    carried = [c for c in docs.columns if c != "text"]
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != "text"]
+    carried = ["text", *others] if keep_text else others
     schema = docs.select(*carried).schema.add("lang_pred", "string").add("score", "double")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(languages, strings, table) if languages else None
-        for batch in slices(batches, 0, 4 << 20):
+        for batch in slices(batches, 0):
             texts = batch.column(0).to_pylist()
             got = identifier.label(texts) if identifier else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[1:],
+                    *batch.columns[0 if keep_text else 1 :],
                     pa.array([g[0] for g in got], pa.string()),
                     pa.array([g[1] for g in got], pa.float64()),
                 ],
                 [*carried, "lang_pred", "score"],
             )
+        del identifier
+        release()
 
-    return docs.select("text", *carried).mapInArrow(rows, schema)
+    return docs.select("text", *others).mapInArrow(rows, schema)
 
 
 def identify(docs: DataFrame, vocabulary: str, folds: int = 3, sample: int = SAMPLE) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyhouse.llm.shared import file_system, new_path, staged
+from tallyhouse.llm.shared import file_system, new_path, small_batches, staged
 
 MAGIC, VERSION, BLOCK, HEADER, FOOTER = b"PKID", 1, 4096, 16, 24
 READ_BLOCKS, STRIPE = 256, 1 << 22
@@ -222,6 +222,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFr
     Null doc_ids come first; rows with equal doc_id keep their order of reading. A null or empty text has
     the end id alone. Other columns are ignored; an empty table writes no file.
     """
+    small_batches(docs.sparkSession)
     folder = new_path(docs.sparkSession, "ids")
     ordered = (
         docs.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +53,20 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: from now on at most ``rows`` of them go to a Python task at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system; Spark keeps its Python workers."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.llm.components import components
 from tallyhouse.llm.packed import slices
-from tallyhouse.llm.shared import staged
+from tallyhouse.llm.shared import small_batches, staged
 
 BITS, CHUNK, SEED = 64, 1024, 42
 N_REFERENCES = 24
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 ["doc_id", "row", "fp"],
             )
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
