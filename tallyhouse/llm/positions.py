@@ -6,21 +6,20 @@ own postings, moved back by the word's offset, contain as well (proximity: withi
 For decontamination the three rarest words of a window are looked up and the few starts that are left
 are compared with the text word by word. All of it is DataFrame functions.
 
-Documents are known by a row number of the scan, so repeated and null doc_ids stay apart; the table must
-give its rows in the same order each time it is read, as a stored table does.
+Documents are known by a row number, so repeated and null doc_ids stay apart. It is given once and stored
+with the text (``shared.numbered``): all scans read the same numbers, however they are split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.shared import UPPER, bound, size_class, staged
+from tallyhouse.llm.shared import ROW, UPPER, bound, numbered, size_class, staged
 
 #: ASCII characters that belong to no word of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing.
 BETWEEN = "".join(
     chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 )
-ROW = "_row"
 BROADCAST_ROWS = 200_000
 
 
@@ -166,16 +165,13 @@ def occurrences(docs: DataFrame, found: DataFrame, phrases: DataFrame) -> DataFr
 def decontaminate(
     docs: DataFrame, items: DataFrame, length: int = 13, n_keys: int = 3, share: int = 20
 ) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text and any others, which are ignored): ``_row``, doc_id, n_words,
+    """For each row of ``docs`` (``_row``, stored with it, doc_id, text and any others, which are ignored): ``_row``, doc_id, n_words,
     n_hit (words in an occurrence of an item's window), n_items, items_sha256 and ``contaminated``
     (``n_hit`` > 0 and ``share`` * ``n_hit`` >= ``n_words``).
 
     Null, empty and wordless texts have no words and no hits; an empty ``items`` or item
     without words matches nothing; repeated items count once. Without items ``items_sha256`` is that of the empty string.
     """
-    docs = docs.select(
-        "doc_id", "text", F.monotonically_increasing_id().alias(ROW)
-    )
     texts = docs.select(ROW, "text")
     pairs = staged(phrases_of(items, length), "windows")
     phrases = staged(
@@ -226,4 +222,4 @@ def decontaminate(
 
 
 def op8_positional_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return decontaminate(docs, items).drop(ROW)
+    return decontaminate(numbered(docs.select("doc_id", "text")), items).drop(ROW)

@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ROW = "_row"
 #: Bytes that separate words in the contracts that take ``[^\x20\x09-\x0D]+``.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -44,6 +45,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a row number ``_row`` (long, distinct, replaces a column of that name), stored: every
+    scan has the same ones, however it is split."""
+    return staged(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a Spark path (``file:``, ``hdfs:``, ``s3a:`` or plain) and the path in it."""
     if re.match(r"^[a-z0-9]+:/", uri):

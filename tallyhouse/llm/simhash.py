@@ -48,8 +48,8 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, fp) of ``docs`` (doc_id, text); ``row`` tells equal rows apart."""
+def fingerprints(docs: DataFrame, shingle: int, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp) of ``docs`` (doc_id, text); ``row`` tells equal rows apart, by the number given if any."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     chosen = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
     return staged(chosen.mapInArrow(rows, FINGERPRINT), "fingerprints")
 
@@ -199,14 +199,15 @@ def near_edges(nodes: DataFrame, most_bits: int) -> DataFrame:
     return dealt.mapInArrow(_bucket_links(most_bits), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, most_bits: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, most_bits: int = 3, row: Column | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text; other columns are ignored): doc_id, row, fp, ``component_id``
     and ``kept`` (one row of each component: the smallest doc_id, the first of equal ones).
 
     Null, empty and wordless texts have fingerprint zero, which links like any other. A null doc_id is
     larger than all others; a component of nulls alone has a null id. Links hold between any two texts, copies included.
+    ``row`` is the row number that ``docs`` has stored, for a caller who goes by it; otherwise that of the scan.
     """
-    docs = fingerprints(docs, shingle)
+    docs = fingerprints(docs, shingle, row)
     order: Column = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = staged(docs.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
     roots = components(near_edges(nodes.select("fp"), most_bits)).withColumnRenamed("node", "fp")

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from compare import connect, difference
 from llm_cases import EDGES, SF_DIR
-from tallyhouse.llm import queries
+from tallyhouse.llm import positions, queries, shared, simhash
 
 STAGE = dict(corpus_pipeline.STAGES)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,3 +58,14 @@ def test_empty_table(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).collect() == []
+
+
+def test_other_splits_between_scans(spark, documents, split_anew):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 40, 4)] + [(200, item)]
+    docs = split_anew(documents(rows), corpus_pipeline, positions, simhash, shared)
+    left = {r.doc_id for r in STAGE["near copies"](spark, docs, SF_DIR).collect()}
+    assert left == {*range(40), 200}
+    left = {r.doc_id for r in STAGE["benchmark"](spark, docs, SF_DIR).collect()}
+    assert left == {i for i, _ in rows} - {200}

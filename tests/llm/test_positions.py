@@ -5,7 +5,7 @@ import re
 
 from llm_cases import EDGES
 from pyspark.sql import functions as F
-from tallyhouse.llm import positions
+from tallyhouse.llm import positions, shared
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
 
@@ -87,3 +87,10 @@ def test_main_path_is_native(documents, spark):
     df = positions.op8_positional_decontamination(documents(EDGES), items_table(spark, [(1, "one")]))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(bad in plan for bad in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_other_splits_between_scans(spark, documents, split_anew):
+    rows = [(i, f"text {i} " + "filler " * (i * 7 % 50) + (ITEM if i % 3 == 0 else "")) for i in range(60)]
+    docs = split_anew(documents(rows), positions, shared)
+    got = positions.op8_positional_decontamination(docs, items_table(spark, [(10, ITEM)]))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows, [(10, ITEM)])
