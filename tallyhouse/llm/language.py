@@ -179,7 +179,7 @@ class Identifier:
             self.scores = np.concatenate([self.scores, word_scores(self.pieces, self.table, new)])
         out = []
         for words in split:
-            if not any(c.isalpha() for w in words for c in w):
+            if not has_letter(words):
                 out.append(("und", 0.0))
                 continue
             total = self.scores[[self.place[w] for w in words]].sum(axis=0)
@@ -188,6 +188,10 @@ class Identifier:
         return out
 
 
+def has_letter(words: list[str]) -> bool:
+    return any(c.isalpha() for w in words for c in w)
+
+
 def held_out(remainder_of: int) -> Column:
     """Whether crc32 of the doc_id as text leaves 1; a null doc_id counts as empty text."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
@@ -259,10 +263,13 @@ def train(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> tuple[list[
 
 
 def labelled(
-    docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], keep_text: bool = False
+    docs: DataFrame,
+    model: tuple[list[str], list[str], np.ndarray],
+    keep_text: bool = False,
+    unnamed: str = "und",
 ) -> DataFrame:
     """``docs`` with lang_pred and score, and without its ``text`` unless ``keep_text``; each whole
-    text is scored once."""
+    text is scored once. If no language was learned, texts with a letter are ``unnamed``."""
     languages, strings, table = model
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
@@ -273,7 +280,10 @@ def labelled(
         identifier = Identifier(languages, strings, table) if languages else None
         for batch in slices(batches, 0):
             texts = batch.column(0).to_pylist()
-            got = identifier.label(texts) if identifier else [("und", 0.0)] * len(texts)
+            if identifier:
+                got = identifier.label(texts)
+            else:
+                got = [(unnamed if has_letter(words_of(t or "")) else "und", 0.0) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[0 if keep_text else 1 :],

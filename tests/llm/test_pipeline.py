@@ -1,6 +1,7 @@
 """The stages on planted cases, and the registered queries against DuckDB."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import connect, difference
@@ -69,3 +70,9 @@ def test_other_splits_between_scans(spark, documents, split_anew):
     assert left == {*range(40), 200}
     left = {r.doc_id for r in STAGE["benchmark"](spark, docs, SF_DIR).collect()}
     assert left == {i for i, _ in rows} - {200}
+
+
+def test_no_language_to_learn(spark, documents):
+    docs = documents([(i, f"clean document {i}") for i in range(6)] + [(7, "12 34"), (8, None), (9, "")])
+    got = STAGE["language"](spark, docs.withColumn("lang", F.lit(None).cast("string")), SF_DIR).collect()
+    assert {r.doc_id for r in got} == set(range(6))
