@@ -1,11 +1,10 @@
 """DuckDB text of the posting jobs: what the tables hold after a batch."""
 
-from oracle_reads import AS_OF, d
+from oracle_reads import AS_OF, PO, _register, d
 
 START = "(select coalesce(max({col}), 0) from {table})"
 
 
-
 def _document_forms(no, date, party, table):
     return f"""
     forms as (select {no} as submission_id,
@@ -292,13 +291,9 @@ POSTS = {
         select update_id, part_num, type, {d("qty")}, update_date from stock_update_t
         where update_date between DATE '1996-01-01' and DATE '1998-12-31'""",
     "export_po_register": f"""
-        select h.po_no, strftime(h.po_date, '%d-%m-%Y') as po_date, v.vendor_name, h.active,
-            count(case when t.active then t.rowid end) as line_items,
-            {d("sum(case when t.active then t.amount else 0 end)", "total_amount")}
-        from purchase_order_head_t h
-        left join vendor_t v on h.vendor = v.vendor_code
-        left join purchase_order_tran_t t on h.po_no = t.po_no
-        group by 1, 2, 3, 4""",
+        select po_no, strftime(po_date, '%d-%m-%Y') as po_date, vendor_name, active, line_items,
+            total_amount
+        from ({_register(*PO)}) r""",
     "post_movements": _movements("('IN', 'OUT')"),
     "post_adjustments": _movements("('INCREASE', 'DECREASE')"),
     "post_movements_rejects": """

@@ -3,9 +3,11 @@
 import datetime as dt
 import math
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 
+SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -44,3 +46,16 @@ def difference(df, con, sql):
         f"{sum(got.values())} rows, want {sum(want.values())};"
         f" extra {list((got - want).items())[:2]}; missing {list((want - got).items())[:2]}"
     )
+
+
+def records(df, *columns):
+    rows = df.select(*columns) if columns else df
+    return [tuple(_plain(v) for v in row) for row in rows.collect()]
+
+
+def _plain(value):
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
+        return value.isoformat()
+    return value

@@ -7,8 +7,6 @@ from pyspark.sql import SparkSession
 from tallyhouse import Tables
 from tallyhouse.schemas import DDL, schema
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -62,16 +60,3 @@ def _typed(value, kind):
     if kind.typeName() == "date" and isinstance(value, str):
         return dt.date.fromisoformat(value)
     return value
-
-
-def records(df, *columns):
-    rows = df.select(*columns) if columns else df
-    return [tuple(_plain(v) for v in row) for row in rows.collect()]
-
-
-def _plain(value):
-    if isinstance(value, Decimal):
-        return float(value)
-    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
-        return value.isoformat()
-    return value

@@ -1,7 +1,6 @@
 """Relations between reports, and results that do not depend on partitioning."""
 
-from compare import rows
-from conftest import SF_DIR, records
+from compare import SF_DIR, records, rows
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import documents, history, parties, receipts, stock

@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, difference
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+# The smallest scale has no vendor of a second company.
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLE = entry.core_queries(), entry.core_oracle_sql()
 
 

@@ -1,7 +1,7 @@
 """Physical plans: what is pushed down, what is not shuffled, what never appears."""
 
 import pytest
-from conftest import SF_DIR
+from compare import SF_DIR
 
 import __spark_entry__ as entry
 from tallyhouse.operators import dashboard, documents, history, parties, stock

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import SF_DIR, records
+from compare import SF_DIR, records
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import stock

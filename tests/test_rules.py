@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import records
+from compare import records
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import predicates as P, values as V

@@ -5,7 +5,7 @@ import random
 from pathlib import Path
 
 import pytest
-from conftest import SF_DIR
+from compare import SF_DIR
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.joins import with_per_key

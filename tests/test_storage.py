@@ -4,8 +4,7 @@ import datetime as dt
 
 import pytest
 
-from compare import rows
-from conftest import SF_DIR, records
+from compare import SF_DIR, records, rows
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import documents, stock
