@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyhouse.llm import bpe, language, neighbours, packed, positions, repeats, scoring, shards, simhash, warc
+from tallyhouse.llm import (
+    bpe,
+    digests,
+    language,
+    neighbours,
+    packed,
+    positions,
+    repeats,
+    scoring,
+    shards,
+    simhash,
+    warc,
+)
 from tallyhouse.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +49,7 @@ QUERIES = {
     "op10_marginalised_unigrams": lambda spark, d: language.op10_marginalised_unigrams(
         table(spark, d, "documents"), PIECES
     ),
+    "op12_digest_index": lambda spark, d: digests.op12_digest_index(table(spark, d, "documents")),
 }
 
 WORDS = r"""regexp_extract_all(
@@ -122,4 +135,15 @@ ORACLE = {
                case when k.kept <> d.page_id then k.kept end as refers_to
         from d left join k using (payload_digest, payload_bytes)
     """,
+    "op12_digest_index": """
+        with t as (
+          select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz') as text
+          from documents
+        ), g as (
+          select text, max(doc_id) as keep_id, count(*) as group_size from t group by text
+        )
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256
+        from t join g using (text)
+    """,
 }
