@@ -43,9 +43,9 @@ class DigestIndex:
 def open_index(spark: SparkSession, path: str, n_buckets: int | None = None) -> DigestIndex:
     """The index stored at ``path`` (shared storage), made if there is none.
 
-    A new index has ``n_buckets`` buckets, as many as the session has shuffle partitions unless given, so that
-    grouping rows by digest deals them out as the buckets are; the number is stored beside the table, and
-    a later session finds it there. Choose it so that a bucket at its final size fits a task.
+    A new index has ``n_buckets`` buckets, as many as the session has shuffle partitions unless given; the
+    number is stored beside the table, and a later session finds it there. Choose it so that a bucket at its
+    final size fits a task.
     """
     layout = f"{path}/layout"
     try:
@@ -78,8 +78,12 @@ def verdicts(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     than any. A text that an earlier batch brought is kept nowhere in this one, and keep_id names the
     earlier document. An empty table gives no row.
     """
-    groups = rows.groupBy("digest").agg(
-        F.max(F.struct("doc_id", ROW)).alias("own"), F.count("*").alias("group_size")
+    # Stored: Spark would push the anti-join below the aggregate and shuffle every copy.
+    groups = staged(
+        rows.groupBy("digest").agg(
+            F.max(F.struct("doc_id", ROW)).alias("own"), F.count("*").alias("group_size")
+        ),
+        "groups",
     )
     index.add(groups.select("digest", F.col("own.doc_id").alias("keep_id")), batch)
     mine = F.col("batch") == batch
