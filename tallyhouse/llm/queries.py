@@ -12,6 +12,7 @@ from tallyhouse.llm import (
     packed,
     positions,
     repeats,
+    runs,
     scoring,
     shards,
     simhash,
@@ -50,6 +51,7 @@ QUERIES = {
         table(spark, d, "documents"), PIECES
     ),
     "op12_digest_index": lambda spark, d: digests.op12_digest_index(table(spark, d, "documents")),
+    "op13_minimizer_runs": lambda spark, d: runs.op13_minimizer_runs(table(spark, d, "documents")),
 }
 
 WORDS = r"""regexp_extract_all(
