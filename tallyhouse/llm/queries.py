@@ -10,6 +10,7 @@ from tallyhouse.llm import (
     language,
     neighbours,
     packed,
+    phrases,
     positions,
     repeats,
     runs,
@@ -50,6 +51,9 @@ QUERIES = {
     "op10_marginalised_unigrams": lambda spark, d: language.op10_marginalised_unigrams(
         table(spark, d, "documents"), PIECES
     ),
+    "op11_setm_collocations": lambda spark, d: phrases.op11_setm_collocations(
+        table(spark, d, "documents")
+    ),
     "op12_digest_index": lambda spark, d: digests.op12_digest_index(table(spark, d, "documents")),
     "op13_minimizer_runs": lambda spark, d: runs.op13_minimizer_runs(table(spark, d, "documents")),
 }
@@ -137,6 +141,47 @@ ORACLE = {
                case when k.kept <> d.page_id then k.kept end as refers_to
         from d left join k using (payload_digest, payload_bytes)
     """,
+    "op11_setm_collocations": r"""
+        with pieces as (
+          select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) as piece
+          from documents
+        ), words as (
+          select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+        ), totals as (
+          select lang, sum(len(w))::bigint as n from words group by lang
+        ), f as (
+          select lang, size, array_to_string(g, ' ') as phrase, count(*) as f
+          from (select lang, size, unnest([w[i:i + size - 1] for i in range(1, len(w) - size + 2)]) as g
+                from words, (select unnest([1, 2, 3, 4]) as size) s where len(w) >= size) x
+          group by all having count(*) >= 30
+        ), cuts as (
+          select lang, phrase, size, f as a, unnest(range(1, size)) as k, string_split(phrase, ' ') as w
+          from f where size > 1
+        ), scores as (
+          select c.lang, c.phrase, c.a, k, l.f as l, r.f as r,
+                 (2000000::hugeint * c.a) // (l.f + r.f) as score
+          from cuts c
+          join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:k], ' ')
+          join f r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1:], ' ')
+        ), lowest as (
+          select * from scores
+          qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ), inner_parts as (
+          select lang, f, unnest([w[i:i + n - 1] for i in range(1, size - n + 2)]) as g
+          from (select lang, f, size, string_split(phrase, ' ') as w, unnest(range(2, size)) as n
+                from f where size > 2) x
+        ), longer as (
+          select lang, array_to_string(g, ' ') as phrase, max(f) as m from inner_parts group by all
+        ), ranked as (
+          select x.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+          from lowest x left join longer using (lang, phrase)
+          where m is null or 100::hugeint * m < 80::hugeint * a
+        )
+        select lang, rank, phrase, a, l, r, n, score::bigint as score
+        from ranked join totals using (lang) where rank <= 2000
+    """,
     "op12_digest_index": """
         with t as (
           select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
