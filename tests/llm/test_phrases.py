@@ -57,6 +57,7 @@ def tiny_blocks(monkeypatch):
     monkeypatch.setattr(phrases, "PLACES", 7)
     monkeypatch.setattr(phrases, "HELD", 20)
     monkeypatch.setattr(phrases, "SLICE", 11)
+    monkeypatch.setattr(phrases, "DEAL", 10)
 
 
 def random_rows(n):
