@@ -34,7 +34,7 @@ from tallyhouse.llm.shared import UPPER, release, small_batches, staged
 LONGEST = 4
 #: Places of a block, places held by a task before it writes its blocks, bytes of text split at once, places a
 #: deal of phrases stands for.
-PLACES, HELD, SLICE, DEAL = 1 << 19, 1 << 21, 1 << 22, 1 << 21
+PLACES, HELD, SLICE, DEAL = 1 << 19, 1 << 20, 1 << 20, 1 << 20
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BREAK = b"."
@@ -267,6 +267,11 @@ def extended(k: int, n_deals: int):
     (idx in the block, gid in the corpus), is merge-joined with its words."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        result = extend(left, right)
+        release()
+        return result
+
+    def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         kept, gids = flat(right["idx"]).to_numpy(), flat(right["gid"]).to_numpy()
         if not left.num_rows or not len(kept):
             return RELATION.empty_table()
@@ -331,6 +336,11 @@ def counted(k: int, n_deals: int, least: int):
     A gid is the phrase's number in the deal times the deals, plus the deal."""
 
     def task(rows: pa.Table) -> pa.Table:
+        result = count(rows)
+        release()
+        return result
+
+    def count(rows: pa.Table) -> pa.Table:
         def numbers(name: str) -> np.ndarray:
             return np.concatenate([unpacked(v) for v in rows[name].to_pylist()])
 
