@@ -32,6 +32,7 @@ from tallyhouse.llm.runs import mixed
 from tallyhouse.llm.shared import UPPER, release, small_batches, staged
 
 LONGEST = 4
+SHARES = 32
 #: Places of a block, places held by a task before it writes its blocks, bytes of text split at once, places a
 #: deal of phrases stands for.
 PLACES, HELD, SLICE, DEAL = 1 << 19, 1 << 20, 1 << 20, 1 << 20
@@ -480,9 +481,15 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000, share: int
         .join(subsumed(phrases), ["lang", "phrase"], "left")
         .where(inside < F.col("a").cast("decimal(20,0)") * share)
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # Cut in shares first: the task of a language gets SHARES * most rows, however many tasks send to it.
+    share_of = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    first = F.row_number().over(Window.partitionBy("lang", share_of).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     return (
-        ranked.withColumn("rank", F.row_number().over(order))
+        ranked.withColumn("first", first)
+        .where(F.col("first") <= most)
+        .withColumn("rank", rank)
         .where(F.col("rank") <= most)
         .join(totals, "lang")
         .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
