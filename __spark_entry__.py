@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from oracle_posts import POSTS  # noqa: E402
 from oracle_reads import READS  # noqa: E402
+from oracle_stored import STORED_TEXT  # noqa: E402
 from oracle_views import with_views  # noqa: E402
 from tallyhouse.functions import predicates as P, values as V  # noqa: E402
 from tallyhouse.operators import (  # noqa: E402
@@ -48,6 +49,7 @@ from tallyhouse.sources.sinks import (  # noqa: E402
     to_json_rows,
 )
 from tallyhouse.sources.star import star_tables  # noqa: E402
+from tallyhouse.sources.store import Manifest, Store  # noqa: E402
 from tallyhouse.tables import Tables  # noqa: E402
 
 AS_OF = dt.date(2001, 8, 1)
@@ -266,6 +268,69 @@ def _order_edits(D: Tables) -> Posting:
     return post_docs.replace_documents(D, PO, forms.order_edits(D), AS_OF)
 
 
+def _store(D: Tables, *names: str) -> tuple[Store, Manifest]:
+    """The named tables as the first version of a new store."""
+    spark = D.vendor.sparkSession
+    store = Store(spark, _new_path(spark, "store"))
+    return store, store.create(D, names)
+
+
+def _stored_order_edits(D: Tables) -> Tables:
+    """Orders stored, edited in the months that hold an edited order, and read back."""
+    store, base = _store(D, PO.head, PO.tran)
+    edits = forms.order_edits(D)
+    near = store.around(base, PO.head, edits.heads.select(F.col("doc_no").alias("po_no")))
+    posting = post_docs.replace_documents(near, PO, edits, AS_OF)
+    return store.tables(store.commit(posting, "edits", base))
+
+
+def _stored_deletions(D: Tables) -> Tables:
+    """Invoices of inactive customers switched off in the store."""
+    store, base = _store(D, SI.head, SI.tran)
+    inactive = P.scoped(D.customer).filter("not active").select(
+        F.col("customer_code").alias("customer")
+    )
+    keys = D.sales_invoice_head.join(inactive, "customer", "left_semi").select("inv_no")
+    near = store.around(base, SI.head, keys)
+    posting = post_docs.soft_delete(near, "sales", keys, AS_OF)
+    return store.tables(store.commit(posting, "deletions", base))
+
+
+def _stored_receipts(D: Tables) -> Tables:
+    """A batch of receipts saved as one version: heads, lines and ledger."""
+    store, _ = _store(D, PO.head, GR.head, GR.tran, "stock_update")
+    batch = forms.receipt_forms(D)
+    return store.tables(
+        store.post(lambda base: post_stock.post_receipts(store.tables(base), batch, AS_OF), "receipts")
+    )
+
+
+def _stored_movements(D: Tables) -> Tables:
+    """A batch of movements numbered after the stored highest number."""
+    store, _ = _store(D, "stock_update")
+    batch = forms.movement_forms(D)
+    return store.tables(
+        store.post(lambda base: post_stock.post_movements(store.tables(base), batch, AS_OF), "movements")
+    )
+
+
+def _stored_indents(D: Tables) -> Tables:
+    """Decisions on stored indents, the batch sent twice."""
+    store, _ = _store(D, "indent_request_head")
+    decisions = forms.indent_decisions(D)
+    for _ in range(2):
+        current = store.post(
+            lambda base: post_indents.transition_indents(store.tables(base), decisions), "decisions"
+        )
+    return store.tables(current)
+
+
+def _stored_vendors(D: Tables) -> Tables:
+    """Vendors of inactive orders switched off in the store."""
+    store, base = _store(D, "vendor")
+    return store.tables(store.commit(_deleted_vendors(D), "deletions", base))
+
+
 def _deleted_orders(D: Tables) -> Posting:
     """The orders of inactive vendors."""
     inactive = D.vendor.filter("not active").select(F.col("vendor_code").alias("vendor"))
@@ -518,6 +583,33 @@ def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))
 
 
+STORED: dict[str, Callable[[Tables], DataFrame]] = {
+    "stored_order_edits_heads": lambda D: _stored_order_edits(D).purchase_order_head.select(
+        "po_no", "po_date", "vendor", "remarks", "active"
+    ),
+    "stored_order_edits_lines": lambda D: _stored_order_edits(D).purchase_order_tran.select(
+        "po_no", "rowid", "partnum", "quantity", "amount", "active"
+    ),
+    "stored_deletions_heads": lambda D: _stored_deletions(D).sales_invoice_head.select(
+        "inv_no", "active"
+    ),
+    "stored_deletions_lines": lambda D: _stored_deletions(D).sales_invoice_tran.select(
+        "inv_no", "rowid", "active"
+    ),
+    "stored_receipts_heads": lambda D: _stored_receipts(D).goods_receipt_head.select(
+        "grn_no", "grn_dt", "po_no", "vendor", "active"
+    ),
+    "stored_receipts_lines": lambda D: _stored_receipts(D).goods_receipt_tran.select(
+        "grn_no", "rowid", "partnum", "quantity", "unit_price", "amount"
+    ),
+    "stored_receipts_ledger": lambda D: _stored_receipts(D).stock_update.select(*LEDGER),
+    "stored_movements": lambda D: _stored_movements(D).stock_update.select(*LEDGER),
+    "stored_indent_decisions": lambda D: _stored_indents(D).indent_request_head.select(
+        "indent_id", "status"
+    ),
+    "stored_vendor_deletions": lambda D: _stored_vendors(D).vendor.select("vendor_code", "active"),
+}
+
 SINKS = {
     "append_ledger": _append_ledger,
     "append_ledger_years": _append_ledger_years,
@@ -526,7 +618,7 @@ SINKS = {
 }
 
 
-ALL = {**REPORTS, **POSTINGS, **SINKS}
+ALL = {**REPORTS, **POSTINGS, **STORED, **SINKS}
 
 
 def _llm() -> tuple[dict, dict]:
@@ -549,7 +641,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def core_oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in {**READS, **POSTS}.items()}
+    return {name: with_views(sql) for name, sql in {**READS, **POSTS, **STORED_TEXT}.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

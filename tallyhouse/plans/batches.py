@@ -49,11 +49,13 @@ class Frames(Mapping):
 @dataclass(frozen=True)
 class Posting:
     """``added``: rows to append per table; ``state``: full new content of tables in which
-    rows changed; ``rejects``: submission key and reasons."""
+    rows changed; ``changed``: of these tables the changed masters, heads or lines of changed
+    documents only, in place of all rows with their key; ``rejects``: submission key and reasons."""
 
     rejects: DataFrame
     added: Mapping[str, DataFrame] = field(default_factory=dict)
     state: Mapping[str, DataFrame] = field(default_factory=dict)
+    changed: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def apply(self, D: Tables) -> Tables:
         """The tables as they are after the posting."""

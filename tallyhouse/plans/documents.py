@@ -22,8 +22,8 @@ from tallyhouse.plans.batches import (
     unreadable,
     with_reasons,
 )
-from tallyhouse.plans.numbering import assign_numbers, in_order
-from tallyhouse.schemas import conform
+from tallyhouse.plans.numbering import assign_numbers, numbers_of
+from tallyhouse.schemas import columns, conform
 from tallyhouse.tables import Tables
 
 USER = "admin"
@@ -64,10 +64,14 @@ def post_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.date)
 
     @cache
     def heads() -> DataFrame:
-        posted = in_order(accepted(checked), "submission_id")
+        posted = accepted(checked)
         given = posted.filter("doc_no is not null")
         numbered = assign_numbers(
-            posted.filter("doc_no is null"), "doc_no", existing, given.select("doc_no")
+            posted.filter("doc_no is null"),
+            "submission_id",
+            "doc_no",
+            numbers_of(D, kind.head, kind.number),
+            given.select("doc_no"),
         )
         names = {"doc_no": kind.number, "doc_date": kind.date, "party": kind.party}
         rows = given.unionByName(numbered).withColumnsRenamed(names)
@@ -88,16 +92,34 @@ def post_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.date)
     )
 
 
-def deactivated(
+def switched_off(
     rows: DataFrame, keys: DataFrame, on: str, as_of: dt.date | None = None
 ) -> DataFrame:
-    """``rows`` of company 1 whose key is in ``keys`` (distinct) switched off."""
+    """``rows`` with those of company 1 whose key is in ``keys`` (distinct) switched off and
+    marked by ``_hit``."""
     listed = keys.select(F.lit(1).alias("company"), on, F.lit(True).alias("_hit"))
     marked = with_per_key(rows, listed, ["company", on])
     changes = {"active": F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("active"))}
     if as_of is not None:
         changes["updated"] = F.when(F.col("_hit"), F.lit(as_of)).otherwise(F.col("updated"))
-    return marked.withColumns(changes).select(*rows.columns)
+    return marked.withColumns(changes)
+
+
+def edited(
+    rejects: DataFrame, marked: dict[str, DataFrame], new: dict[str, DataFrame] | None = None
+) -> Posting:
+    """The posting of tables whose changed rows are marked by ``_hit``, and of ``new`` rows that
+    belong to changed documents."""
+
+    def content(table: str, rows: DataFrame) -> DataFrame:
+        old = rows.select(*columns(table))
+        return old.unionByName(new[table]) if new and table in new else old
+
+    return Posting(
+        rejects=rejects,
+        state={t: content(t, rows) for t, rows in marked.items()},
+        changed={t: content(t, rows.filter("_hit")) for t, rows in marked.items()},
+    )
 
 
 def latest_per(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -145,18 +167,18 @@ def replace_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.dat
     }
     heads = merged.withColumns(
         {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new_values.items()}
-    ).select(*old.columns)
+    )
     final = last.select(kind.number, F.col("submission_id").alias("last_submission"))
     applied = with_per_key(edits, final, [kind.number]).select(
         "submission_id",
         kind.number,
         (F.col("submission_id") == F.col("last_submission")).alias("active"),
     )
-    tran = deactivated(kind.lines(D), last, kind.number, as_of).unionByName(
-        line_rows(lines, applied, kind, as_of)
-    )
-    return Posting(
-        rejects=rejected(checked, "submission_id"), state={kind.head: heads, kind.tran: tran}
+    off = switched_off(kind.lines(D), last, kind.number, as_of)
+    return edited(
+        rejected(checked, "submission_id"),
+        {kind.head: heads, kind.tran: off},
+        {kind.tran: line_rows(lines, applied, kind, as_of)},
     )
 
 
@@ -172,7 +194,6 @@ def soft_delete(D: Tables, kind: str, keys: DataFrame, as_of: dt.date) -> Postin
     unknown = wanted.join(known, number, "left_anti").withColumn(
         "reasons", F.array(F.lit("not found"))
     )
-    return Posting(
-        rejects=unknown,
-        state={t: deactivated(getattr(D, t), wanted, number, as_of) for t in tables},
+    return edited(
+        unknown, {t: switched_off(getattr(D, t), wanted, number, as_of) for t in tables}
     )

@@ -20,8 +20,8 @@ from tallyhouse.plans.batches import (
     unreadable,
     with_reasons,
 )
-from tallyhouse.plans.documents import deactivated, latest_per
-from tallyhouse.plans.numbering import assign_numbers, in_order
+from tallyhouse.plans.documents import edited, latest_per, switched_off
+from tallyhouse.plans.numbering import assign_numbers, numbers_of
 from tallyhouse.schemas import conform
 from tallyhouse.tables import Tables
 
@@ -73,10 +73,14 @@ def create_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
 
     @cache
     def heads() -> DataFrame:
-        posted = in_order(accepted(checked), "submission_id")
+        posted = accepted(checked)
         given = posted.filter("indent_id is not null")
         numbered = assign_numbers(
-            posted.filter("indent_id is null"), "indent_id", existing, given.select("indent_id")
+            posted.filter("indent_id is null"),
+            "submission_id",
+            "indent_id",
+            numbers_of(D, HEAD, "indent_id"),
+            given.select("indent_id"),
         )
         return given.unionByName(numbered).withColumns(
             {
@@ -129,7 +133,7 @@ def update_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
     values = {**{c: F.col(f"_{c}") for c in fields}, "updated": F.lit(now)}
     heads = merged.withColumns(
         {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
-    ).select(*old.columns)
+    )
     final = last.select("indent_id", F.col("submission_id").alias("last_submission"))
     applied = with_per_key(edits, final, ["indent_id"]).select(
         "submission_id",
@@ -137,11 +141,11 @@ def update_indents(D: Tables, batch: Batch, now: dt.datetime) -> Posting:
         (F.col("submission_id") == F.col("last_submission")).alias("active"),
     )
     new_lines = lines.join(applied, "submission_id").withColumn("company", F.lit(1))
-    tran = deactivated(getattr(D, TRAN), last, "indent_id").unionByName(
-        conform(new_lines, TRAN)
-    )
-    return Posting(
-        rejects=rejected(checked, "submission_id"), state={HEAD: heads, TRAN: tran}
+    off = switched_off(getattr(D, TRAN), last, "indent_id")
+    return edited(
+        rejected(checked, "submission_id"),
+        {HEAD: heads, TRAN: off},
+        {TRAN: conform(new_lines, TRAN)},
     )
 
 
@@ -175,17 +179,15 @@ def transition_indents(D: Tables, decisions: DataFrame, strict: bool = False) ->
             "indent_id",
             F.col("last.status").alias("_status"),
             F.col("last.updated").alias("_updated"),
+            F.lit(True).alias("_hit"),
         ),
         ["company", "indent_id"],
         "left",
     )
-    decided = F.col("_status").isNotNull()
     heads = merged.withColumns(
         {
             "status": F.coalesce("_status", "status"),
-            "updated": F.when(decided, F.col("_updated")).otherwise(F.col("updated")),
+            "updated": F.when(F.col("_hit"), F.col("_updated")).otherwise(F.col("updated")),
         }
-    ).select(*old.columns)
-    return Posting(
-        rejects=rejected(checked, "indent_id", "status", "updated"), state={HEAD: heads}
     )
+    return edited(rejected(checked, "indent_id", "status", "updated"), {HEAD: heads})

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.functions.predicates import scoped
 from tallyhouse.functions.values import normalise
 from tallyhouse.operators.catalog import LOOKUPS
 from tallyhouse.plans.batches import Frames, Posting, accepted, rejected, with_reasons
 from tallyhouse.plans.documents import USER
-from tallyhouse.plans.numbering import assign_numbers, in_order
-from tallyhouse.schemas import schema
+from tallyhouse.plans.numbering import assign_numbers, numbers_of
+from tallyhouse.schemas import conform, schema
 from tallyhouse.tables import Tables
 
 KEPT = ("company", "created_by", "updated")
@@ -52,12 +52,16 @@ def upsert_master(D: Tables, kind: str, forms: DataFrame, as_of: dt.date) -> Pos
         },
     ).drop("unread")
 
+    @cache
     def merged_table() -> DataFrame:
-        posted = in_order(accepted(checked), "submission_id")
-        existing = scoped(getattr(D, kind)).select(key)
+        posted = accepted(checked)
         given = posted.filter(F.col(key).isNotNull())
         numbered = assign_numbers(
-            posted.filter(F.col(key).isNull()), key, existing, given.select(key)
+            posted.filter(F.col(key).isNull()),
+            "submission_id",
+            key,
+            numbers_of(D, kind, key),
+            given.select(key),
         )
         names = [f.name for f in fields if f.name != key]
         latest = (
@@ -83,10 +87,12 @@ def upsert_master(D: Tables, kind: str, forms: DataFrame, as_of: dt.date) -> Pos
             F.col("created_by")
         )
         values["updated"] = F.when(touched, F.lit(as_of)).otherwise(F.col("updated"))
-        return merged.withColumns(values).select(*old.columns)
+        return merged.withColumns({**values, "_hit": touched})
 
     return Posting(
-        rejects=rejected(checked, "submission_id"), state=Frames(**{kind: merged_table})
+        rejects=rejected(checked, "submission_id"),
+        state=Frames(**{kind: lambda: conform(merged_table(), kind)}),
+        changed=Frames(**{kind: lambda: conform(merged_table().filter("_hit"), kind)}),
     )
 
 

@@ -1,36 +1,50 @@
-"""Next-number assignment for whole batches: highest number + 1, 2, 3 ... without gaps
-and without sorting the batch in one task."""
+"""Next-number assignment for whole batches: highest number + 1, 2, 3 ... without gaps, without
+sorting the batch in one task, and without a job before the result is asked for.
 
-from __future__ import annotations
+The number of a form is its rank by ``submission_id``, which is unique. Ranks are counted in
+blocks of ``SPAN`` ids and regions of ``SPAN`` blocks, so every window holds at most ``SPAN`` rows however
+the ids are spread, and a row that is computed again after a lost executor gets the same number.
+"""
 
-from itertools import accumulate
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.sources.checkpoints import materialise
+from tallyhouse.functions.joins import with_per_key
+from tallyhouse.functions.ordering import running_totals
+from tallyhouse.functions.predicates import scoped
+from tallyhouse.tables import Tables
 
-# Fixed by Spark: monotonically_increasing_id is (partition << 33) + row in partition.
-ROW_BITS = 33
+SPAN = 1_000_000
 
 
-def in_order(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` range-partitioned and sorted by a unique ``order``, written once so that
-    every later pass sees the same partitions."""
-    return materialise(df.repartitionByRange(*order).sortWithinPartitions(*order))
+def running(rows: DataFrame, order: str, name: str, measure: Column) -> DataFrame:
+    """Adds ``name``, the sum of ``measure`` up to and with each row, by the unique whole number ``order``."""
+    placed = rows.withColumns(
+        {"_block": F.expr(f"{order} div {SPAN}"), "_region": F.expr(f"{order} div {SPAN * SPAN}")}
+    )
+    inside = running_totals(placed, ["_region"], ["_block"], [order], **{name: measure})
+    # One row a region: a single one for ids below 10^12, eighteen million at most.
+    before = Window.orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+    regions = placed.groupBy("_region").agg(F.sum(measure).alias("_sum"))
+    opening = regions.select(
+        F.col("_region").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_opening")
+    )
+    return (
+        inside.join(opening, F.col("_region") == F.col("_of"))
+        .withColumn(name, F.col(name) + F.col("_opening"))
+        .select(*rows.columns, name)
+    )
 
 
-def dense_index(ordered: DataFrame, name: str) -> DataFrame:
-    """Adds 1, 2, 3 ... over the result of ``in_order``, which may have been filtered.
-    Only the row count per partition reaches the driver."""
-    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
-    partition = F.shiftright("_place", ROW_BITS).cast("int")
-    sizes = dict(
-        tuple(row) for row in placed.groupBy(partition.alias("partition")).count().collect()
-    )
-    counts = [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]
-    offsets = F.array(*[F.lit(n).cast("bigint") for n in [0, *accumulate(counts)][:-1]])
-    row = F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)
-    return placed.withColumn(name, F.get(offsets, partition) + row + 1).drop("_place")
+def numbers_of(D: Tables, table: str, number: str) -> DataFrame:
+    """The numbers given out in a table: of stored tables just the highest one, which their version
+    keeps, else the whole column."""
+    rows = scoped(getattr(D, table)).select(number)
+    if table not in D.marks:
+        return rows
+    mark = F.lit(D.marks[table]).cast(rows.schema[number].dataType)
+    return rows.sparkSession.range(1).select(mark.alias(number))
 
 
 def highest(*numbers: DataFrame) -> Column:
@@ -42,7 +56,25 @@ def highest(*numbers: DataFrame) -> Column:
     return first.agg(F.coalesce(F.max("number"), F.lit(0)).alias("highest")).scalar()
 
 
-def assign_numbers(ordered: DataFrame, number: str, *existing: DataFrame) -> DataFrame:
-    """Fills ``number`` with the numbers that follow the highest existing one."""
-    indexed = dense_index(ordered, "_index")
+def assign_numbers(rows: DataFrame, order: str, number: str, *existing: DataFrame) -> DataFrame:
+    """Fills ``number`` with the numbers that follow the highest existing one, by the unique ``order``."""
+    indexed = running(rows, order, "_index", F.lit(1))
     return indexed.withColumn(number, highest(*existing) + F.col("_index")).drop("_index")
+
+
+def assign_line_numbers(
+    lines: DataFrame, form: str, position: str, number: str, *existing: DataFrame
+) -> DataFrame:
+    """The same for lines, by form and position in it (unique together): the lines of all forms before, plus
+    the place in the own form. A form with a third of all lines is spread over blocks of positions."""
+    sizes = lines.groupBy(form).agg(F.count(F.lit(1)).alias("_size"))
+    opening = running(sizes, form, "_upto", F.col("_size")).select(
+        form, (F.col("_upto") - F.col("_size")).alias("_before")
+    )
+    blocks = lines.withColumn("_block", F.expr(f"{position} div {SPAN}"))
+    placed = running_totals(blocks, [form], ["_block"], [position], _place=F.lit(1))
+    return (
+        with_per_key(placed, opening, [form])
+        .withColumn(number, highest(*existing) + F.col("_before") + F.col("_place"))
+        .drop("_block", "_before", "_place")
+    )

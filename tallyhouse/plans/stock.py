@@ -21,7 +21,7 @@ from tallyhouse.plans.batches import (
     with_reasons,
 )
 from tallyhouse.plans.documents import LINE_NUMBERS, stamped
-from tallyhouse.plans.numbering import assign_numbers, in_order
+from tallyhouse.plans.numbering import assign_line_numbers, assign_numbers, numbers_of
 from tallyhouse.schemas import conform
 from tallyhouse.tables import Tables
 
@@ -49,9 +49,9 @@ def post_receipts(D: Tables, batch: Batch, as_of: dt.date) -> Posting:
 
     @cache
     def heads() -> DataFrame:
-        existing = scoped(D.goods_receipt_head).select("grn_no")
+        existing = numbers_of(D, RECEIPT.head, "grn_no")
         return (
-            assign_numbers(in_order(accepted(checked), "submission_id"), "grn_no", existing)
+            assign_numbers(accepted(checked), "submission_id", "grn_no", existing)
             .withColumnRenamed("grn_date", "grn_dt")
             .withColumn("active", F.lit(True))
         )
@@ -61,10 +61,10 @@ def post_receipts(D: Tables, batch: Batch, as_of: dt.date) -> Posting:
         return lines.join(numbers, "submission_id")
 
     def movements() -> DataFrame:
-        rows = in_order(received(), "submission_id", "rowid")
-        return assign_numbers(
-            rows, "update_id", scoped(D.stock_update).select("update_id")
-        ).select(
+        existing = numbers_of(D, "stock_update", "update_id")
+        dates = accepted(checked).select("submission_id", F.col("grn_date").alias("grn_dt"))
+        rows = lines.join(dates, "submission_id")
+        return assign_line_numbers(rows, "submission_id", "rowid", "update_id", existing).select(
             "update_id",
             F.col("partnum").alias("part_num"),
             F.lit("IN").alias("type"),
@@ -102,11 +102,11 @@ def post_movements(
     )
 
     def rows() -> DataFrame:
-        ordered = in_order(
-            accepted(checked).select("submission_id", "part_num", "type", "quantity"), "submission_id"
-        )
         numbered = assign_numbers(
-            ordered, "update_id", scoped(D.stock_update).select("update_id")
+            accepted(checked).select("submission_id", "part_num", "type", "quantity"),
+            "submission_id",
+            "update_id",
+            numbers_of(D, "stock_update", "update_id"),
         ).withColumns({"qty": F.col("quantity"), "update_date": F.lit(as_of)})
         return conform(stamped(numbered, "created_by", as_of), "stock_update")
 

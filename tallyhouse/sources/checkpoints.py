@@ -1,10 +1,10 @@
-"""Cutting lineage on shared storage, so lost executors do not change assigned numbers."""
+"""Where jobs keep tables that a later job reads: a folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,12 +18,3 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))
     return context.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from reliable storage."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyhouse.plans.stock import MOVEMENTS, post_movements
 from tallyhouse.schemas import schema
+from tallyhouse.sources.store import Store
 from tallyhouse.tables import Tables
 
 LEDGER = "stock_update"
@@ -53,3 +54,33 @@ def post_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_into(
+    store: Store,
+    name: str,
+    forms: DataFrame,
+    checkpoint: str,
+    as_of: dt.date,
+    types: list[str] = MOVEMENTS,
+) -> StreamingQuery:
+    """Posts a stream of movement forms to the ledger of ``store``, one version a micro-batch.
+
+    Numbers follow the store's highest one, so no earlier row is read. A micro-batch is saved under its
+    name, so one that is replayed after a failure changes nothing; other writers of the ledger may
+    come in between."""
+
+    def post(batch: DataFrame, batch_id: int) -> None:
+        def build(base):
+            return post_movements(store.tables(base), batch, as_of, types)
+
+        store.post(build, f"{name}-{batch_id}")
+        rejects = build(store.manifest()).rejects
+        rejects.write.mode("overwrite").parquet(f"{store.root}/rejects/{name}/arrival={batch_id}")
+
+    return (
+        forms.writeStream.foreachBatch(post)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

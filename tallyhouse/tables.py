@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -13,11 +13,13 @@ class Tables:
     """Holds one DataFrame per inventory table, read when first asked for.
 
     ``Tables(loader)`` asks ``loader(name)`` for a table; ``Tables.of(part=df)``
-    holds ready DataFrames.
+    holds ready DataFrames. ``marks`` are the highest numbers given out in tables of which they
+    are known without reading the rows.
     """
 
-    def __init__(self, loader: Callable[[str], DataFrame]):
+    def __init__(self, loader: Callable[[str], DataFrame], marks: Mapping[str, int] | None = None):
         self._loader = loader
+        self.marks = dict(marks or {})
 
     @classmethod
     def of(cls, **frames: DataFrame) -> Tables:

@@ -13,10 +13,13 @@ from tallyhouse.plans.batches import Batch, explode_batch
 from tallyhouse.plans.documents import post_documents, replace_documents, soft_delete
 from tallyhouse.plans.indents import create_indents, transition_indents, update_indents
 from tallyhouse.plans.masters import upsert_master
-from tallyhouse.plans.numbering import assign_numbers, in_order
+from tallyhouse.plans import numbering
+from tallyhouse.plans.numbering import assign_line_numbers, assign_numbers, numbers_of
 from tallyhouse.plans.stock import post_adjustments, post_movements, post_receipts
+from tallyhouse.schemas import schema
 from tallyhouse.sources import star_batches as forms
 from tallyhouse.sources.star import star_tables
+from tallyhouse.tables import Tables
 
 TODAY = dt.date(2024, 5, 1)
 NOW = dt.datetime(2024, 5, 1, 9, 30)
@@ -37,26 +40,54 @@ def reasons(posting):
     return {r[0]: r[1] for r in records(posting.rejects)}
 
 
-def test_numbers_are_dense_ordered_and_follow_the_highest(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    rows = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("k"))
-    ordered = in_order(rows, "k")
-    assert ordered.rdd.getNumPartitions() > 1
-    numbered = assign_numbers(ordered.filter("k % 3 = 0"), "n", spark.range(5), spark.range(10))
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    got = records(numbered.unionByName(numbered.limit(0)), "k", "n")
-    assert sorted(got) == [(k, 10 + i) for i, k in enumerate(range(0, 1000, 3))]
+@pytest.mark.parametrize("span", [7, 1_000_000])
+def test_numbers_are_dense_ordered_and_follow_the_highest(spark, monkeypatch, span):
+    monkeypatch.setattr(numbering, "SPAN", span)
+    rows = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000 - 300).alias("k"))
+    numbered = assign_numbers(rows.filter("k % 3 = 0"), "k", "n", spark.range(5), spark.range(10))
+    want = [(k, 10 + i) for i, k in enumerate(range(-300, 700, 3))]
+    assert sorted(records(numbered, "k", "n")) == want
+
+
+def test_sparse_numbers_of_submissions(spark):
+    keys = sorted({(i * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(300)} | {0, 1, 10**12, (1 << 63) - 1})
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    numbered = assign_numbers(rows, "k", "n", spark.range(0))
+    assert sorted(records(numbered, "k", "n")) == [(k, i) for i, k in enumerate(keys, 1)]
+
+
+@pytest.mark.parametrize("span", [3, 1_000_000])
+def test_lines_are_numbered_by_form_and_position(spark, monkeypatch, span):
+    monkeypatch.setattr(numbering, "SPAN", span)
+    lines = [(s, p) for s in (1, 5, 6, 90) for p in range(1, 30, 2) if s == 5 or p < 5 * s]
+    rows = spark.createDataFrame(lines, "s long, p int").repartition(4)
+    numbered = assign_line_numbers(rows, "s", "p", "n", spark.range(100))
+    assert sorted(records(numbered, "s", "p", "n")) == [(*x, 99 + i) for i, x in enumerate(lines, 1)]
 
 
 def test_numbers_of_an_empty_batch(spark):
-    assert assign_numbers(in_order(spark.range(0), "id"), "n", spark.range(0)).count() == 0
+    assert assign_numbers(spark.range(0), "id", "n", spark.range(0)).count() == 0
 
 
 def test_first_number_is_one(spark):
-    numbered = assign_numbers(in_order(spark.range(2), "id"), "n", spark.range(0))
+    numbered = assign_numbers(spark.range(2), "id", "n", spark.range(0))
     assert sorted(records(numbered, "n")) == [(1,), (2,)]
 
 
+def test_known_highest_numbers_save_the_scan(spark, tables, tmp_path):
+    D = tables(stock_update=[{"update_id": 7}])
+    assert records(numbers_of(D, "stock_update", "update_id")) == [(7,)]
+    D.stock_update.write.parquet(f"{tmp_path}/ledger")
+    stored = Tables(lambda name: spark.read.schema(schema(name)).parquet(f"{tmp_path}/ledger"), {"stock_update": 40})
+    batch = spark.createDataFrame([(1, 1, "IN", 2)], "submission_id long, part_num long, type string, quantity int")
+    jobs = spark.sparkContext.statusTracker()
+    before = jobs.getJobIdsForGroup()
+    added = post_movements(stored, batch, TODAY).added["stock_update"]
+    assert jobs.getJobIdsForGroup() == before
+    assert "parquet" not in added._jdf.queryExecution().executedPlan().toString()
+    assert records(added, "update_id") == [(41,)]
+
+
 def test_post_orders(tables, batch):
     D = tables(purchase_order_head=[{"po_no": 40}])
     posting = post_documents(
