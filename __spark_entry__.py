@@ -49,7 +49,7 @@ from tallyhouse.sources.sinks import (  # noqa: E402
     to_json_rows,
 )
 from tallyhouse.sources.star import star_tables  # noqa: E402
-from tallyhouse.sources.store import Manifest, Store  # noqa: E402
+from tallyhouse.sources.store import Manifest, Store, balance_between, keep_levels  # noqa: E402
 from tallyhouse.tables import Tables  # noqa: E402
 
 AS_OF = dt.date(2001, 8, 1)
@@ -583,6 +583,23 @@ def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))
 
 
+def _kept_levels(D: Tables) -> tuple[Store, Manifest]:
+    """The stored ledger with the levels at the end of two years kept."""
+    store, _ = _store(D, "part", "unit", PO.head, "stock_update")
+    keep_levels(store, "1996-12")
+    return store, keep_levels(store, "1999-12")
+
+
+def _late_levels(D: Tables) -> DataFrame:
+    """Levels after a batch of receipts of which most are dated before the kept levels."""
+    store, _ = _kept_levels(D)
+    batch = forms.receipt_forms(D)
+    current = store.post(
+        lambda base: post_stock.post_receipts(store.tables(base), batch, AS_OF), "receipts"
+    )
+    return stock.ledger_level(store.tables(current))
+
+
 STORED: dict[str, Callable[[Tables], DataFrame]] = {
     "stored_order_edits_heads": lambda D: _stored_order_edits(D).purchase_order_head.select(
         "po_no", "po_date", "vendor", "remarks", "active"
@@ -604,6 +621,9 @@ STORED: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "stored_receipts_ledger": lambda D: _stored_receipts(D).stock_update.select(*LEDGER),
     "stored_movements": lambda D: _stored_movements(D).stock_update.select(*LEDGER),
+    "stored_stock_on_hand": lambda D: stock.stock_on_hand(_kept_levels(D)[0].tables()),
+    "stored_levels_late": _late_levels,
+    "stored_balance_years": lambda D: balance_between(*_kept_levels(D), "1997-01", "1998-12"),
     "stored_indent_decisions": lambda D: _stored_indents(D).indent_request_head.select(
         "indent_id", "status"
     ),

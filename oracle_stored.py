@@ -1,7 +1,7 @@
 """DuckDB text of what stored tables hold after their batches."""
 
 from oracle_posts import POSTS, RECEIPT_FORMS
-from oracle_reads import d
+from oracle_reads import READS, d
 
 STORED_TEXT = {
     "stored_order_edits_heads": POSTS["replace_orders_heads"],
@@ -22,6 +22,10 @@ STORED_TEXT = {
     "stored_movements": f"""
         select update_id, part_num, type, {d("qty")}, update_date from stock_update_t
         union all select * from ({POSTS["post_movements"]}) x""",
+    "stored_stock_on_hand": READS["stock_on_hand"],
+    "stored_levels_late": POSTS["post_receipts_on_hand"],
+    "stored_balance_years": f"""select * from ({READS["stock_running_balance"]}) b
+        where update_date between DATE '1997-01-01' and DATE '1998-12-31'""",
     "stored_indent_decisions": POSTS["transition_indents"],
     "stored_vendor_deletions": POSTS["delete_vendors"],
 }

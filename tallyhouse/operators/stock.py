@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.ordering import by_label, running_totals
@@ -16,29 +16,51 @@ LEVEL = "decimal(28,2)"
 SEGMENT_IDS = 1_000_000
 
 
+def movement_sums(ledger: DataFrame) -> DataFrame:
+    """Per company and part: ``SUMS`` of its movements. They add up, so sums of parts of the ledger can be
+    merged by ``merged_sums``."""
+
+    def total(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("qty"))), F.lit(0)).cast(LEVEL)
+
+    def level(sign: str) -> Column:
+        return F.sum(signed_quantity(F.col("type"), F.col("qty"), sign)).cast(LEVEL)
+
+    return ledger.filter("part_num is not null").groupBy("company", "part_num").agg(
+        level("reference").alias("level_reference"),
+        level("adjusted").alias("level_adjusted"),
+        total("IN").alias("total_in"),
+        total("OUT").alias("total_out"),
+        F.count(F.lit(1)).alias("movements"),
+        F.max("update_date").alias("last_updated"),
+    )
+
+
+def merged_sums(sums: DataFrame) -> DataFrame:
+    """One row a part from several."""
+    added = [F.sum(c).cast(LEVEL).alias(c) for c in ("level_reference", "level_adjusted", "total_in", "total_out")]
+    return sums.groupBy("company", "part_num").agg(
+        *added, F.sum("movements").alias("movements"), F.max("last_updated").alias("last_updated")
+    )
+
+
+def sums_of(D: Tables) -> DataFrame:
+    """Movement sums of the parts of company 1, from what is kept of them where it is kept."""
+    return scoped(D.standing() if D.standing else movement_sums(D.stock_update)).drop("company")
+
+
 def ledger_level(D: Tables, sign: str = "reference") -> DataFrame:
     """Signed ledger sum per part; rows without a part are left out."""
-    signed = signed_quantity(F.col("type"), F.col("qty"), sign)
-    return (
-        scoped(D.stock_update)
-        .filter("part_num is not null")
-        .groupBy("part_num")
-        .agg(F.sum(signed).cast(LEVEL).alias("current_stock"))
-    )
+    return sums_of(D).select("part_num", F.col(f"level_{sign}").alias("current_stock"))
 
 
 def part_stock_info(D: Tables, sign: str = "reference") -> DataFrame:
     """Per part: level, number of movements, date of the last one."""
-    signed = signed_quantity(F.col("type"), F.col("qty"), sign)
-    totals = (
-        scoped(D.stock_update)
-        .filter("part_num is not null")
-        .groupBy("part_num")
-        .agg(
-            F.sum(signed).cast(LEVEL).alias("current_stock"),
-            F.count(F.lit(1)).alias("total_transactions"),
-            F.max("update_date").alias("last_updated"),
-        )
+    totals = sums_of(D).select(
+        "part_num",
+        F.col(f"level_{sign}").alias("current_stock"),
+        F.col("movements").alias("total_transactions"),
+        "last_updated",
     )
     return (
         scoped(D.part)
@@ -107,8 +129,11 @@ def stock_value_total(D: Tables, sign: str = "reference") -> DataFrame:
     )
 
 
-def stock_running_balance(D: Tables, sign: str = "reference") -> DataFrame:
-    """Every movement with the part's balance after it, in date and id order."""
+def stock_running_balance(
+    D: Tables, sign: str = "reference", opening: DataFrame | None = None
+) -> DataFrame:
+    """Every movement with the part's balance after it, in date and id order. ``opening`` are the movement
+    sums of the ledger before the rows of ``D``, where these are only some of its months."""
     moves = (
         scoped(D.stock_update)
         .filter("part_num is not null")
@@ -127,7 +152,12 @@ def stock_running_balance(D: Tables, sign: str = "reference") -> DataFrame:
         ["update_date", "update_id"],
         running_balance=F.col("signed"),
     )
-    balance = F.col("running_balance").cast(LEVEL)
+    balance = F.col("running_balance")
+    if opening is not None:
+        before = scoped(opening).select("part_num", F.col(f"level_{sign}").alias("opening"))
+        balanced = with_per_key(balanced, before, ["part_num"])
+        balance = balance + F.coalesce("opening", F.lit(0))
+    balance = balance.cast(LEVEL)
     return balanced.select(
         "part_num", "update_date", "update_id", "type", "qty",
         balance.alias("running_balance"),
@@ -137,20 +167,12 @@ def stock_running_balance(D: Tables, sign: str = "reference") -> DataFrame:
 
 def movement_summary(D: Tables) -> DataFrame:
     """Per part: IN total, OUT total, their difference and the number of movements."""
-
-    def total(kind: str):
-        return F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("qty"))), F.lit(0))
-
-    return (
-        scoped(D.stock_update)
-        .filter("part_num is not null")
-        .groupBy("part_num")
-        .agg(
-            total("IN").cast(LEVEL).alias("total_in"),
-            total("OUT").cast(LEVEL).alias("total_out"),
-            F.count(F.lit(1)).alias("movements"),
-        )
-        .withColumn("net_balance", (F.col("total_in") - F.col("total_out")).cast(LEVEL))
+    return sums_of(D).select(
+        "part_num",
+        "total_in",
+        "total_out",
+        "movements",
+        (F.col("total_in") - F.col("total_out")).cast(LEVEL).alias("net_balance"),
     )
 
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tallyhouse.operators.stock import merged_sums, movement_sums, stock_running_balance
 from tallyhouse.plans.batches import Posting
 from tallyhouse.schemas import DDL, conform, schema
 from tallyhouse.tables import Tables
@@ -46,6 +47,7 @@ KEYS = {
 }
 HEAD_OF = {name: name.replace("_tran", "_head") for name in DDL if name.endswith("_tran")}
 ALL = "all"
+LEDGER, LEVELS = "stock_update", "stock_levels"
 #: What Spark names the folder of rows without a month.
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
@@ -57,18 +59,29 @@ class Conflict(Exception):
 @dataclass(frozen=True)
 class Manifest:
     """One version: ``parts[table][month]`` are data folders, ``marks[table]`` the highest number of company
-    1, ``batches`` the names of the batches posted."""
+    1, ``batches`` the names of the batches posted, ``derived[name][month]`` tables made from the
+    folders of ``covers`` up to that month."""
 
     version: int = 0
     parts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     marks: dict[str, int] = field(default_factory=dict)
     batches: list[str] = field(default_factory=list)
+    derived: dict[str, dict[str, dict]] = field(default_factory=dict)
 
 
 def _folder(commit: str, month: str) -> str:
     return f"commit={commit}/month={month}"
 
 
+def _merged(made: dict, table: str, old: dict, new: dict, months: Iterable[str]) -> dict:
+    """A derived table after a compaction: a month whose folders it covers is covered as merged."""
+    covers = dict(made["covers"])
+    for m in months:
+        if made["table"] == table and set(old[m]) <= set(covers.get(m, [])):
+            covers[m] = new.get(m, [])
+    return {**made, "covers": covers}
+
+
 def _of_commit(table: str, commit: str, months: Iterable[str]) -> Manifest:
     """Just the rows that one commit has written to a table."""
     return Manifest(parts={table: {m: [_folder(commit, m)] for m in months}})
@@ -153,7 +166,9 @@ class Store:
         """The tables of a version, with the highest numbers known; ``months`` cuts tables to some months."""
         current, cut = manifest or self.manifest(), months or {}
         return Tables(
-            lambda name: conform(self.rows(current, name, cut.get(name)), name), marks=current.marks
+            lambda name: conform(self.rows(current, name, cut.get(name)), name),
+            marks=current.marks,
+            standing=None if LEDGER in cut else lambda: standing(self, current),
         )
 
     def months_of(self, manifest: Manifest, table: str, keys: DataFrame) -> list[str]:
@@ -293,9 +308,18 @@ class Store:
         parts |= _of_commit(table, commit, written).parts[table]
         current = self.manifest()
         self._check(base, current, [table])
-        following = replace(
-            current, version=current.version + 1, parts={**current.parts, table: parts}
+        return self.follow(
+            current,
+            parts={**current.parts, table: parts},
+            derived={
+                name: {m: _merged(d, table, base.parts[table], parts, months) for m, d in made.items()}
+                for name, made in current.derived.items()
+            },
         )
+
+    def follow(self, current: Manifest, **changes) -> Manifest:
+        """The version after ``current``; ``Conflict`` if another writer has made it."""
+        following = replace(current, version=current.version + 1, **changes)
         if not self._put(following):
             raise Conflict(f"version {following.version} exists")
         return following
@@ -305,6 +329,11 @@ class Store:
         without writers: a commit on its way is not listed yet."""
         versions = self.versions()
         kept = [self.manifest(v) for v in versions[-keep:]]
+        for name in {n for v in versions for n in self.manifest(v).derived}:
+            used = {d["folder"] for m in kept for d in m.derived.get(name, {}).values()}
+            for folder in self._names(f"{self.root}/data/{name}"):
+                if folder not in used:
+                    self._delete(f"{self.root}/data/{name}/{folder}")
         for v in versions[:-keep]:
             self._delete(f"{self.root}/versions/{v:012}.json")
         for table in DDL:
@@ -313,3 +342,59 @@ class Store:
                 for month in self._names(f"{self.root}/data/{table}/{commit}"):
                     if month.startswith("month=") and f"{commit}/{month}" not in used:
                         self._delete(f"{self.root}/data/{table}/{commit}/{month}")
+
+
+# Stock levels kept with the ledger
+
+
+def _order(month: str) -> str:
+    """Movements without a date come before all others, as in the running balance."""
+    return "" if month == NO_MONTH else month
+
+
+def _snapshot(current: Manifest, before: str | None) -> tuple[str, dict]:
+    """The latest kept levels before a month of which all files are still part of the ledger."""
+    parts = current.parts.get(LEDGER, {})
+    for month, made in sorted(current.derived.get(LEVELS, {}).items(), reverse=True):
+        whole = all(set(listed) <= set(parts.get(m, [])) for m, listed in made["covers"].items())
+        if whole and (before is None or month < before):
+            return month, made
+    return "", {"covers": {}}
+
+
+def standing(store: Store, current: Manifest, before: str | None = None) -> DataFrame:
+    """Movement sums per part of the ledger, or of its months ``before`` one: kept levels, and the sums of the
+    folders they do not cover. Rows that came late lie in such folders, whatever their date."""
+    _, made = _snapshot(current, before)
+    open_parts = {
+        m: [f for f in listed if f not in made["covers"].get(m, [])]
+        for m, listed in current.parts.get(LEDGER, {}).items()
+        if before is None or _order(m) < before
+    }
+    tail = movement_sums(store.rows(Manifest(parts={LEDGER: open_parts}), LEDGER))
+    if "folder" not in made:
+        return tail
+    kept = store.spark.read.schema(tail.schema).parquet(f"{store.root}/data/{LEVELS}/{made['folder']}")
+    return merged_sums(kept.unionByName(tail))
+
+
+def keep_levels(store: Store, month: str) -> Manifest:
+    """Keeps the movement sums of all parts at the end of ``month`` (yyyy-MM), made from the levels kept last and
+    the rows since."""
+    current = store.manifest()
+    following = f"{month}~"  # after the month, before the next one
+    folder = f"commit={uuid.uuid4().hex}"
+    standing(store, current, following).write.parquet(f"{store.root}/data/{LEVELS}/{folder}")
+    covers = {m: f for m, f in current.parts.get(LEDGER, {}).items() if _order(m) < following}
+    made = {**current.derived.get(LEVELS, {}), month: {"folder": folder, "table": LEDGER, "covers": covers}}
+    return store.follow(current, derived={**current.derived, LEVELS: made})
+
+
+def balance_between(
+    store: Store, current: Manifest, first: str, last: str, sign: str = "reference"
+) -> DataFrame:
+    """The running balance of the movements of some months: reads these, the levels kept before them and
+    what these do not cover."""
+    months = [m for m in current.parts.get(LEDGER, {}) if first <= m <= last and m != NO_MONTH]
+    D = store.tables(current, {LEDGER: months})
+    return stock_running_balance(D, sign, standing(store, current, first))

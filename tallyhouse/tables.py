@@ -14,12 +14,19 @@ class Tables:
 
     ``Tables(loader)`` asks ``loader(name)`` for a table; ``Tables.of(part=df)``
     holds ready DataFrames. ``marks`` are the highest numbers given out in tables of which they
-    are known without reading the rows.
+    are known without reading the rows, ``standing`` gives the movement sums of the ledger where
+    they are kept.
     """
 
-    def __init__(self, loader: Callable[[str], DataFrame], marks: Mapping[str, int] | None = None):
+    def __init__(
+        self,
+        loader: Callable[[str], DataFrame],
+        marks: Mapping[str, int] | None = None,
+        standing: Callable[[], DataFrame] | None = None,
+    ):
         self._loader = loader
         self.marks = dict(marks or {})
+        self.standing = standing
 
     @classmethod
     def of(cls, **frames: DataFrame) -> Tables:

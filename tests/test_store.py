@@ -16,7 +16,7 @@ from tallyhouse.plans.masters import upsert_master
 from tallyhouse.plans.stock import post_movements, post_receipts
 from tallyhouse.sources import star_batches as forms
 from tallyhouse.sources.star import star_tables
-from tallyhouse.sources.store import NO_MONTH, Conflict, Store
+from tallyhouse.sources.store import NO_MONTH, Conflict, Store, balance_between, keep_levels, standing
 from tallyhouse.streaming.ledger import stream_into
 
 TODAY = dt.date(2024, 5, 1)
@@ -249,5 +249,81 @@ def test_streams_post_versions(spark, store, tmp_path):
     assert spark.read.parquet(f"{store.root}/rejects/moves").count() == 1
 
 
+@pytest.fixture
+def ledger(spark, tmp_path, frame):
+    """A ledger of a year, two rows of which have no date and no part."""
+
+    def build(*extra):
+        return frame("stock_update", *[
+            {"update_id": 100 * m + i, "part_num": i % 3 or None, "type": ["IN", "OUT", "INCREASE"][i % 2 + m % 2],
+             "qty": i + m, "update_date": f"2024-{m:02}-{1 + i:02}"}
+            for m in range(1, 13) for i in range(6)
+        ], {"update_id": 9001, "part_num": 1, "type": "IN", "qty": 1000}, *extra)
+
+    return build
+
+
+def late(day, n):
+    return {"update_id": 9100 + n, "part_num": 2, "type": "IN", "qty": 10**n, "update_date": day}
+
+
+def ledger_store(spark, tmp_path, rows_):
+    store = Store(spark, str(tmp_path / "levels"))
+    store.commit(Posting(rejects=None, added={"stock_update": rows_}), "opening", store.manifest())
+    return store
+
+
+def read_folders(df):
+    return {f.split("month=")[1][:7] for f in df.inputFiles() if "stock_update" in f}
+
+
+def test_levels_are_kept_levels_and_the_rows_since(spark, tmp_path, ledger):
+    store = ledger_store(spark, tmp_path, ledger())
+    keep_levels(store, "2024-04")
+    current = keep_levels(store, "2024-09")
+    assert read_folders(standing(store, current)) == {"2024-10", "2024-11", "2024-12"}
+    assert read_folders(standing(store, current, "2024-07")) == {"2024-05", "2024-06"}
+    add = [late("2024-02-03", 1), late("2024-11-30", 2), late(None, 3)]
+    more = spark.createDataFrame([], ledger().schema).unionByName(ledger(*add).filter("update_id > 9100"))
+    current = store.commit(Posting(rejects=None, added={"stock_update": more}), "late", current)
+    whole = stock.movement_sums(ledger(*add))
+    assert multiset(standing(store, current)) == multiset(whole)
+    for sign in ("reference", "adjusted"):
+        got = stock.ledger_level(store.tables(current), sign)
+        assert multiset(got) == multiset(whole.select("part_num", F.col(f"level_{sign}").alias("current_stock")))
+    before = ledger(*add).filter("update_date is null or update_date < date '2024-07-01'")
+    assert multiset(standing(store, current, "2024-07")) == multiset(stock.movement_sums(before))
+
+
+def test_balance_of_some_months_reads_these_months(spark, tmp_path, ledger, tables):
+    add = [late("2024-02-03", 1), late(None, 3)]
+    store = ledger_store(spark, tmp_path, ledger(*add))
+    current = keep_levels(store, "2024-06")
+    got = balance_between(store, current, "2024-07", "2024-08", "adjusted")
+    assert read_folders(got) == {"2024-07", "2024-08"}
+    whole = stock.stock_running_balance(tables().replace(stock_update=ledger(*add)), "adjusted")
+    assert multiset(got) == multiset(whole.filter("month(update_date) in (7, 8)"))
+
+
+def test_kept_levels_outlast_a_compaction_of_covered_months(spark, tmp_path, ledger):
+    store = ledger_store(spark, tmp_path, ledger())
+    for n, day in enumerate(["2024-03-09", "2024-08-01"], 1):
+        row = ledger(late(day, n)).filter("update_id > 9100")
+        store.commit(Posting(rejects=None, added={"stock_update": row}), day, store.manifest())
+    keep_levels(store, "2024-05")
+    want = multiset(standing(store, store.manifest()))
+    current = store.compact("stock_update")
+    after = standing(store, current)
+    assert multiset(after) == want and min(read_folders(after)) == "2024-06"
+    row = ledger(late("2024-03-10", 3)).filter("update_id > 9100")
+    store.commit(Posting(rejects=None, added={"stock_update": row}), "one more", current)
+    want = multiset(standing(store, store.manifest()))
+    current = store.compact("stock_update")  # March is covered in part now: the levels no longer hold
+    assert multiset(standing(store, current)) == want
+    assert "2024-01" in read_folders(standing(store, current))
+    store.expire(1)
+    assert multiset(standing(store, store.manifest())) == want
+
+
 def test_levels_of_stored_tables(store, D):
     assert Counter(records(stock.ledger_level(store.tables()))) == Counter(records(stock.ledger_level(D)))
