@@ -15,10 +15,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from tallyhouse.llm.packed import slices
-from tallyhouse.llm.shared import release, small_batches
+from tallyhouse.llm.shared import Memory, release, small_batches
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -26,10 +27,10 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Encoder:
     """Encodes and decodes by a BPE tokenizer file with word ends (``end_of_word_suffix``).
 
-    ``most`` bounds the remembered words and, apart from that, the remembered fragments.
+    ``most`` bounds the remembered words, pre-tokens and fragments, each on its own.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +53,19 @@ class Encoder:
             symbols = self.symbols(t.removesuffix(self.end), t.endswith(self.end))
             self.inside.update(zip(symbols, symbols[1:]))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.most, self.words, self.fragments = most, {}, {}
+        self.words, self.pre, self.fragments = Memory(most), Memory(most), Memory(most)
+        self.split_ascii = self._ascii_splitter(spec)
+
+    def _ascii_splitter(self, spec: dict):
+        """The file's own pattern as a function for printable ASCII words, if splitting by it is all that the
+        library does to them besides lower-casing (a probe tells); else None."""
+        try:
+            pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        except (KeyError, IndexError, TypeError, regex.error):
+            return None
+        probe = " ".join(f"a{chr(i)}Bc{chr(i)}{chr(i)}1{chr(i)}'s" for i in range(33, 127))
+        found = [p for p, _ in self.pre_tokens(self.normalise(probe))]
+        return pattern.findall if pattern.findall(probe.lower()) == found else None
 
     def symbols(self, text: str, ends: bool) -> list[str]:
         out = list(text)
@@ -91,16 +104,31 @@ class Encoder:
     def piece(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
         ids: list[int] = []
-        for pre, _ in self.pre_tokens(self.normalise(text)):
-            for fragment in self.fragments_of(self.symbols(pre, True)):
-                got = self.fragments.get(fragment)
-                if got is None:
-                    if len(self.fragments) >= self.most:
-                        self.fragments.clear()
-                    got = self.fragments[fragment] = self.merge(fragment)
-                ids += got
+        if self.split_ascii and text.isascii() and text.isprintable() and " " not in text:
+            parts = self.split_ascii(text.lower())
+        else:
+            parts = [p for p, _ in self.pre_tokens(self.normalise(text))]
+        for pre in parts:
+            got = self.pre.get(pre)
+            if got is None:
+                got = self.pre_token(pre)
+                self.pre.put(pre, got)
+            ids += got
         return ids
 
+    def pre_token(self, pre: str) -> tuple[int, ...]:
+        fragments = self.fragments_of(self.symbols(pre, True))
+        if len(fragments) == 1:
+            return self.merge(fragments[0])
+        ids: list[int] = []
+        for fragment in fragments:
+            got = self.fragments.get(fragment)
+            if got is None:
+                got = self.merge(fragment)
+                self.fragments.put(fragment, got)
+            ids += got
+        return tuple(ids)
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.specials.split(text):
@@ -115,25 +143,20 @@ class Encoder:
         got = self.words.get(text)
         if got is None:
             ids = self.encode(text)
-            got = self.words[text] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            self.words.put(text, got)
         return got
 
-    def forget(self) -> None:
-        self.words.clear()
-        self.fragments.clear()
-
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids and the SHA-256 of the ids as text and of the decoded text.
 
         Tab, line feed, carriage return and space end a word in every text.
         """
-        if len(self.words) > self.most:
-            self.words.clear()
-        word = self.word
+        known, word = self.words.new.get, self.word
         parts = [
             p
             for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if (p := word(w))[0]
+            if (p := known(w) or word(w))[0]
         ]
         return (
             sum(p[0] for p in parts),
@@ -190,9 +213,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        if len(e.words) > e.most // 2:
-            e.forget()
-            release()
+        release()
 
     small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(rows, DIGEST)

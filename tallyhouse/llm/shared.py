@@ -67,6 +67,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+class Memory:
+    """A dictionary that keeps what was used lately: of two generations the older goes when the newer
+    holds ``most`` / 2 entries. Between, it has ``most`` at most."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = max(most // 2, 1), {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def release() -> None:
     """Gives memory that a task has freed back to the system; Spark keeps its Python workers."""
     gc.collect()
