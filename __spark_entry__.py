@@ -578,6 +578,26 @@ POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
 }
 
+ENTRIES = {
+    "part": (forms.part_entries, ["submission_id"]),
+    "customer": (forms.customer_entries, ["submission_id"]),
+    "movement": (forms.movement_entries, ["submission_id"]),
+    "indent_line": (forms.indent_line_entries, ["submission_id", "position"]),
+}
+
+
+def _entries(kind: str) -> dict[str, Callable[[Tables], DataFrame]]:
+    """The entry checks of one kind: rows with reasons, and rows that pass."""
+    entered, keys = ENTRIES[kind]
+    return {
+        f"validate_{kind}_entries": lambda D: _reasons(validation.validate(entered(D), kind)[1], *keys),
+        f"validate_{kind}_entries_accepted": lambda D: validation.validate(entered(D), kind)[0].select(*keys),
+    }
+
+
+for _kind in ENTRIES:
+    POSTINGS |= _entries(_kind)
+
 
 def _registered(report: Callable[[Tables], DataFrame]):
     return lambda spark, sf_dir: _doubles(report(star_tables(spark, sf_dir)))

@@ -258,3 +258,55 @@ def shared_vendor_names(D: Tables) -> DataFrame:
         "gst",
         "pan",
     )
+
+
+def part_entries(D: Tables) -> DataFrame:
+    """Parts as typed into the entry form, with names, types and costing methods in and outside the choices."""
+    return _shaped(
+        D.part,
+        submission_id="part_num",
+        part_num="case when part_num % 50 <> 0 then cast(part_num as string) end",
+        part_desc="""case part_num % 7 when 0 then '' when 1 then 'Valve (brass) 1/2'
+            when 2 then 'Valve - brass.' else part_desc end""",
+        part_type="""case part_num % 5 when 0 then 'Raw Material' when 1 then 'Service'
+            when 2 then '' when 3 then part_type end""",
+        costing="case part_num % 4 when 0 then 'FIFO' when 1 then 'Average' when 2 then 'HIFO' end",
+    )
+
+
+def customer_entries(D: Tables) -> DataFrame:
+    """Customers as typed in: codes, names and tax numbers present, absent and misspelt."""
+    return _shaped(
+        D.customer,
+        submission_id="customer_code",
+        customer_code="case when customer_code % 40 = 0 then '' else cast(customer_code as string) end",
+        customer_name="""case customer_code % 3 when 0 then 'Shah & Sons (East)'
+            when 1 then customer_name else case when customer_code % 9 <> 8 then 'A/B Traders' end end""",
+        gst="""case customer_code % 4 when 0 then '27ABCDE1234F1Z5' when 1 then '27abcde1234f1z5'
+            when 2 then '' end""",
+        pan="case customer_code % 5 when 0 then 'ABCDE1234F' when 1 then 'ABCDE12345' end",
+    )
+
+
+def movement_entries(D: Tables) -> DataFrame:
+    """Movements as typed in, with quantities around the limits."""
+    return _shaped(
+        D.stock_update,
+        submission_id="update_id",
+        part_num="cast(part_num as string)",
+        type="case when update_id % 6 <> 0 then type end",
+        quantity="""case update_id % 8 when 0 then '0' when 1 then '1000000' when 2 then 'ten'
+            when 3 then '' when 4 then '0.01' when 5 then '999999' else cast(qty as string) end""",
+    )
+
+
+def indent_line_entries(D: Tables) -> DataFrame:
+    """Indent lines as typed in."""
+    return _shaped(
+        D.indent_request_tran,
+        submission_id="indent_id",
+        position="rowid",
+        part_num="case when partnum % 10 <> 0 then cast(partnum as string) else '' end",
+        quantity="""case when indent_id % 9 = 0 then '' when indent_id % 9 = 1 then '-1'
+            else cast(quantity as string) end""",
+    )
