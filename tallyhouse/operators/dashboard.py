@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.functions.ordering import newest
+from tallyhouse.functions.ordering import newest, top_n_per
 from tallyhouse.operators.documents import PURCHASE, SALES, DocumentKind
 from tallyhouse.tables import Tables
 
@@ -162,21 +162,44 @@ def completed_operations(D: Tables, as_of: dt.date, days: int = 30) -> DataFrame
     )
 
 
+def _orders_with_receipts(D: Tables, as_of: dt.date) -> DataFrame:
+    """Orders, with whether no receipt exists and how many of their receipts were closed lately; receipts
+    without an order stand beside."""
+    lately = F.date_sub(F.lit(as_of), 30)
+    received = D.goods_receipt_head.groupBy("company", "po_no").agg(
+        F.count_if(~F.col("active") & (F.col("grn_dt") >= lately)).alias("extra_closed")
+    )
+    orders = D.purchase_order_head.select("company", "po_no", "po_date", "vendor", "active")
+    pending = F.col("active") & F.col("extra_closed").isNull()
+    return orders.join(received, ["company", "po_no"], "full_outer").withColumn(
+        "extra_pending", pending.cast("int")
+    )
+
+
 def operational_status(D: Tables, as_of: dt.date) -> DataFrame:
-    """Four labelled counts of open and completed work."""
-    count = F.count(F.lit(1)).alias("value")
-    values = [
-        D.purchase_order_head.filter("active").agg(count),
-        pending_grns(D).toDF("value"),
-        D.sales_invoice_head.filter("active").agg(count),
-        completed_operations(D, as_of).toDF("value"),
-    ]
-    return _stack(
-        [
-            v.select(F.lit(label).alias("label"), "value")
-            for label, v in zip(OPERATION_LABELS, values)
+    """Four labelled counts of open and completed work; each head table is read once."""
+    lately = F.date_sub(F.lit(as_of), 30)
+
+    def counts(heads: DataFrame, **values: Column) -> DataFrame:
+        found = heads.agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in values.items()])
+        entries = [
+            F.struct(F.lit(OPERATION_LABELS[int(k[1:])]).alias("label"), F.col(k).alias("value")) for k in values
         ]
+        return found.select(F.inline(F.array(*entries)))
+
+    orders = counts(
+        _orders_with_receipts(D, as_of),
+        n0=F.count_if("active"),
+        n1=F.sum("extra_pending"),
+        n3=F.count_if(~F.col("active") & (F.col("po_date") >= lately))
+        + F.coalesce(F.sum("extra_closed"), F.lit(0)),
+    )
+    invoices = counts(
+        D.sales_invoice_head,
+        n2=F.count_if("active"),
+        n3=F.count_if(~F.col("active") & (F.col("inv_dt") >= lately)),
     )
+    return orders.unionByName(invoices).groupBy("label").agg(F.sum("value").alias("value"))
 
 
 def recent_transactions(D: Tables, n: int = 5) -> DataFrame:
@@ -195,30 +218,100 @@ def recent_transactions(D: Tables, n: int = 5) -> DataFrame:
     )
 
 
+def _figures(heads: DataFrame, D: Tables, kind: DocumentKind, as_of: dt.date) -> DataFrame:
+    """Per partner of one side: its role and name, value and documents of the money window, and counts of active
+    and of lately closed documents. Heads and lines are read once. ``heads`` may carry ``extra``, counted
+    beside."""
+    since, lately = F.add_months(F.lit(as_of), -6), F.date_sub(F.lit(as_of), 30)
+    totals = (
+        kind.lines(D)
+        .filter("active")
+        .groupBy("company", kind.number)
+        .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("lines"))
+    )
+    date = F.col(kind.date)
+    counted = F.col("active") & (date >= since) & F.col("lines").isNotNull()
+    per_party = (
+        heads.join(totals, ["company", kind.number], "left")
+        .groupBy("company", kind.party)
+        .agg(
+            F.sum(F.when(counted, F.col("amount"))).cast(VALUE).alias("value"),
+            F.count_if(counted).alias("counted"),
+            F.count_if("active").alias("active_documents"),
+            F.count_if(~F.col("active") & (date >= lately)).alias("closed"),
+            F.sum("extra_pending").alias("pending"),
+            F.sum("extra_closed").alias("more_closed"),
+        )
+    )
+    parties = kind.parties(D).withColumn("known", F.lit(True))
+    return per_party.join(parties, ["company", kind.party], "left").select(
+        F.lit(kind.party.capitalize()).alias("role"),
+        F.col(kind.party_name).alias("name"),
+        F.coalesce("known", F.lit(False)).alias("known"),
+        "value", "counted", "active_documents", "closed", "pending", "more_closed",
+    )
+
+
 def dashboard_stats(D: Tables, as_of: dt.date) -> DataFrame:
-    """The whole dashboard as (section, label, value) rows of one plan. The window's
-    value per partner is the common input of the money and the partner sections."""
-    sales, costs = value_by_name(D, SALES, as_of), value_by_name(D, PURCHASE, as_of)
-    money = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), F.col(c).alias("value"))
-            for c, label in MONEY_LABELS.items()
-        ]
+    """The whole dashboard as (section, label, value) rows of one plan.
+
+    Each table is read once: the figures per partner are expanded to one row a section they count
+    in, and one aggregate and one top-n serve all sections."""
+    invoices = D.sales_invoice_head.select("company", "inv_no", "inv_dt", "customer", "active")
+    none = F.lit(None).cast("bigint")
+    invoices = invoices.withColumns({"extra_pending": none, "extra_closed": none})
+    figures = _figures(invoices, D, SALES, as_of).unionByName(
+        _figures(_orders_with_receipts(D, as_of), D, PURCHASE, as_of)
     )
-    partners = _labelled(_top(costs, 3), "Vendor").unionByName(
-        _labelled(_top(sales, 3), "Customer")
-    )
-    sections = {
-        "revenue_expense": _profit(sales, costs).select(F.inline(money)),
-        "top_partners": partners,
-        "operational_status": operational_status(D, as_of),
-    }
-    return _stack(
-        [
-            rows.select(F.lit(name).alias("section"), "label", F.col("value").cast(VALUE))
-            for name, rows in sections.items()
-        ]
+    bought = F.col("role") == "Vendor"
+    money, operations = list(MONEY_LABELS.values()), OPERATION_LABELS
+    value = F.coalesce("value", F.lit(0)).cast(VALUE)
+
+    def entry(section: str, label: str, amount: Column) -> Column:
+        text = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(label).alias("label"),
+            text.alias("name"), amount.cast(VALUE).alias("value"),
+        )
+
+    def either(vendor: Column | int, customer: Column | int) -> Column:
+        return F.when(bought, vendor).otherwise(customer)
+
+    fixed = [
+        entry("revenue_expense", money[0], either(F.lit(0), value)),
+        entry("revenue_expense", money[1], either(value, F.lit(0))),
+        entry("revenue_expense", money[2], either(-value, value)),
+        entry("operational_status", operations[0], either(F.col("active_documents"), F.lit(0))),
+        entry("operational_status", operations[1], either(F.coalesce("pending", F.lit(0)), F.lit(0))),
+        entry("operational_status", operations[2], either(F.lit(0), F.col("active_documents"))),
+        entry("operational_status", operations[3], F.col("closed") + F.coalesce("more_closed", F.lit(0))),
+    ]
+    partner = F.struct(
+        F.lit("top_partners").alias("section"), F.col("role").alias("label"), "name", F.col("value")
+    )
+    every = F.array(*fixed)
+    rows = figures.select(
+        F.inline(F.when(F.col("known") & (F.col("counted") > 0), F.array_append(every, partner)).otherwise(every))
+    )
+    # All labels have a row, also where there is no document.
+    rows = rows.unionByName(
+        rows.sparkSession.range(1).select(
+            F.inline(
+                F.array(
+                    *[entry("revenue_expense", m, F.lit(0)) for m in money],
+                    *[entry("operational_status", o, F.lit(0)) for o in operations],
+                )
+            )
+        )
     )
+    totals = rows.groupBy("section", "label", "name").agg(F.sum("value").cast(VALUE).alias("value"))
+    first = top_n_per(totals, ["section", "label"], [*newest("value"), F.col("name")], 3)
+    total = F.coalesce("value", F.lit(0))
+    label = F.when(F.col("section") != "top_partners", F.col("label"))
+    for role, text in PARTNER_LABELS.items():
+        label = label.when(F.col("label") == role, F.format_string(text, F.col("name")))
+    clamped = F.when(F.col("label") == money[2], F.greatest(total, F.lit(0))).otherwise(total)
+    return first.select("section", label.alias("label"), clamped.cast(VALUE).alias("value"))
 
 
 def dashboard_json(D: Tables, as_of: dt.date) -> DataFrame:

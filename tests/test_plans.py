@@ -1,10 +1,13 @@
 """Physical plans: what is pushed down, what is not shuffled, what never appears."""
 
+import datetime as dt
+
 import pytest
 from compare import SF_DIR
 
 import __spark_entry__ as entry
 from tallyhouse.operators import dashboard, documents, history, parties, stock
+from tallyhouse.schemas import DDL
 from tallyhouse.sources.readers import load_tables
 from tallyhouse.sources.star import star_tables
 
@@ -66,3 +69,12 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, frame):
 def test_stock_levels_aggregate_before_the_join(spark, no_broadcast):
     text = plan(stock.stock_on_hand(star_tables(spark, SF_DIR)))
     assert text.index("Join") < text.index("partial_sum")
+
+
+def test_dashboards_read_each_table_once(spark, tmp_path, tables):
+    empty = tables()
+    for name in DDL:
+        getattr(empty, name).write.parquet(f"{tmp_path}/{name}")
+    D = load_tables(spark, str(tmp_path))
+    for report, n_tables in [(dashboard.dashboard_stats, 7), (dashboard.operational_status, 3)]:
+        assert plan(report(D, dt.date(2024, 1, 1))).count("FileScan parquet") == n_tables
