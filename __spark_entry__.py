@@ -49,6 +49,7 @@ from tallyhouse.sources.sinks import (  # noqa: E402
     to_json_rows,
 )
 from tallyhouse.sources.star import star_tables  # noqa: E402
+from tallyhouse.sources.summaries import keep_sums, stored_summary  # noqa: E402
 from tallyhouse.sources.store import Manifest, Store, balance_between, keep_levels  # noqa: E402
 from tallyhouse.tables import Tables  # noqa: E402
 
@@ -620,6 +621,12 @@ def _late_levels(D: Tables) -> DataFrame:
     return stock.ledger_level(store.tables(current))
 
 
+def _stored_summary(D: Tables, kind: documents.DocumentKind, **filters) -> DataFrame:
+    """A history summary of stored documents from monthly sums."""
+    store, _ = _store(D, "part", "unit", kind.party_table, kind.head, kind.tran)
+    return stored_summary(store, keep_sums(store, kind), kind, **filters)
+
+
 STORED: dict[str, Callable[[Tables], DataFrame]] = {
     "stored_order_edits_heads": lambda D: _stored_order_edits(D).purchase_order_head.select(
         "po_no", "po_date", "vendor", "remarks", "active"
@@ -644,6 +651,11 @@ STORED: dict[str, Callable[[Tables], DataFrame]] = {
     "stored_stock_on_hand": lambda D: stock.stock_on_hand(_kept_levels(D)[0].tables()),
     "stored_levels_late": _late_levels,
     "stored_balance_years": lambda D: balance_between(*_kept_levels(D), "1997-01", "1998-12"),
+    "stored_purchase_summary": lambda D: _stored_summary(D, PO),
+    "stored_purchase_summary_filtered": lambda D: _stored_summary(D, PO, **FILTERS),
+    "stored_sales_summary_days": lambda D: _stored_summary(
+        D, SI, part="bolt", date_from="1996-01-15", date_to="1998-03-10"
+    ),
     "stored_indent_decisions": lambda D: _stored_indents(D).indent_request_head.select(
         "indent_id", "status"
     ),

@@ -1,7 +1,7 @@
 """DuckDB text of what stored tables hold after their batches."""
 
 from oracle_posts import POSTS, RECEIPT_FORMS
-from oracle_reads import READS, d
+from oracle_reads import READS, SI, _summary, d
 
 STORED_TEXT = {
     "stored_order_edits_heads": POSTS["replace_orders_heads"],
@@ -26,6 +26,12 @@ STORED_TEXT = {
     "stored_levels_late": POSTS["post_receipts_on_hand"],
     "stored_balance_years": f"""select * from ({READS["stock_running_balance"]}) b
         where update_date between DATE '1997-01-01' and DATE '1998-12-31'""",
+    "stored_purchase_summary": READS["purchase_summary"],
+    "stored_purchase_summary_filtered": READS["purchase_summary_filtered"],
+    "stored_sales_summary_days": _summary(
+        SI,
+        "and p.part_desc ilike '%bolt%' and h.inv_dt >= DATE '1996-01-15' and h.inv_dt <= DATE '1998-03-10'",
+    ),
     "stored_indent_decisions": POSTS["transition_indents"],
     "stored_vendor_deletions": POSTS["delete_vendors"],
 }

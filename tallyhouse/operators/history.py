@@ -66,7 +66,7 @@ def history(
     )
 
 
-def history_summary(
+def matching_documents(
     D: Tables,
     kind: DocumentKind,
     *,
@@ -75,9 +75,9 @@ def history_summary(
     date_from=None,
     date_to=None,
 ) -> DataFrame:
-    """Documents, lines, quantity and value under the history filters; the sums are
-    NULL when no line matches. Name filters act as semi joins on the small side; lines are
-    summed per document before they meet the heads, so a huge document is one row."""
+    """Lines, quantity and value per document with a line under the history filters. Name filters act
+    as semi joins on the small side; lines are summed per document before they meet the heads, so
+    a huge document is one row."""
     lines = scoped(kind.lines(D), active=True).select(
         "company", kind.number, "partnum", "quantity", "amount"
     )
@@ -102,15 +102,26 @@ def history_summary(
         .join(heads, ["company", kind.number], "left_semi")
         .groupBy(kind.number)
         .agg(*[F.sum(c).alias(c) for c in ("lines", "quantity", "amount")])
-        .agg(
-            F.count(F.lit(1)).alias("total_documents"),
-            F.coalesce(F.sum("lines"), F.lit(0)).alias("total_line_items"),
-            F.sum("quantity").alias("total_quantity"),
-            F.sum("amount").alias("total_value"),
-        )
     )
 
 
+def summed(documents: DataFrame) -> DataFrame:
+    """The summary of rows with (documents, lines, quantity, amount); quantity and value are NULL
+    without rows."""
+    return documents.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("total_documents"),
+        F.coalesce(F.sum("lines"), F.lit(0)).alias("total_line_items"),
+        F.sum("quantity").alias("total_quantity"),
+        F.sum("amount").alias("total_value"),
+    )
+
+
+def history_summary(D: Tables, kind: DocumentKind, **filters) -> DataFrame:
+    """Documents, lines, quantity and value under the history filters; the sums are
+    NULL when no line matches."""
+    return summed(matching_documents(D, kind, **filters).withColumn("documents", F.lit(1)))
+
+
 def purchase_history(D: Tables, **filters) -> DataFrame:
     return history(D, PURCHASE, **filters)
 
