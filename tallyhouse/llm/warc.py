@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.shared import file_system, new_path, staged
+from tallyhouse.llm.shared import ROW, file_system, new_path, numbered, staged
 
 GAP, MOST_BYTES, STRIPE = 1 << 16, 8 << 20, 32 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -126,15 +126,40 @@ def _writer(folder: str, level: int):
     return write
 
 
+def _responses(pages: DataFrame, least: int) -> DataFrame:
+    """Per payload of at least ``least`` bytes (digest, size): the page that keeps it, the largest page_id,
+    then ``_row``, and how many rows tie with it. Stored."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    facts = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.octet_length(payload).cast("long").alias("size"),
+        F.sha1(payload).alias("digest"),
+        F.col(ROW).cast("long").alias("row"),
+    ).where(F.col("size") >= least)
+    same = facts.groupBy("digest", "size", "page_id").agg(
+        F.max("row").alias("row"), F.count("*").alias("ties")
+    )
+    return staged(
+        same.groupBy("digest", "size").agg(F.max(F.struct("page_id", "row", "ties")).alias("kept")),
+        "responses",
+    )
+
+
 def write_archives(pages: DataFrame, least: int = 1000, level: int = 3) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html) and returns the index.
 
     A null html is an empty payload, a null url leaves out the target; other columns are ignored. Of equal
     payloads the largest page_id is the response (nulls are smallest); of rows that tie there,
-    one is the response and the others revisit it. ``pages`` must be readable twice with
-    the same row order, as a table is: the choice is made on a narrow read of it.
+    one is the response and the others revisit it. The choice is made on a narrow read of
+    ``pages``, by page_id; only if rows tie are they stored with numbers first and told apart by these.
     """
     spark = pages.sparkSession
+    kept = _responses(pages.withColumn(ROW, F.lit(0)), least)
+    if not kept.where("kept.ties > 1").isEmpty():
+        pages = numbered(pages.select("page_id", "url", "html"))
+        kept = _responses(pages, least)
+    else:
+        pages = pages.withColumn(ROW, F.lit(0))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     records = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -142,14 +167,10 @@ def write_archives(pages: DataFrame, least: int = 1000, level: int = 3) -> DataF
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("size"),
         F.sha1(payload).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    kept = (
-        records.where(F.col("size") >= least)
-        .groupBy("digest", "size")
-        .agg(F.max(F.struct("page_id", "row")).alias("kept"))
+        F.col(ROW).cast("long").alias("row"),
     )
-    revisit = F.col("kept").isNotNull() & (F.col("kept.row") != F.col("row"))
+    chosen = F.col("kept.page_id").eqNullSafe(F.col("page_id")) & (F.col("kept.row") == F.col("row"))
+    revisit = F.col("kept").isNotNull() & ~chosen
     decided = records.join(kept, ["digest", "size"], "left").select(
         "page_id",
         "url",

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm_cases import EDGES, SF_DIR, WORD_BPE
-from tallyhouse.llm import packed, warc
+from tallyhouse.llm import packed, shared, warc
 
 
 def expected_pages(rows):
@@ -48,6 +48,18 @@ def test_archive_edges(spark):
     assert warc.op9_warc_index_first(pages.limit(0)).collect() == []
 
 
+def test_archives_when_scans_are_split_anew(spark, split_anew):
+    """Repeated rows and copies: every payload has one response, however the second scan is split."""
+    rows = [(i % 40, "u", chr(97 + i % 5) * 1500) for i in range(200)] + [(i, "u", "x" * 1200) for i in range(100, 140)]
+    pages = split_anew(spark.createDataFrame(rows, "page_id long, url string, html string"), warc, shared)
+    got = warc.op9_warc_index_first(pages).collect()
+    assert len(got) == len(rows)
+    kept = [r.payload_digest for r in got if r.record_type == "response"]
+    assert len(kept) == len(set(kept)) == 6
+    tops = {r.page_id for r in got if r.record_type == "response"}
+    assert tops == {35, 36, 37, 38, 39, 139} and {r.refers_to for r in got if r.refers_to is not None} == tops
+
+
 def test_damaged_payload_is_found():
     digest = hashlib.sha1(b"page").hexdigest()
     data = warc.record_bytes(1, "http://a", b"page", "response", 4, digest, None)
