@@ -6,15 +6,15 @@ algorithm); no piece crosses a word, so a text's is the product over its words.
 are learned by expectation-maximisation (forward-backward) on the words of at most ``SAMPLE`` training rows a
 language, each language in a task of its own. Every row is scored on its whole text.
 
-A word is a run of letters and number signs, lower-cased; words over ``LONGEST`` characters are
-cut there. A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned.
+A word is a run of letters and number signs, lower-cased. It is scored whole, however long; only in learning
+are words over ``LONGEST`` characters cut there. A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyhouse.llm.packed import slices
 from tallyhouse.llm.shared import release, small_batches, staged
 
-SAMPLE, ROUNDS, LONGEST, MOST_SYMBOLS = 1000, 4, 32, 8
+SAMPLE, ROUNDS, LONGEST = 1000, 4, 32
 ALPHA, STRANGE = 0.01, 1e-7
 WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,27 +44,33 @@ class Pieces:
         for i, s in enumerate(strings):
             by_length.setdefault(len(s), []).append(i)
         for k, ids in by_length.items():
-            hashes = self.hashes(np.array([strings[i] for i in ids]).view(np.uint32).reshape(-1, k), k)[:, 0]
+            hashes = self.hashes(np.array([strings[i] for i in ids]).view(np.uint32).reshape(-1, k), [k])[k][:, 0]
             order = np.argsort(hashes)
             self.keys[k], self.ids[k] = hashes[order], np.array(ids)[order]
             self.seen[k] = np.zeros(1 << 16, bool)
             self.seen[k][hashes >> np.uint64(48)] = True
 
+    @property
+    def longest(self) -> int:
+        return max(self.keys, default=0)
+
     @staticmethod
-    def hashes(codes: np.ndarray, k: int) -> np.ndarray:
-        h = np.zeros((len(codes), codes.shape[1] - k + 1), np.uint64)
-        for i in range(k):
-            h = h * BASE + codes[:, i : codes.shape[1] - k + 1 + i].astype(np.uint64)
-        return h ^ (h >> np.uint64(29))
+    def hashes(codes: np.ndarray, lengths: Iterable[int]) -> dict[int, np.ndarray]:
+        """Hashes of all substrings of the wanted lengths, each length from the one before."""
+        out, length = {}, codes.shape[1]
+        h, codes = np.zeros(codes.shape, np.uint64), codes.astype(np.uint64)
+        for k in range(1, min(max(lengths), length) + 1):
+            h = h[:, : length - k + 1] * BASE + codes[:, k - 1 :]
+            if k in lengths:
+                out[k] = h ^ (h >> np.uint64(29))
+        return out
 
     def find(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """(end, length) -> (rows, piece ids) of all pieces in ``words`` of one length."""
         codes = np.array(words).view(np.uint32).reshape(len(words), -1)
         found = {}
-        for k, keys in self.keys.items():
-            if k > codes.shape[1]:
-                continue
-            h = self.hashes(codes, k)
+        for k, h in self.hashes(codes, self.keys).items() if self.keys else ():
+            keys = self.keys[k]
             row, at = np.nonzero(self.seen[k][h >> np.uint64(48)])
             value = h[row, at]
             place = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
@@ -89,7 +95,7 @@ def letter_pieces(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         body = p.removeprefix("▁")
-        if any(f(i) for f in special) or len(p) > MOST_SYMBOLS or p != p.lower():
+        if any(f(i) for f in special) or p != p.lower():
             continue
         if p == "▁" or body.isalpha():
             out.append(p)
@@ -97,7 +103,7 @@ def letter_pieces(path: str) -> list[str]:
 
 
 def cut_words(words: list[str]) -> dict[int, list[tuple[str, int]]]:
-    """Length -> (symbols, number of the word): long words come in several cuts."""
+    """Length -> (symbols, number of the word): in learning, long words come in several cuts."""
     out: dict[int, list[tuple[str, int]]] = {}
     for n, w in enumerate(words):
         s = "▁" + w
@@ -111,9 +117,10 @@ def forward(found: dict, n: int, length: int, table: np.ndarray) -> np.ndarray:
     """alpha[word, end, language]; a character that no piece starts or ends with costs ``STRANGE``."""
     alpha = np.zeros((n, length + 1, table.shape[1]))
     alpha[:, 0] = 1
+    most = max((k for _, k in found), default=0)
     for end in range(1, length + 1):
         alpha[:, end] = alpha[:, end - 1] * STRANGE
-        for k in range(1, min(MOST_SYMBOLS, end) + 1):
+        for k in range(1, min(most, end) + 1):
             if (end, k) in found:
                 row, ids = found[end, k]
                 alpha[row, end] += alpha[row, end - k] * table[ids]
@@ -121,15 +128,42 @@ def forward(found: dict, n: int, length: int, table: np.ndarray) -> np.ndarray:
 
 
 def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
-    """log10 probability of each word in each language."""
+    """log10 probability of each word in each language, over all segmentations of the whole word."""
     out = np.zeros((len(words), table.shape[1]))
-    for length, cuts in cut_words(words).items():
+    short = [(n, w) for n, w in enumerate(words) if len(w) < LONGEST]
+    for length, cuts in cut_words([w for _, w in short]).items():
         found = pieces.find([c for c, _ in cuts])
-        last = np.log10(forward(found, len(cuts), length, table)[:, length])
-        np.add.at(out, np.array([n for _, n in cuts]), last)
+        out[[short[n][0] for _, n in cuts]] = np.log10(forward(found, len(cuts), length, table)[:, length])
+    for n, w in enumerate(words):
+        if len(w) >= LONGEST:
+            out[n] = long_score(pieces, table, "▁" + w)
     return out
 
 
+def long_score(pieces: Pieces, table: np.ndarray, symbols: str) -> np.ndarray:
+    """The same for one long word, window by window: the sums at the last places are carried on, divided by
+    their largest, whose logarithm is kept."""
+    back = max(pieces.longest, 1)
+    carried = np.zeros((back, table.shape[1]))  # the sums at the last ``back`` places
+    carried[-1] = 1
+    log = np.zeros(table.shape[1])
+    for start in range(0, len(symbols), LONGEST):
+        context = min(back - 1, start)
+        window = symbols[start - context : start + LONGEST]
+        found = pieces.find([window])
+        for end in range(context + 1, len(window) + 1):
+            total = carried[-1] * STRANGE
+            for k in range(1, min(back, end) + 1):
+                if (end, k) in found:
+                    total = total + carried[-k] * table[found[end, k][1][0]]
+            carried = np.concatenate([carried[1:], total[None]])
+            if end % 8 == 0:
+                largest = carried.max(axis=0)
+                log += np.log10(largest)
+                carried = carried / largest
+    return log + np.log10(carried[-1])
+
+
 def learn(counts: dict[str, int], strings: list[str]) -> np.ndarray:
     """Expected count of every piece in the words of one language."""
     pieces = Pieces(strings)
@@ -152,7 +186,7 @@ def learn(counts: dict[str, int], strings: list[str]) -> np.ndarray:
             beta[:, length] = 1
             for at in range(length - 1, -1, -1):
                 beta[:, at] = beta[:, at + 1] * STRANGE
-                for k in range(1, min(MOST_SYMBOLS, length - at) + 1):
+                for k in range(1, min(pieces.longest, length - at) + 1):
                     if (at + k, k) in found:
                         row, ids = found[at + k, k]
                         beta[row, at] += beta[row, at + k] * p[ids]

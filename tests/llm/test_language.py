@@ -1,6 +1,7 @@
 """Held-out accuracy, and the forward sum against all segmentations."""
 
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,25 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[:, j], want)
 
 
+def test_long_pieces_and_long_words():
+    """Pieces of over 8 symbols, words of over 32, windows that pieces cross."""
+    random = np.random.RandomState(1)
+    text = "".join(random.choice(list("ab"), 150))
+    strings = sorted({"▁", "a", "b", "▁" + text[:11], *(text[i : i + k] for i in range(0, 120, 3) for k in (2, 9, 16))})
+    p = random.dirichlet(np.ones(len(strings)), 2).T
+    words = [text[:n] for n in (5, 20, 31, 32, 33, 64, 65, 150)] + ["c" * 40, "é" + text[:60]]
+    got = language.word_scores(language.Pieces(strings), p, words)
+    for j in range(2):
+        chance = dict(zip(strings, p[:, j]))
+        want = [np.log10(all_ways("▁" + w, chance)) for w in words]
+        assert np.allclose(got[:, j], want)
+
+
+def test_every_letter_piece_of_the_vocabulary_counts():
+    lengths = Counter(map(len, language.letter_pieces(PIECES)))
+    assert max(lengths) == 16 and sum(n for k, n in lengths.items() if k > 8) == 2804
+
+
 def test_expected_counts_add_up():
     """Each round's expected letters equal the letters of the words."""
     strings = ["▁", "a", "b", "ab", "▁a"]
