@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyhouse.llm.packed import slices
 from tallyhouse.llm.shared import release, small_batches, staged
 
-SAMPLE, ROUNDS, LONGEST = 1000, 4, 32
+SAMPLE, ROUNDS, LONGEST, TOGETHER = 1000, 4, 32, 10_000
 ALPHA, STRANGE = 0.01, 1e-7
 WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,8 @@ class Pieces:
         for i, s in enumerate(strings):
             by_length.setdefault(len(s), []).append(i)
         for k, ids in by_length.items():
-            hashes = self.hashes(np.array([strings[i] for i in ids]).view(np.uint32).reshape(-1, k), [k])[k][:, 0]
+            ((_, hashes),) = self.hashes(np.array([strings[i] for i in ids]).view(np.uint32).reshape(-1, k), [k])
+            hashes = hashes[:, 0]
             order = np.argsort(hashes)
             self.keys[k], self.ids[k] = hashes[order], np.array(ids)[order]
             self.seen[k] = np.zeros(1 << 16, bool)
@@ -55,21 +56,20 @@ class Pieces:
         return max(self.keys, default=0)
 
     @staticmethod
-    def hashes(codes: np.ndarray, lengths: Iterable[int]) -> dict[int, np.ndarray]:
-        """Hashes of all substrings of the wanted lengths, each length from the one before."""
-        out, length = {}, codes.shape[1]
+    def hashes(codes: np.ndarray, lengths: Collection[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """Hashes of all substrings of each of the wanted lengths, made from those of the length before."""
+        length = codes.shape[1]
         h, codes = np.zeros(codes.shape, np.uint64), codes.astype(np.uint64)
         for k in range(1, min(max(lengths), length) + 1):
             h = h[:, : length - k + 1] * BASE + codes[:, k - 1 :]
             if k in lengths:
-                out[k] = h ^ (h >> np.uint64(29))
-        return out
+                yield k, h ^ (h >> np.uint64(29))
 
     def find(self, words: list[str]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
         """(end, length) -> (rows, piece ids) of all pieces in ``words`` of one length."""
         codes = np.array(words).view(np.uint32).reshape(len(words), -1)
         found = {}
-        for k, h in self.hashes(codes, self.keys).items() if self.keys else ():
+        for k, h in self.hashes(codes, self.keys) if self.keys else ():
             keys = self.keys[k]
             row, at = np.nonzero(self.seen[k][h >> np.uint64(48)])
             value = h[row, at]
@@ -210,7 +210,8 @@ class Identifier:
         new = list(set().union(*split).difference(self.place))
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.scores = np.concatenate([self.scores, word_scores(self.pieces, self.table, new)])
+            some = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+            self.scores = np.concatenate([self.scores, *(word_scores(self.pieces, self.table, w) for w in some)])
         out = []
         for words in split:
             if not has_letter(words):
