@@ -627,6 +627,27 @@ def _stored_summary(D: Tables, kind: documents.DocumentKind, **filters) -> DataF
     return stored_summary(store, keep_sums(store, kind), kind, **filters)
 
 
+def _found_vendors(D: Tables) -> DataFrame:
+    """Vendors of active orders, found in the store by key."""
+    store, current = _store(D, "vendor")
+    ordered = D.purchase_order_head.filter("active").select(F.col("vendor").alias("vendor_code"))
+    return store.find(current, "vendor", ordered).select("vendor_code", "vendor_name", "state", "active")
+
+
+def _found_orders(D: Tables) -> DataFrame:
+    """The lines of the orders of one vendor in a hundred, found in the store by order number."""
+    store, current = _store(D, PO.head, PO.tran)
+    keys = D.purchase_order_head.filter("vendor % 100 = 7").select("po_no")
+    return store.find(current, PO.tran, keys).select("po_no", "rowid", "partnum", "amount", "active")
+
+
+def _stored_history(D: Tables) -> DataFrame:
+    """The filtered purchase history of stored orders, which reads the months asked for."""
+    store, current = _store(D, "part", "unit", "vendor", PO.head, PO.tran)
+    near = store.between(current, FILTERS["date_from"], FILTERS["date_to"])
+    return history.purchase_history(near, **FILTERS)
+
+
 STORED: dict[str, Callable[[Tables], DataFrame]] = {
     "stored_order_edits_heads": lambda D: _stored_order_edits(D).purchase_order_head.select(
         "po_no", "po_date", "vendor", "remarks", "active"
@@ -656,6 +677,9 @@ STORED: dict[str, Callable[[Tables], DataFrame]] = {
     "stored_sales_summary_days": lambda D: _stored_summary(
         D, SI, part="bolt", date_from="1996-01-15", date_to="1998-03-10"
     ),
+    "stored_vendor_lookup": _found_vendors,
+    "stored_order_lookup": _found_orders,
+    "stored_purchase_history": _stored_history,
     "stored_indent_decisions": lambda D: _stored_indents(D).indent_request_head.select(
         "indent_id", "status"
     ),

@@ -32,6 +32,12 @@ STORED_TEXT = {
         SI,
         "and p.part_desc ilike '%bolt%' and h.inv_dt >= DATE '1996-01-15' and h.inv_dt <= DATE '1998-03-10'",
     ),
+    "stored_vendor_lookup": READS["vendors_of_active_orders"],
+    "stored_order_lookup": f"""
+        select t.po_no, t.rowid, t.partnum, {d("t.amount")}, t.active
+        from purchase_order_tran_t t join purchase_order_head_t h on t.po_no = h.po_no
+        where h.vendor % 100 = 7""",
+    "stored_purchase_history": READS["purchase_history_filtered"],
     "stored_indent_decisions": POSTS["transition_indents"],
     "stored_vendor_deletions": POSTS["delete_vendors"],
 }

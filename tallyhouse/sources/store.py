@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable, Collection, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyhouse.operators.stock import merged_sums, movement_sums, stock_running_balance
@@ -69,6 +69,14 @@ class Manifest:
     derived: dict[str, dict[str, dict]] = field(default_factory=dict)
 
 
+def _any(conditions: list[Column]) -> Column:
+    """OR as a balanced tree, whose depth stays small for many conditions."""
+    if len(conditions) <= 1:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 def _folder(commit: str, month: str) -> str:
     return f"commit={commit}/month={month}"
 
@@ -171,6 +179,17 @@ class Store:
             standing=None if LEDGER in cut else lambda: standing(self, current),
         )
 
+    def find(self, current: Manifest, table: str, keys: DataFrame, most: int = 1000) -> DataFrame:
+        """The rows of company 1 whose key is in ``keys``. Up to ``most`` keys go to the scan as equalities, which
+        Parquet checks against the limits and Bloom filters of row groups; more are joined."""
+        key = KEYS[table]
+        rows = self.rows(current, table).filter("company = 1")
+        wanted = keys.select(F.col(key).cast(schema(table)[key].dataType)).dropna().distinct()
+        listed = [k for (k,) in wanted.limit(most + 1).collect()]
+        if len(listed) > most:
+            return conform(rows.join(wanted, key, "left_semi"), table)
+        return conform(rows.filter(_any([F.col(key) == k for k in sorted(listed)])), table)
+
     def months_of(self, manifest: Manifest, table: str, keys: DataFrame) -> list[str]:
         """Months of ``table`` (heads, ledger or masters) that hold one of ``keys`` (company, key)."""
         hit = self.rows(manifest, table).join(keys, ["company", KEYS[table]], "left_semi")
@@ -184,12 +203,31 @@ class Store:
         months = self.months_of(manifest, head, wanted)
         return self.tables(manifest, {head: months, head.replace("_head", "_tran"): months})
 
+    def between(self, manifest: Manifest, date_from=None, date_to=None) -> Tables:
+        """The tables of a version with documents, their lines and the ledger cut to the months of an inclusive
+        date range: a report over it reads these months only, on both sides of each join."""
+        first, last = str(date_from or "")[:7], str(date_to or "9999-12")[:7]
+        whole = not (date_from or date_to)
+        return self.tables(
+            manifest,
+            {
+                table: [m for m in manifest.parts.get(table, {}) if whole or (m != NO_MONTH and first <= m <= last)]
+                for table in (*DATES, *HEAD_OF)
+            },
+        )
+
     # Writing
 
     def _write(self, rows: DataFrame, table: str, commit: str) -> tuple[list[str], int | None]:
         """Rows (with ``month``) as a new folder; (its months, the highest number in it)."""
         folder = f"{self.root}/data/{table}/commit={commit}"
-        rows.hint("rebalance", "month").write.partitionBy("month").parquet(folder)
+        # Sorted by key and with Bloom filters of it: a lookup skips row groups without its keys.
+        ordered = rows.hint("rebalance", "month").sortWithinPartitions("month", KEYS[table])
+        bloom = {
+            f"parquet.bloom.filter.enabled#{KEYS[table]}": "true",
+            "parquet.bloom.filter.adaptive.enabled": "true",
+        }
+        ordered.write.options(**bloom).partitionBy("month").parquet(folder)
         months = [n.removeprefix("month=") for n in self._names(folder) if n.startswith("month=")]
         numbers = self.rows(_of_commit(table, commit, months), table).filter("company = 1").agg(F.max(KEYS[table]))
         return months, numbers.first()[0]

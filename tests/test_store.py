@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import stock
 from tallyhouse.operators.documents import PURCHASE, RECEIPT
+from tallyhouse.operators.history import purchase_history
 from tallyhouse.plans.batches import Batch, Posting
 from tallyhouse.plans.documents import replace_documents, soft_delete
 from tallyhouse.plans.indents import transition_indents
@@ -325,5 +326,39 @@ def test_kept_levels_outlast_a_compaction_of_covered_months(spark, tmp_path, led
     assert multiset(standing(store, store.manifest())) == want
 
 
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """Sparse keys of two commits: limits and Bloom filters leave few row groups to read."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.setInt("parquet.block.size", 1 << 14)
+    try:
+        store, n = Store(spark, str(tmp_path / "s")), 40_000
+        for i in (0, 1):
+            ids = spark.range(n).selectExpr(f"id * 20 + {i} as update_id", "1 as company", "id as part_num",
+                                            "date'2024-01-01' as update_date")
+            store.commit(Posting(rejects=ids, added={"stock_update": ids}), f"b{i}", store.manifest())
+    finally:
+        hadoop.unset("parquet.block.size")
+    current = store.manifest()
+    keys = spark.range(100).selectExpr("id * 977 * 20 % 800000 + id % 2 as update_id")
+    found = store.find(current, "stock_update", keys)
+    assert sorted(records(found, "update_id")) == sorted(records(keys))
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < n
+    missing = store.find(current, "stock_update", keys.selectExpr("update_id + 7 as update_id"))
+    assert missing.count() == 0 and store.find(current, "stock_update", keys.limit(0)).count() == 0
+    many = spark.range(3000).selectExpr("id * 20 as update_id")
+    assert store.find(current, "stock_update", many).count() == 3000
+
+
+def test_history_reads_the_months_asked_for(store, D):
+    near = store.between(store.manifest(), "2024-03-05", dt.date(2024, 4, 30))
+    for table in (near.purchase_order_head, near.purchase_order_tran):
+        assert {f.split("month=")[1][:7] for f in table.inputFiles()} == {"2024-03", "2024-04"}
+    dates = {"date_from": "2024-03-05", "date_to": "2024-04-30"}
+    assert multiset(purchase_history(near, **dates)) == multiset(purchase_history(D, **dates))
+    assert near.purchase_order_tran.count() == 4
+    assert store.between(store.manifest()).stock_update.count() == 2
+
+
 def test_levels_of_stored_tables(store, D):
     assert Counter(records(stock.ledger_level(store.tables()))) == Counter(records(stock.ledger_level(D)))
