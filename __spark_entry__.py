@@ -38,7 +38,7 @@ from tallyhouse.plans import (  # noqa: E402
 )
 from tallyhouse.plans.batches import Posting  # noqa: E402
 from tallyhouse.sources import star_batches as forms  # noqa: E402
-from tallyhouse.sources.readers import lookup  # noqa: E402
+from tallyhouse.sources.readers import load_tables, lookup  # noqa: E402
 from tallyhouse.sources.checkpoints import shared_folder  # noqa: E402
 from tallyhouse.sources.sinks import (  # noqa: E402
     append,
@@ -444,6 +444,16 @@ def _export_register(D: Tables) -> DataFrame:
     layout = register.withColumn("po_date", F.lit("")).schema
     return register.sparkSession.read.csv(path, header=True, schema=layout)
 
+
+def _loaded_register(D: Tables) -> DataFrame:
+    """The order register of tables written as Parquet folders and loaded again."""
+    spark = D.vendor.sparkSession
+    path = _new_path(spark, "tables")
+    for name in ("vendor", PO.head, PO.tran):
+        getattr(D, name).write.parquet(f"{path}/{name}")
+    return documents.po_register(load_tables(spark, path))
+
+
 POSTINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "post_invoices_heads": lambda D: _invoices(D).added[SI.head].select(
         "inv_no", "inv_dt", "customer", "active", "updated"
@@ -687,6 +697,7 @@ STORED: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 SINKS = {
+    "loaded_po_register": _loaded_register,
     "append_ledger": _append_ledger,
     "append_ledger_years": _append_ledger_years,
     "published_tables": _published,

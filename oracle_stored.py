@@ -4,6 +4,7 @@ from oracle_posts import POSTS, RECEIPT_FORMS
 from oracle_reads import READS, SI, _summary, d
 
 STORED_TEXT = {
+    "loaded_po_register": READS["po_register"],
     "stored_order_edits_heads": POSTS["replace_orders_heads"],
     "stored_order_edits_lines": POSTS["replace_orders_lines"],
     "stored_deletions_heads": POSTS["delete_invoices_heads"],
