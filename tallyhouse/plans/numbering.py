@@ -23,17 +23,24 @@ def running(rows: DataFrame, order: str, name: str, measure: Column) -> DataFram
     placed = rows.withColumns(
         {"_block": F.expr(f"{order} div {SPAN}"), "_region": F.expr(f"{order} div {SPAN * SPAN}")}
     )
-    inside = running_totals(placed, ["_region"], ["_block"], [order], **{name: measure})
+    keys = ["_region", "_block"]
+    totals = placed.groupBy(*keys).agg(F.sum(measure).alias("_sum"))
+    earlier = (Window.unboundedPreceding, -1)
     # One row a region: a single one for ids below 10^12, eighteen million at most.
-    before = Window.orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
-    regions = placed.groupBy("_region").agg(F.sum(measure).alias("_sum"))
-    opening = regions.select(
-        F.col("_region").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_opening")
+    regions = totals.groupBy("_region").agg(F.sum("_sum").alias("_sum")).select(
+        F.col("_region").alias("_of"),
+        F.sum("_sum").over(Window.orderBy("_region").rowsBetween(*earlier)).alias("_regions"),
     )
+    inside = Window.partitionBy("_region").orderBy("_block").rowsBetween(*earlier)
+    opening = totals.withColumn("_blocks", F.sum("_sum").over(inside)).join(
+        regions, F.col("_region") == F.col("_of")
+    )
+    before = F.coalesce("_blocks", F.lit(0)) + F.coalesce("_regions", F.lit(0))
+    own = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        inside.join(opening, F.col("_region") == F.col("_of"))
-        .withColumn(name, F.col(name) + F.col("_opening"))
-        .select(*rows.columns, name)
+        placed.withColumn("_own", F.sum(measure).over(own))
+        .join(opening.select(*keys, before.alias("_before_block")), keys)
+        .select(*rows.columns, (F.col("_before_block") + F.col("_own")).alias(name))
     )
 
 
