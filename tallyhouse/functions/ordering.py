@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Keys are counted in so many buckets; one with more rows than ``MOST`` is not sorted in one task.
+BUCKETS, MOST = 1 << 16, 1_000_000
+
 
 def newest(*columns: str) -> list[Column]:
     """Descending keys with NULLs first, the order of the source system's lists."""
@@ -22,6 +27,24 @@ def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
+def split_buckets(df: DataFrame, keys: list[str], segment: list[str]) -> DataFrame:
+    """The hash buckets of keys that hold more than ``MOST`` rows: at most ``BUCKETS`` numbers, from partial
+    counts. A bucket with a NULL key is listed as well, its segments are totalled apart; so is a NULL in one
+    of several segment columns. A single one is no case apart: its NULL rows come first anyway."""
+    parts = [*keys, *(segment if len(segment) > 1 else [])]
+    blank = reduce(Column.__or__, [F.col(c).isNull() for c in parts])
+    return (
+        df.groupBy(_bucket(keys))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(blank).alias("_blank"))
+        .filter(F.col("_blank") | (F.col("_rows") > MOST))
+        .select("_bucket", F.lit(True).alias("_split"))
+    )
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -29,15 +52,19 @@ def running_totals(
     order: list[str],
     **measures: Column,
 ) -> DataFrame:
-    """Running sums per key, without sorting a whole key in one task.
+    """Running sums per key, without sorting a huge key in one task and with one shuffle of the rows.
 
-    ``segment`` are the leading columns of the row order. Rows are windowed per
-    (key, segment); a second, pre-aggregated window over one row per segment gives
-    the opening value of each segment. A key with a third of all rows is so spread
-    over as many tasks as it has segments. Where the result does not use the
-    measures, Catalyst removes the join and the windows.
+    ``segment`` are the leading columns of the row order. The rows of a bucket of keys are counted first.
+    Where they are many, rows are windowed per (key, segment), and a second, pre-aggregated window
+    over one row per segment gives the opening value of each segment: a key with a third of all rows is
+    so spread over as many tasks as it has segments. All other keys are windowed whole. Where the
+    result does not use the measures, Catalyst removes the joins and the windows.
     """
-    parts = [*keys, *segment]
+    split = F.broadcast(split_buckets(df, keys, segment))
+    placed = df.withColumn("_bucket", _bucket(keys))
+    marked = placed.join(split, "_bucket", "left")
+    parts = [*keys, *[f"_of_{s}" for s in segment]]
+    segments = {f"_of_{s}": F.when(F.col("_split"), F.col(s)) for s in segment}
     inside = (
         Window.partitionBy(*parts)
         .orderBy(*order)
@@ -45,14 +72,21 @@ def running_totals(
     )
     before = (
         Window.partitionBy(*keys)
-        .orderBy(*segment)
+        .orderBy(*parts[len(keys) :])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = df.groupBy(*parts).agg(*[F.sum(m).alias(f"_{n}_total") for n, m in measures.items()])
+    totals = (
+        placed.join(split, "_bucket", "left_semi")
+        .withColumnsRenamed(dict(zip(segment, parts[len(keys) :])))
+        .groupBy(*parts)
+        .agg(*[F.sum(m).alias(f"_{n}_total") for n, m in measures.items()])
+    )
     opening = totals.select(
         *parts, *[F.sum(f"_{n}_total").over(before).alias(f"_{n}_opening") for n in measures]
     )
-    within = df.withColumns({f"_{n}_within": F.sum(m).over(inside) for n, m in measures.items()})
+    within = marked.withColumns(segments).withColumns(
+        {f"_{n}_within": F.sum(m).over(inside) for n, m in measures.items()}
+    )
     return within.join(opening, parts, "left").selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[f"coalesce(_{n}_opening, 0) + _{n}_within as {n}" for n in measures],

@@ -8,6 +8,7 @@ import pytest
 from compare import SF_DIR
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import ordering
 from tallyhouse.functions.joins import with_per_key
 from tallyhouse.functions.ordering import newest, running_totals, top_n_per
 from tallyhouse.operators import dashboard, history, parties
@@ -50,6 +51,27 @@ def test_running_totals_shuffle_the_rows_by_key_and_segment(spark):
     assert len(by_key) == 1
 
 
+def test_only_crowded_buckets_are_totalled_by_segment(spark, monkeypatch):
+    """Rows that fit a task are windowed whole; more than ``MOST`` of a bucket go through their segments."""
+    data, df = hot_rows(spark)
+    assert ordering.split_buckets(df, ["k"], ["day"]).count() == 0
+    monkeypatch.setattr(ordering, "MOST", 100)
+    assert ordering.split_buckets(df, ["k"], ["day"]).count() == 1
+    want, sums = {}, {}
+    for k, _, i, v in sorted(data, key=lambda r: (r[1], r[2])):
+        want[i] = sums[k] = sums.get(k, 0) + v
+    got = running_totals(df, ["k"], ["day"], ["day", "id"], total=F.col("v"))
+    assert {r.id: r.total for r in got.collect()} == want
+
+
+def test_running_totals_with_null_keys_and_segments(spark):
+    rows = [(None, 1, 1), (None, 1, 2), (None, 2, 3), (7, None, 4), (7, 1, 5), (7, 2, 6)]
+    df = spark.createDataFrame(rows, "k int, day int, id int")
+    got = running_totals(df, ["k"], ["day"], ["day", "id"], n=F.lit(1))
+    # Without a key there is no running on from one segment to the next.
+    assert {r.id: r.n for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: 3}
+
+
 def test_top_n_is_cut_before_the_shuffle(spark):
     data, df = hot_rows(spark)
     top = top_n_per(df, ["k"], newest("v", "id"), 3)
