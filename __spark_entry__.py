@@ -36,7 +36,7 @@ from tallyhouse.plans import (  # noqa: E402
     stock as post_stock,
     validation,
 )
-from tallyhouse.plans.batches import Posting  # noqa: E402
+from tallyhouse.plans.batches import Batch, Posting  # noqa: E402
 from tallyhouse.sources import star_batches as forms  # noqa: E402
 from tallyhouse.sources.readers import load_tables, lookup  # noqa: E402
 from tallyhouse.sources.checkpoints import shared_folder  # noqa: E402
@@ -279,10 +279,12 @@ def _store(D: Tables, *names: str) -> tuple[Store, Manifest]:
 def _stored_order_edits(D: Tables) -> Tables:
     """Orders stored, edited in the months that hold an edited order, and read back."""
     store, base = _store(D, PO.head, PO.tran)
-    edits = forms.order_edits(D)
-    near = store.around(base, PO.head, edits.heads.select(F.col("doc_no").alias("po_no")))
-    posting = post_docs.replace_documents(near, PO, edits, AS_OF)
-    return store.tables(store.commit(posting, "edits", base))
+    entered = forms.order_edits(D)
+    with store.staged(entered.heads, entered.lines) as files:
+        edits = Batch(*files)
+        near = store.around(base, PO.head, edits.heads.select(F.col("doc_no").alias("po_no")))
+        posting = post_docs.replace_documents(near, PO, edits, AS_OF)
+        return store.tables(store.commit(posting, "edits", base))
 
 
 def _stored_deletions(D: Tables) -> Tables:
@@ -300,19 +302,23 @@ def _stored_deletions(D: Tables) -> Tables:
 def _stored_receipts(D: Tables) -> Tables:
     """A batch of receipts saved as one version: heads, lines and ledger."""
     store, _ = _store(D, PO.head, GR.head, GR.tran, "stock_update")
-    batch = forms.receipt_forms(D)
-    return store.tables(
-        store.post(lambda base: post_stock.post_receipts(store.tables(base), batch, AS_OF), "receipts")
-    )
+    return store.tables(_receive(store, forms.receipt_forms(D)))
+
+
+def _receive(store: Store, batch: Batch) -> Manifest:
+    with store.staged(batch.heads, batch.lines) as files:
+        return store.post(
+            lambda base: post_stock.post_receipts(store.tables(base), Batch(*files), AS_OF), "receipts"
+        )
 
 
 def _stored_movements(D: Tables) -> Tables:
     """A batch of movements numbered after the stored highest number."""
     store, _ = _store(D, "stock_update")
-    batch = forms.movement_forms(D)
-    return store.tables(
-        store.post(lambda base: post_stock.post_movements(store.tables(base), batch, AS_OF), "movements")
-    )
+    with store.staged(forms.movement_forms(D)) as (batch,):
+        return store.tables(
+            store.post(lambda base: post_stock.post_movements(store.tables(base), batch, AS_OF), "movements")
+        )
 
 
 def _stored_indents(D: Tables) -> Tables:
@@ -624,11 +630,7 @@ def _kept_levels(D: Tables) -> tuple[Store, Manifest]:
 def _late_levels(D: Tables) -> DataFrame:
     """Levels after a batch of receipts of which most are dated before the kept levels."""
     store, _ = _kept_levels(D)
-    batch = forms.receipt_forms(D)
-    current = store.post(
-        lambda base: post_stock.post_receipts(store.tables(base), batch, AS_OF), "receipts"
-    )
-    return stock.ledger_level(store.tables(current))
+    return stock.ledger_level(store.tables(_receive(store, forms.receipt_forms(D))))
 
 
 def _stored_summary(D: Tables, kind: documents.DocumentKind, **filters) -> DataFrame:

@@ -16,7 +16,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable, Collection, Iterable, Mapping
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -328,6 +329,17 @@ class Store:
                     raise
         raise ValueError("tries must be positive")
 
+    @contextmanager
+    def staged(self, *frames: DataFrame) -> Iterator[list[DataFrame]]:
+        """The frames as files for the time of a posting, which reads its forms and lines several times."""
+        folder = f"{self.root}/staging-{uuid.uuid4().hex}"
+        try:
+            for i, rows in enumerate(frames):
+                rows.write.parquet(f"{folder}/{i}")
+            yield [self.spark.read.schema(rows.schema).parquet(f"{folder}/{i}") for i, rows in enumerate(frames)]
+        finally:
+            self._delete(folder)
+
     def create(self, D: Tables, names: Iterable[str] = tuple(DDL), batch: str = "opening") -> Manifest:
         """The first version, with whole tables."""
         opening = Posting(rejects=None, added={name: getattr(D, name) for name in names})

@@ -7,6 +7,7 @@ import pytest
 from compare import SF_DIR, records, rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyhouse.operators import stock
 from tallyhouse.operators.documents import PURCHASE, RECEIPT
 from tallyhouse.operators.history import purchase_history
@@ -14,6 +15,7 @@ from tallyhouse.plans.batches import Batch, Posting
 from tallyhouse.plans.documents import replace_documents, soft_delete
 from tallyhouse.plans.indents import transition_indents
 from tallyhouse.plans.masters import upsert_master
+from tallyhouse.plans import stock as post_stock
 from tallyhouse.plans.stock import post_movements, post_receipts
 from tallyhouse.sources import star_batches as forms
 from tallyhouse.sources.star import star_tables
@@ -362,3 +364,24 @@ def test_history_reads_the_months_asked_for(store, D):
 
 def test_levels_of_stored_tables(store, D):
     assert Counter(records(stock.ledger_level(store.tables()))) == Counter(records(stock.ledger_level(D)))
+
+
+def test_a_posting_reads_its_batch_from_files(spark, monkeypatch):
+    """The forms and lines of a receipt batch are derived once, not by every step that reads them."""
+    seen = []
+    post = post_stock.post_receipts
+
+    def watched(D, batch, as_of):
+        seen.extend([*batch.heads.inputFiles(), *batch.lines.inputFiles()])
+        return post(D, batch, as_of)
+
+    monkeypatch.setattr(post_stock, "post_receipts", watched)
+    entry.queries()["stored_receipts_lines"](spark, SF_DIR).count()
+    assert seen and all("/staging-" in f for f in seen)
+
+
+def test_staged_frames_are_removed(store, D):
+    with store.staged(D.vendor, D.stock_update) as (vendors, moves):
+        assert multiset(vendors) == multiset(D.vendor) and multiset(moves) == multiset(D.stock_update)
+        assert any(n.startswith("staging-") for n in store._names(store.root))
+    assert not any(n.startswith("staging-") for n in store._names(store.root))
