@@ -49,6 +49,7 @@ KEYS = {
 HEAD_OF = {name: name.replace("_tran", "_head") for name in DDL if name.endswith("_tran")}
 ALL = "all"
 LEDGER, LEVELS = "stock_update", "stock_levels"
+KEYS_ASKED = "keys"
 #: What Spark names the folder of rows without a month.
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
@@ -182,10 +183,14 @@ class Store:
 
     def find(self, current: Manifest, table: str, keys: DataFrame, most: int = 1000) -> DataFrame:
         """The rows of company 1 whose key is in ``keys``. Up to ``most`` keys go to the scan as equalities, which
-        Parquet checks against the limits and Bloom filters of row groups; more are joined."""
+        Parquet checks against the limits and Bloom filters of row groups; more are joined. The keys are kept as a
+        file until ``expire``: they are derived once, and the size of the file lets Spark broadcast a short list."""
         key = KEYS[table]
         rows = self.rows(current, table).filter("company = 1")
-        wanted = keys.select(F.col(key).cast(schema(table)[key].dataType)).dropna().distinct()
+        asked = keys.select(F.col(key).cast(schema(table)[key].dataType)).dropna().distinct()
+        folder = f"{self.root}/{KEYS_ASKED}/{uuid.uuid4().hex}"
+        asked.write.parquet(folder)
+        wanted = self.spark.read.schema(asked.schema).parquet(folder)
         listed = [k for (k,) in wanted.limit(most + 1).collect()]
         if len(listed) > most:
             return conform(rows.join(wanted, key, "left_semi"), table)
@@ -375,8 +380,9 @@ class Store:
         return following
 
     def expire(self, keep: int) -> None:
-        """Removes all but the last ``keep`` versions and the data folders that no other lists. For times
-        without writers: a commit on its way is not listed yet."""
+        """Removes all but the last ``keep`` versions and the data folders that no other lists, and the keys
+        of lookups. For times without writers and lookups: a commit on its way is not listed yet."""
+        self._delete(f"{self.root}/{KEYS_ASKED}")
         versions = self.versions()
         kept = [self.manifest(v) for v in versions[-keep:]]
         for name in {n for v in versions for n in self.manifest(v).derived}:

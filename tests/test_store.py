@@ -385,3 +385,12 @@ def test_staged_frames_are_removed(store, D):
         assert multiset(vendors) == multiset(D.vendor) and multiset(moves) == multiset(D.stock_update)
         assert any(n.startswith("staging-") for n in store._names(store.root))
     assert not any(n.startswith("staging-") for n in store._names(store.root))
+
+
+def test_many_keys_are_derived_once_and_a_short_list_is_broadcast(spark, store):
+    found = store.find(store.manifest(), PURCHASE.tran, spark.range(2, 9).toDF("po_no"), most=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "/keys/" in "".join(found.inputFiles()) and "Range" not in plan
+    assert sorted(r.po_no for r in found.collect()) == sorted([*range(2, 9)] * 2)
+    store.expire(1)
+    assert not store._names(f"{store.root}/keys")
