@@ -27,12 +27,13 @@ def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
-def split_buckets(df: DataFrame, keys: list[str], segment: list[str]) -> DataFrame:
+def split_buckets(df: DataFrame, keys: list[str], segment: list[str], *measures: Column) -> DataFrame:
     """The hash buckets of keys that hold more than ``MOST`` rows: at most ``BUCKETS`` numbers, from partial
     counts. A bucket with a NULL key is listed as well, its segments are totalled apart; so is a NULL in one
-    of several segment columns. A single one is no case apart: its NULL rows come first anyway."""
-    parts = [*keys, *(segment if len(segment) > 1 else [])]
-    blank = reduce(Column.__or__, [F.col(c).isNull() for c in parts])
+    of several segment columns, or in a measure, which leaves the total open up to the segment's first value.
+    A single segment column is no case apart: its NULL rows come first anyway."""
+    parts = [F.col(c) for c in (*keys, *(segment if len(segment) > 1 else []))]
+    blank = reduce(Column.__or__, [c.isNull() for c in (*parts, *measures)])
     return (
         df.groupBy(_bucket(keys))
         .agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(blank).alias("_blank"))
@@ -60,7 +61,7 @@ def running_totals(
     so spread over as many tasks as it has segments. All other keys are windowed whole. Where the
     result does not use the measures, Catalyst removes the joins and the windows.
     """
-    split = F.broadcast(split_buckets(df, keys, segment))
+    split = F.broadcast(split_buckets(df, keys, segment, *measures.values()))
     placed = df.withColumn("_bucket", _bucket(keys))
     marked = placed.join(split, "_bucket", "left")
     parts = [*keys, *[f"_of_{s}" for s in segment]]

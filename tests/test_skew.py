@@ -72,6 +72,13 @@ def test_running_totals_with_null_keys_and_segments(spark):
     assert {r.id: r.n for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: 3}
 
 
+def test_a_segment_without_values_has_no_running_total(spark):
+    rows = [(7, 1, 1, 5), (7, 2, 2, None), (7, 2, 3, 4), (8, 1, 4, 6)]
+    df = spark.createDataFrame(rows, "k int, day int, id int, v int")
+    got = running_totals(df, ["k"], ["day"], ["day", "id"], total=F.col("v"))
+    assert {r.id: r.total for r in got.collect()} == {1: 5, 2: None, 3: 9, 4: 6}
+
+
 def test_top_n_is_cut_before_the_shuffle(spark):
     data, df = hot_rows(spark)
     top = top_n_per(df, ["k"], newest("v", "id"), 3)
