@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.functions.joins import with_per_key
+from tallyhouse.functions.joins import of_heads, with_per_key
 from tallyhouse.functions.ordering import running_totals
 from tallyhouse.functions.predicates import scoped
 from tallyhouse.tables import Tables
@@ -19,9 +19,14 @@ SPAN = 1_000_000
 
 
 def running(rows: DataFrame, order: str, name: str, measure: Column) -> DataFrame:
-    """Adds ``name``, the sum of ``measure`` up to and with each row, by the unique whole number ``order``."""
-    placed = rows.withColumns(
-        {"_block": F.expr(f"{order} div {SPAN}"), "_region": F.expr(f"{order} div {SPAN * SPAN}")}
+    """Adds ``name``, the sum of ``measure`` up to and with each row, by the unique whole number ``order``;
+    rows without one are left out. The joins on blocks and regions add no NULL filter, as neither can be NULL:
+    so what counts the rows is the same in all branches, and Spark derives the rows below its exchange once."""
+    placed = rows.filter(F.col(order).isNotNull()).withColumns(
+        {
+            "_block": F.expr(f"coalesce({order} div {SPAN}, 0)"),
+            "_region": F.expr(f"coalesce({order} div {SPAN * SPAN}, 0)"),
+        }
     )
     keys = ["_region", "_block"]
     totals = placed.groupBy(*keys).agg(F.sum(measure).alias("_sum"))
@@ -70,18 +75,24 @@ def assign_numbers(rows: DataFrame, order: str, number: str, *existing: DataFram
 
 
 def assign_line_numbers(
-    lines: DataFrame, form: str, position: str, number: str, *existing: DataFrame
+    lines: DataFrame, form: str, position: str, number: str, *existing: DataFrame, forms: DataFrame | None = None
 ) -> DataFrame:
     """The same for lines, by form and position in it (unique together): the lines of all forms before, plus
-    the place in the own form. A form with a third of all lines is spread over blocks of positions."""
+    the place in the own form. A form with a third of all lines is spread over blocks of positions.
+
+    With ``forms`` (one row a form) only their lines are numbered, with the forms' columns. They meet the
+    sizes of the forms, one row to one row, and the lines just once, with the opening numbers."""
     sizes = lines.groupBy(form).agg(F.count(F.lit(1)).alias("_size"))
-    opening = running(sizes, form, "_upto", F.col("_size")).select(
-        form, (F.col("_upto") - F.col("_size")).alias("_before")
-    )
+    if forms is not None:
+        sizes = sizes.join(forms, form)
+    opening = running(sizes, form, "_upto", F.col("_size")).withColumn(
+        "_before", F.col("_upto") - F.col("_size")
+    ).drop("_size", "_upto")
     blocks = lines.withColumn("_block", F.expr(f"{position} div {SPAN}"))
     placed = running_totals(blocks, [form], ["_block"], [position], _place=F.lit(1))
+    join = with_per_key if forms is None else of_heads
     return (
-        with_per_key(placed, opening, [form])
+        join(placed, opening, [form])
         .withColumn(number, highest(*existing) + F.col("_before") + F.col("_place"))
         .drop("_block", "_before", "_place")
     )

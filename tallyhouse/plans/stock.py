@@ -63,8 +63,7 @@ def post_receipts(D: Tables, batch: Batch, as_of: dt.date) -> Posting:
     def movements() -> DataFrame:
         existing = numbers_of(D, "stock_update", "update_id")
         dates = accepted(checked).select("submission_id", F.col("grn_date").alias("grn_dt"))
-        rows = lines.join(dates, "submission_id")
-        return assign_line_numbers(rows, "submission_id", "rowid", "update_id", existing).select(
+        return assign_line_numbers(lines, "submission_id", "rowid", "update_id", existing, forms=dates).select(
             "update_id",
             F.col("partnum").alias("part_num"),
             F.lit("IN").alias("type"),

@@ -65,6 +65,24 @@ def test_lines_are_numbered_by_form_and_position(spark, monkeypatch, span):
     assert sorted(records(numbered, "s", "p", "n")) == [(*x, 99 + i) for i, x in enumerate(lines, 1)]
 
 
+@pytest.mark.parametrize("span", [3, 1_000_000])
+def test_only_lines_of_the_given_forms_are_numbered(spark, monkeypatch, span):
+    monkeypatch.setattr(numbering, "SPAN", span)
+    lines = [(s, p) for s in (1, 5, 6, 90, None) for p in range(1, 9)]
+    forms = spark.createDataFrame([(90, "c"), (1, "a"), (6, "b"), (7, "no line"), (None, "no key")], "s long, of string")
+    rows = spark.createDataFrame(lines, "s long, p int").repartition(4)
+    numbered = assign_line_numbers(rows, "s", "p", "n", spark.range(100), forms=forms)
+    want = [(s, p, of, 100 + 8 * i + k) for i, (s, of) in enumerate([(1, "a"), (6, "b"), (90, "c")]) for k, p in enumerate(range(1, 9))]
+    assert sorted(records(numbered, "s", "p", "of", "n")) == want
+
+
+def test_numbering_derives_its_rows_once(spark):
+    rows = spark.range(0, 900, 1, 4).selectExpr("id % 300 as k").distinct()
+    numbered = numbering.running(rows, "k", "n", F.lit(1))
+    assert "isnotnull((k" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(records(numbered, "k", "n")) == [(k, k + 1) for k in range(300)]
+
+
 def test_numbers_of_an_empty_batch(spark):
     assert assign_numbers(spark.range(0), "id", "n", spark.range(0)).count() == 0
 
