@@ -1,8 +1,9 @@
 """Monthly sums of stored documents, and history summaries made from them.
 
 A month is summed on two levels: per partner (documents, lines, quantity, value), and per partner, part and
-block of document numbers. The second one lists which numbers of its block it has, so the distinct
-documents under any part filter are counted exactly: the numbers of a block are merged as a bitmap.
+block of 64 document numbers. The second one has a bit for each number of its block, so the distinct
+documents under any part filter are counted exactly: the bits of a block are merged by OR. Bits, counts and
+sums are of fixed size and added in hash aggregates, so no list is sorted or gathered.
 A document lies in one month and has one partner, so sums and counts of months add up.
 
 A summary takes whole months of its date range from the sums, and scans lines for the days at the edges and for
@@ -26,7 +27,7 @@ from tallyhouse.sources.store import NO_MONTH, Manifest, Store
 TOTAL = "decimal(38,2)"
 PARTY = f"company int, party bigint, documents bigint, lines bigint, quantity {TOTAL}, amount {TOTAL}"
 PART = (
-    "company int, party bigint, partnum bigint, block bigint, positions array<bigint>, lines bigint,"
+    "company int, party bigint, partnum bigint, block bigint, bits bigint, lines bigint,"
     f" quantity {TOTAL}, amount {TOTAL}"
 )
 
@@ -60,17 +61,15 @@ def keep_sums(store: Store, kind: DocumentKind) -> Manifest:
         "company", kind.number, F.col(kind.party).alias("party"), "month"
     )
     lines = store.rows(current, kind.tran, months).filter("active")
-    bought = lines.groupBy("company", kind.number, "partnum").agg(
-        F.count(F.lit(1)).alias("lines"), *_sums()
-    )
-    number = F.col(kind.number)
-    rows = of_heads(bought, heads, ["company", kind.number])
-    per_part = rows.groupBy(
-        "month", "company", "party", "partnum", F.bitmap_bucket_number(number).alias("block")
-    ).agg(
-        F.collect_set(F.bitmap_bit_position(number)).alias("positions"),
-        F.sum("lines").alias("lines"),
-        *_sums(),
+    bought = lines.select("company", kind.number, "partnum", "quantity", "amount")
+    per_part = (
+        of_heads(bought, heads, ["company", kind.number])
+        .groupBy("month", "company", "party", "partnum", F.shiftright(kind.number, 6).alias("block"))
+        .agg(
+            F.bit_or(F.expr(f"shiftleft(1L, cast({kind.number} & 63 as int))")).alias("bits"),
+            F.count(F.lit(1)).alias("lines"),
+            *_sums(),
+        )
     )
     per_document = lines.groupBy("company", kind.number).agg(
         F.count(F.lit(1)).alias("lines"), *_sums()
@@ -146,14 +145,8 @@ def stored_summary(
         sums = sums.join(parties, ["company", "party"], "left_semi")
     if wanted_part is not None:
         sums = sums.join(parts_with_unit(D).filter(wanted_part), ["company", "partnum"], "left_semi")
-        documents = (
-            sums.select("block", F.explode("positions").alias("position"))
-            .groupBy("block")
-            .agg(F.bitmap_count(F.bitmap_construct_agg("position")).alias("documents"))
-        )
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("lines", "bigint"), ("quantity", TOTAL), ("amount", TOTAL))]
-        sums = sums.select(F.lit(0).cast("bigint").alias("documents"), "lines", "quantity", "amount").unionByName(
-            documents.select("documents", *none)
+        sums = sums.groupBy("block").agg(
+            F.bit_count(F.bit_or("bits")).cast("bigint").alias("documents"), F.sum("lines").alias("lines"), *_sums()
         )
     edges = matching_documents(D, kind, party=party, part=part, date_from=date_from, date_to=date_to)
     edges = edges.select(F.lit(1).cast("bigint").alias("documents"), "lines", "quantity", "amount")

@@ -52,6 +52,12 @@ def test_only_edge_months_are_scanned(stored):
     assert read(edges) == {"1996-01", "1997-12"}
 
 
+def test_documents_under_a_part_filter_are_counted_by_hash_aggregates(stored):
+    store, _ = stored
+    plan = stored_summary(store, store.manifest(), SALES, part="bolt")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_changed_months_are_scanned_until_they_are_summed(spark, tables, tmp_path):
     D = tables(
         part=[{"part_num": 1, "part_desc": "bolt"}, {"part_num": 2, "part_desc": "nut"}],
