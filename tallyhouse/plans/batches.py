@@ -79,10 +79,11 @@ def explode_batch(forms: DataFrame) -> Batch:
 
 
 def filled(*columns: str) -> Column:
-    """True when all the text fields are present and not empty."""
+    """True when all the text fields are present and not empty, for filters: NULL where one is NULL. A field
+    is mostly a cast or a CASE, which a filter works out anew for each test, so there is one test a field."""
     result = F.lit(True)
     for c in columns:
-        result = result & F.col(c).isNotNull() & (F.col(c) != "")
+        result = result & (F.col(c) != "")
     return result
 
 

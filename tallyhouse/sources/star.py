@@ -187,8 +187,9 @@ class _Star:
         )
 
     def purchase_order_head(self) -> DataFrame:
+        # The month of the first day is the first of the months: it is taken once an order, not once a line.
         heads = self.purchase_lines().groupBy("po").agg(
-            F.min(F.trunc(F.col("l_shipdate").cast("date"), "month")).alias("opened"),
+            F.trunc(F.min("l_shipdate").cast("date"), "month").alias("opened"),
             F.min("l_suppkey").alias("supplier"),
         )
         return _rows(

@@ -39,6 +39,10 @@ def test_row_positions_are_not_computed_when_unused(spark):
     assert "Window" not in text
 
 
+def test_the_month_of_an_order_is_taken_once_an_order(spark):
+    assert "partial_min(l_shipdate" in plan(star_tables(spark, SF_DIR).purchase_order_head)
+
+
 def test_pending_receipts_use_an_anti_join(spark):
     assert "LeftAnti" in plan(dashboard.pending_grns(star_tables(spark, SF_DIR)))
 
