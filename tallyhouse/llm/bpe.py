@@ -12,25 +12,31 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tallyhouse.llm.packed import slices
+from tallyhouse.llm.packed import TEXT_BYTES, TOGETHER, Words, joined, slices
 from tallyhouse.llm.shared import Memory, release, small_batches
 
+ID_BITS, NONE = 20, 1 << 60
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class Encoder:
+class Encoder(Words):
     """Encodes and decodes by a BPE tokenizer file with word ends (``end_of_word_suffix``).
 
     ``most`` bounds the remembered words, pre-tokens and fragments, each on its own.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
+        super().__init__(most)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,17 +50,23 @@ class Encoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.merges = {
-            tuple(m if isinstance(m, list) else m.split(" ")): (rank, "".join(m if isinstance(m, list) else m.split(" ")))
-            for rank, m in enumerate(model["merges"])
-        }
+        # Pairs and merges as numbers: (left id, right id) to (rank, id of the two).
+        self.merges: dict[int, int] = {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            pair = self.vocab[left] << ID_BITS | self.vocab[right]
+            self.merges[pair] = rank << ID_BITS | self.vocab[left + right]
         self.inside = set()
         for t in self.vocab:
             symbols = self.symbols(t.removesuffix(self.end), t.endswith(self.end))
             self.inside.update(zip(symbols, symbols[1:]))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.words, self.pre, self.fragments = Memory(most), Memory(most), Memory(most)
+        self.pre, self.fragments = Memory(most), Memory(most)
         self.split_ascii = self._ascii_splitter(spec)
+        self.probe(self.encode)
+        every = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        self.as_text = pa.array(map(str, range(len(every))), pa.large_string())
+        self.as_token = pa.array(every, pa.large_string())
 
     def _ascii_splitter(self, spec: dict):
         """The file's own pattern as a function for printable ASCII words, if splitting by it is all that the
@@ -75,6 +87,8 @@ class Encoder:
 
     def fragments_of(self, symbols: list[str]) -> list[tuple[str, ...]]:
         """``symbols`` cut wherever the pair occurs inside no token."""
+        if self.inside.issuperset(zip(symbols, symbols[1:])):
+            return [tuple(symbols)]
         out, first = [], 0
         for i in range(1, len(symbols)):
             if (symbols[i - 1], symbols[i]) not in self.inside:
@@ -85,21 +99,20 @@ class Encoder:
 
     def merge(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """Ids of one fragment: the lowest merge first, the leftmost of equals."""
-        parts, merges = list(fragment), self.merges
-        none = (1 << 60, "")
-        ranks = [merges.get(pair, none) for pair in zip(parts, parts[1:])]
+        parts, merged = [self.vocab.get(s, -1) for s in fragment], self.merges.get
+        ranks = [merged(a << ID_BITS | b, NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
-            if best is none:
+            if best == NONE:
                 break
             i = ranks.index(best)
-            parts[i : i + 2] = [best[1]]
-            del ranks[i]
+            parts[i] = new = best & (1 << ID_BITS) - 1
+            del parts[i + 1], ranks[i]
             if i > 0:
-                ranks[i - 1] = merges.get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = merged(parts[i - 1] << ID_BITS | new, NONE)
             if i < len(ranks):
-                ranks[i] = merges.get((parts[i], parts[i + 1]), none)
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+                ranks[i] = merged(new << ID_BITS | parts[i + 1], NONE)
+        return tuple(p for p in parts if p >= 0)
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
@@ -109,14 +122,17 @@ class Encoder:
         else:
             parts = [p for p, _ in self.pre_tokens(self.normalise(text))]
         for pre in parts:
-            got = self.pre.get(pre)
-            if got is None:
-                got = self.pre_token(pre)
-                self.pre.put(pre, got)
-            ids += got
+            ids += self.pre_token(pre)
         return ids
 
     def pre_token(self, pre: str) -> tuple[int, ...]:
+        got = self.pre.get(pre)
+        if got is None:
+            got = self._merged(pre)
+            self.pre.put(pre, got)
+        return got
+
+    def _merged(self, pre: str) -> tuple[int, ...]:
         fragments = self.fragments_of(self.symbols(pre, True))
         if len(fragments) == 1:
             return self.merge(fragments[0])
@@ -138,31 +154,49 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.token[i] for i in ids)
 
-    def word(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, decoded) of a word, remembered."""
-        got = self.words.get(text)
-        if got is None:
-            ids = self.encode(text)
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            self.words.put(text, got)
-        return got
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters go through the normaliser and the pre-tokenizer many in a call, if the places of the
+        pre-tokens show that each is one."""
+        ascii_too = self.split_ascii is not None
+        letters, alone = [], []
+        for w in words:
+            if not w.isalpha():
+                alone.append(w)
+            elif ascii_too and w.isascii():
+                yield w, _packed(self.pre_token(w.lower()))
+            else:
+                letters.append(w)
+        for i in range(0, len(letters), TOGETHER):
+            some = letters[i : i + TOGETHER]
+            normal = self.normalise(" ".join(some))
+            found = self.pre_tokens(normal)
+            ends = list(accumulate(len(w) + 1 for w in normal.split(" ")))
+            spans = [(a, b - 1) for a, b in zip([0, *ends], ends)]
+            if len(spans) == len(some) and spans == [span for _, span in found]:
+                for w, (pre, _) in zip(some, found):
+                    yield w, _packed(self.pre_token(pre))
+            else:
+                alone += some
+        for w in alone:
+            yield w, _packed(self.encode(w))
+
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of each text the number of ids and the SHA-256 of the ids as text and of the decoded text."""
+        ids, begins = self.flat(texts)
+        shas = []
+        for words in (self.as_text, self.as_token):
+            lists = pa.ListArray.from_arrays(begins.astype(np.int32), words.take(pa.array(ids)))
+            joined = pc.binary_join(lists, pa.scalar(" ", words.type))
+            shas.append([hashlib.sha256(t.as_buffer()).hexdigest() for t in joined.cast(pa.large_binary())])
+        return np.diff(begins).tolist(), *shas
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids and the SHA-256 of the ids as text and of the decoded text.
-
-        Tab, line feed, carriage return and space end a word in every text.
-        """
-        known, word = self.words.new.get, self.word
-        parts = [
-            p
-            for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if (p := known(w) or word(w))[0]
-        ]
-        return (
-            sum(p[0] for p in parts),
-            hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(),
-            hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest(),
-        )
+        n, ids, decoded = self.digests(pa.array([text], pa.string()))
+        return n[0], ids[0], decoded[0]
+
+
+def _packed(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -201,9 +235,8 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for batch in slices(batches, 1):
-            got = [e.digest(t or "") for t in batch.column(1).to_pylist()]
-            n, ids, decoded = zip(*got)
+        for batch in slices(joined(batches), 1, 4 * TEXT_BYTES):
+            n, ids, decoded = e.digests(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
