@@ -13,7 +13,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -32,11 +32,13 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Encoder(Words):
     """Encodes and decodes by a BPE tokenizer file with word ends (``end_of_word_suffix``).
 
-    ``most`` bounds the remembered words, pre-tokens and fragments, each on its own.
+    ``most`` bounds the kept words, pre-tokens and fragments, each on its own. Few words without their marks
+    are remembered, as their pre-tokens are.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__(most)
+        self.known = Memory(most // 8)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,8 +99,8 @@ class Encoder(Words):
         out.append(tuple(symbols[first:]))
         return out
 
-    def merge(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
-        """Ids of one fragment: the lowest merge first, the leftmost of equals."""
+    def merge(self, fragment: tuple[str, ...]) -> bytes:
+        """Ids, as bytes, of one fragment: the lowest merge first, the leftmost of equals."""
         parts, merged = [self.vocab.get(s, -1) for s in fragment], self.merges.get
         ranks = [merged(a << ID_BITS | b, NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
@@ -112,44 +114,45 @@ class Encoder(Words):
                 ranks[i - 1] = merged(parts[i - 1] << ID_BITS | new, NONE)
             if i < len(ranks):
                 ranks[i] = merged(new << ID_BITS | parts[i + 1], NONE)
-        return tuple(p for p in parts if p >= 0)
+        ids = [p for p in parts if p >= 0]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        ids: list[int] = []
+    def piece(self, text: str) -> bytes:
+        """Ids, as bytes, of a text without special tokens."""
         if self.split_ascii and text.isascii() and text.isprintable() and " " not in text:
             parts = self.split_ascii(text.lower())
         else:
             parts = [p for p, _ in self.pre_tokens(self.normalise(text))]
-        for pre in parts:
-            ids += self.pre_token(pre)
-        return ids
+        return b"".join(map(self.pre_token, parts))
 
-    def pre_token(self, pre: str) -> tuple[int, ...]:
+    def pre_token(self, pre: str) -> bytes:
         got = self.pre.get(pre)
         if got is None:
             got = self._merged(pre)
             self.pre.put(pre, got)
         return got
 
-    def _merged(self, pre: str) -> tuple[int, ...]:
+    def _merged(self, pre: str) -> bytes:
         fragments = self.fragments_of(self.symbols(pre, True))
         if len(fragments) == 1:
             return self.merge(fragments[0])
-        ids: list[int] = []
+        ids = []
         for fragment in fragments:
             got = self.fragments.get(fragment)
             if got is None:
                 got = self.merge(fragment)
                 self.fragments.put(fragment, got)
-            ids += got
-        return tuple(ids)
+            ids.append(got)
+        return b"".join(ids)
+
+    def _bytes_of(self, text: str) -> bytes:
+        return b"".join(
+            struct.pack("<I", self.special[part]) if part in self.special else self.piece(part)
+            for part in self.specials.split(text)
+        )
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.specials.split(text):
-            ids += [self.special[part]] if part in self.special else self.piece(part)
-        return ids
+        return np.frombuffer(self._bytes_of(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.token[i] for i in ids)
@@ -163,7 +166,7 @@ class Encoder(Words):
             if not w.isalpha():
                 alone.append(w)
             elif ascii_too and w.isascii():
-                yield w, _packed(self.pre_token(w.lower()))
+                yield w, self.pre_token(w.lower())
             else:
                 letters.append(w)
         for i in range(0, len(letters), TOGETHER):
@@ -174,11 +177,11 @@ class Encoder(Words):
             spans = [(a, b - 1) for a, b in zip([0, *ends], ends)]
             if len(spans) == len(some) and spans == [span for _, span in found]:
                 for w, (pre, _) in zip(some, found):
-                    yield w, _packed(self.pre_token(pre))
+                    yield w, self.pre_token(pre)
             else:
                 alone += some
         for w in alone:
-            yield w, _packed(self.encode(w))
+            yield w, self._bytes_of(w)
 
     def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """Of each text the number of ids and the SHA-256 of the ids as text and of the decoded text."""
@@ -195,10 +198,6 @@ class Encoder(Words):
         return n[0], ids[0], decoded[0]
 
 
-def _packed(ids: Sequence[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -235,7 +234,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for batch in slices(joined(batches), 1, 4 * TEXT_BYTES):
+        for batch in slices(joined(batches, 2 * TEXT_BYTES), 1, 2 * TEXT_BYTES):
             n, ids, decoded = e.digests(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
