@@ -109,3 +109,17 @@ def test_id_edges(documents):
         (str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got
     ) == sorted((str(w[0]), w[2], w[3]) for w in want)
     assert packed.op4_packed_ids(documents([]), WORD_BPE).collect() == []
+
+
+def test_files_of_many_small_batches(documents, monkeypatch):
+    """Texts of several batches are encoded together; places, counts and the end id stay those of each document."""
+    rows = [(i, None if i % 7 == 0 else f"word{i % 5}, größe{i}\n" * (i % 4)) for i in range(40)]
+    docs = documents(rows)
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    try:
+        got = [tuple(r) for r in packed.op4_packed_ids(docs, WORD_BPE).orderBy("start").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert got == expected_ids(rows)
