@@ -294,9 +294,10 @@ def _stored_deletions(D: Tables) -> Tables:
         F.col("customer_code").alias("customer")
     )
     keys = D.sales_invoice_head.join(inactive, "customer", "left_semi").select("inv_no")
-    near = store.around(base, SI.head, keys)
-    posting = post_docs.soft_delete(near, "sales", keys, AS_OF)
-    return store.tables(store.commit(posting, "deletions", base))
+    with store.listed(keys) as listed:
+        near = store.around(base, SI.head, listed)
+        posting = post_docs.soft_delete(near, "sales", listed, AS_OF)
+        return store.tables(store.commit(posting, "deletions", base))
 
 
 def _stored_receipts(D: Tables) -> Tables:

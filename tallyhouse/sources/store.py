@@ -187,15 +187,29 @@ class Store:
         file until ``expire``: they are derived once, and the size of the file lets Spark broadcast a short list."""
         key = KEYS[table]
         rows = self.rows(current, table).filter("company = 1")
-        asked = keys.select(F.col(key).cast(schema(table)[key].dataType)).dropna().distinct()
-        folder = f"{self.root}/{KEYS_ASKED}/{uuid.uuid4().hex}"
-        asked.write.parquet(folder)
-        wanted = self.spark.read.schema(asked.schema).parquet(folder)
+        asked = keys.select(F.col(key).cast(schema(table)[key].dataType)).dropna()
+        wanted = self._listed(asked, f"{self.root}/{KEYS_ASKED}/{uuid.uuid4().hex}")
         listed = [k for (k,) in wanted.limit(most + 1).collect()]
         if len(listed) > most:
             return conform(rows.join(wanted, key, "left_semi"), table)
         return conform(rows.filter(_any([F.col(key) == k for k in sorted(listed)])), table)
 
+    def _listed(self, keys: DataFrame, folder: str) -> DataFrame:
+        """Distinct keys as files, derived once. Sorted and packed they take a few bytes a key, and Spark knows that
+        size before a join: lines stay where they are as long as the keys are short enough to broadcast."""
+        distinct = keys.distinct()
+        distinct.sortWithinPartitions(*reversed(keys.columns)).write.option("compression", "zstd").parquet(folder)
+        return self.spark.read.schema(distinct.schema).parquet(folder)
+
+    @contextmanager
+    def listed(self, keys: DataFrame) -> Iterator[DataFrame]:
+        """Distinct keys as files for the time of a posting that joins them with heads and lines."""
+        folder = f"{self.root}/staging-{uuid.uuid4().hex}"
+        try:
+            yield self._listed(keys, folder)
+        finally:
+            self._delete(folder)
+
     def months_of(self, manifest: Manifest, table: str, keys: DataFrame) -> list[str]:
         """Months of ``table`` (heads, ledger or masters) that hold one of ``keys`` (company, key)."""
         hit = self.rows(manifest, table).join(keys, ["company", KEYS[table]], "left_semi")
@@ -247,10 +261,9 @@ class Store:
         return rows.withColumn("month", F.lit(ALL))
 
     def _replaced(
-        self, base: Manifest, table: str, new: DataFrame, touched: list[str]
+        self, base: Manifest, table: str, new: DataFrame, keys: DataFrame, touched: list[str]
     ) -> DataFrame:
-        """The rows of the touched months without those whose key is in ``new``, and ``new``."""
-        keys = new.select("company", KEYS[table]).distinct()
+        """The rows of the touched months without those whose key is in ``keys``, and ``new``."""
         kept = self.rows(base, table, touched).join(keys, ["company", KEYS[table]], "left_anti")
         return kept.unionByName(new)
 
@@ -279,13 +292,14 @@ class Store:
                     path = f"{staging}/{table}"
                     conform(posting.changed[table], table).write.parquet(path)
                     changed = self.spark.read.schema(schema(table)).parquet(path)
+                    keys = self._listed(changed.select("company", KEYS[table]), f"{staging}/{table}-keys")
                     if table in HEAD_OF:
                         touched = months_touched.get(HEAD_OF[table], [])
                     else:
-                        touched = self.months_of(base, table, changed.select("company", KEYS[table]).distinct())
+                        touched = self.months_of(base, table, keys)
                     months_touched[table] = touched
                     changed = self._with_month(changed, table, heads.get(HEAD_OF.get(table)))
-                    new.append(self._replaced(base, table, changed, touched))
+                    new.append(self._replaced(base, table, changed, keys, touched))
                 new[0] = new[0] if "month" in new[0].columns else self._with_month(
                     new[0], table, heads.get(HEAD_OF.get(table))
                 )

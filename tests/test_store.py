@@ -394,3 +394,24 @@ def test_many_keys_are_derived_once_and_a_short_list_is_broadcast(spark, store):
     assert sorted(r.po_no for r in found.collect()) == sorted([*range(2, 9)] * 2)
     store.expire(1)
     assert not store._names(f"{store.root}/keys")
+
+
+def test_keys_of_a_posting_are_short_enough_to_leave_lines_where_they_are(spark, store):
+    """The keys, made by a join of unknown size, are met by lines without a shuffle of the lines."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], 20_000)
+    spark.conf.set(names[1], False)
+    try:
+        made = spark.range(3000).toDF("po_no").join(spark.range(0, 3000, 3).toDF("po_no"), "po_no")
+        lines = spark.range(0, 30_000).select(F.lit(1).alias("company"), (F.col("id") % 3000).alias("po_no"))
+        keys = made.unionByName(made).select(F.lit(1).alias("company"), "po_no")
+        with store.listed(keys) as listed:
+            kept = lines.join(listed, ["company", "po_no"], "left_anti")
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+            assert listed.count() == 1000 and kept.count() == 20_000
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert not [n for n in store._names(store.root) if n.startswith("staging-")]
