@@ -34,8 +34,8 @@ from tallyhouse.llm.shared import UPPER, release, small_batches, staged
 LONGEST = 4
 SHARES = 32
 #: Places of a block, places held by a task before it writes its blocks, bytes of text split at once, places a
-#: deal of phrases stands for.
-PLACES, HELD, SLICE, DEAL = 1 << 19, 1 << 20, 1 << 20, 1 << 20
+#: deal of phrases stands for. A block sends a phrase once, so few large blocks send less than many small ones.
+PLACES, HELD, SLICE, DEAL = 1 << 20, 1 << 22, 1 << 20, 1 << 20
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BREAK = b"."

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_cases import EDGES, SF_DIR
 from tallyhouse.llm import phrases
@@ -91,3 +92,11 @@ def test_frequent_phrases_of_a_shuffled_join(spark):
         check(spark.createDataFrame(rows, "lang string, text string"), rows, 2)
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_task_sends_a_phrase_once_a_large_block(spark):
+    """1.5 million words of two languages that alternate are one block each, and their counts are whole."""
+    rows = [(["en", "de"][i % 2], "one two three " * 5000) for i in range(100)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found = phrases.blocks(docs, 1).groupBy("lang").agg(F.count("*"), F.sum("n_words")).collect()
+    assert sorted(tuple(r) for r in found) == [("de", 1, 750_000), ("en", 1, 750_000)]
