@@ -279,7 +279,7 @@ def _store(D: Tables, *names: str) -> tuple[Store, Manifest]:
 def _stored_order_edits(D: Tables) -> Tables:
     """Orders stored, edited in the months that hold an edited order, and read back."""
     store, base = _store(D, PO.head, PO.tran)
-    entered = forms.order_edits(D)
+    entered = forms.order_edits(store.tables(base))
     with store.staged(entered.heads, entered.lines) as files:
         edits = Batch(*files)
         near = store.around(base, PO.head, edits.heads.select(F.col("doc_no").alias("po_no")))

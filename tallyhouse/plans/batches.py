@@ -8,7 +8,7 @@ form has to fit one row; ``explode_batch`` accepts the nested layout as well.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,12 +50,16 @@ class Frames(Mapping):
 class Posting:
     """``added``: rows to append per table; ``state``: full new content of tables in which
     rows changed; ``changed``: of these tables the changed masters, heads or lines of changed
-    documents only, in place of all rows with their key; ``rejects``: submission key and reasons."""
+    documents only, in place of all rows with their key; ``rewritten``: of changed lines that were read from some
+    ``months`` of a store all rows of these months with their ``month``, and the new rows; those of changed documents
+    are marked by ``_hit`` and have the date of their document in ``_dated``."""
 
     rejects: DataFrame
     added: Mapping[str, DataFrame] = field(default_factory=dict)
     state: Mapping[str, DataFrame] = field(default_factory=dict)
     changed: Mapping[str, DataFrame] = field(default_factory=dict)
+    rewritten: Mapping[str, DataFrame] = field(default_factory=dict)
+    months: Mapping[str, Collection[str]] = field(default_factory=dict)
 
     def apply(self, D: Tables) -> Tables:
         """The tables as they are after the posting."""

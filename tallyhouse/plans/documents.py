@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Collection, Mapping
 from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
@@ -45,12 +46,12 @@ def stamped(df: DataFrame, user_column: str, as_of: dt.date) -> DataFrame:
 
 
 def line_rows(
-    lines: DataFrame, heads: DataFrame, kind: DocumentKind, as_of: dt.date
+    lines: DataFrame, heads: DataFrame, kind: DocumentKind, as_of: dt.date, *others: str
 ) -> DataFrame:
-    """Line table rows of the accepted forms; ``heads`` has (submission_id, number,
-    active), one row per form."""
+    """Line table rows of the accepted forms, with the ``others`` of their columns; ``heads`` has (submission_id,
+    number, active), one row per form."""
     return conform(
-        stamped(lines.join(heads, "submission_id"), "createdby", as_of), kind.tran
+        stamped(lines.join(heads, "submission_id"), "createdby", as_of), kind.tran, *others
     )
 
 
@@ -96,8 +97,9 @@ def switched_off(
     rows: DataFrame, keys: DataFrame, on: str, as_of: dt.date | None = None
 ) -> DataFrame:
     """``rows`` with those of company 1 whose key is in ``keys`` (distinct) switched off and
-    marked by ``_hit``."""
-    listed = keys.select(F.lit(1).alias("company"), on, F.lit(True).alias("_hit"))
+    marked by ``_hit``, with the ``_dated`` of their key if it has one."""
+    dated = [c for c in keys.columns if c == "_dated"]
+    listed = keys.select(F.lit(1).alias("company"), on, F.lit(True).alias("_hit"), *dated)
     marked = with_per_key(rows, listed, ["company", on])
     changes = {"active": F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("active"))}
     if as_of is not None:
@@ -106,19 +108,30 @@ def switched_off(
 
 
 def edited(
-    rejects: DataFrame, marked: dict[str, DataFrame], new: dict[str, DataFrame] | None = None
+    rejects: DataFrame,
+    marked: dict[str, DataFrame],
+    new: dict[str, DataFrame] | None = None,
+    months: Mapping[str, Collection[str]] | None = None,
 ) -> Posting:
     """The posting of tables whose changed rows are marked by ``_hit``, and of ``new`` rows that
-    belong to changed documents."""
+    belong to changed documents. Both have ``_dated`` in tables of which just some ``months`` were read."""
+    new, months = new or {}, months or {}
 
     def content(table: str, rows: DataFrame) -> DataFrame:
         old = rows.select(*columns(table))
-        return old.unionByName(new[table]) if new and table in new else old
+        return old.unionByName(new[table].select(*columns(table))) if table in new else old
 
+    def rewritten(table: str) -> DataFrame:
+        added = new[table].withColumns({"month": F.lit(None).cast("string"), "_hit": F.lit(True)})
+        return marked[table].select(*added.columns).unionByName(added)
+
+    cut = [t for t in new if t in months]
     return Posting(
         rejects=rejects,
         state={t: content(t, rows) for t, rows in marked.items()},
         changed={t: content(t, rows.filter("_hit")) for t, rows in marked.items()},
+        rewritten={t: rewritten(t) for t in cut},
+        months={t: months[t] for t in cut},
     )
 
 
@@ -168,17 +181,20 @@ def replace_documents(D: Tables, kind: DocumentKind, batch: Batch, as_of: dt.dat
     heads = merged.withColumns(
         {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new_values.items()}
     )
-    final = last.select(kind.number, F.col("submission_id").alias("last_submission"))
+    dated = F.col("doc_date").alias("_dated")
+    final = last.select(kind.number, F.col("submission_id").alias("last_submission"), dated)
     applied = with_per_key(edits, final, [kind.number]).select(
         "submission_id",
         kind.number,
         (F.col("submission_id") == F.col("last_submission")).alias("active"),
+        "_dated",
     )
-    off = switched_off(kind.lines(D), last, kind.number, as_of)
+    off = switched_off(kind.lines(D), last.select(kind.number, dated), kind.number, as_of)
     return edited(
         rejected(checked, "submission_id"),
         {kind.head: heads, kind.tran: off},
-        {kind.tran: line_rows(lines, applied, kind, as_of)},
+        {kind.tran: line_rows(lines, applied, kind, as_of, "_dated")},
+        D.months,
     )
 
 

@@ -67,13 +67,14 @@ def columns(table: str) -> list[str]:
     return schema(table).names
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Select the columns of ``table`` in order, typed; absent ones become NULL."""
+def conform(df: DataFrame, table: str, *others: str) -> DataFrame:
+    """Select the columns of ``table`` in order, typed; absent ones become NULL. ``others`` follow as they are."""
     have = set(df.columns)
     return df.selectExpr(
         *[
             f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()})"
             f" as `{f.name}`"
             for f in schema(table)
-        ]
+        ],
+        *others,
     )

@@ -50,6 +50,7 @@ HEAD_OF = {name: name.replace("_tran", "_head") for name in DDL if name.endswith
 ALL = "all"
 LEDGER, LEVELS = "stock_update", "stock_levels"
 KEYS_ASKED = "keys"
+PACKED = {"compression": "zstd"}
 #: What Spark names the folder of rows without a month.
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
@@ -198,7 +199,7 @@ class Store:
         """Distinct keys as files, derived once. Sorted and packed they take a few bytes a key, and Spark knows that
         size before a join: lines stay where they are as long as the keys are short enough to broadcast."""
         distinct = keys.distinct()
-        distinct.sortWithinPartitions(*reversed(keys.columns)).write.option("compression", "zstd").parquet(folder)
+        distinct.sortWithinPartitions(*reversed(keys.columns)).write.options(**PACKED).parquet(folder)
         return self.spark.read.schema(distinct.schema).parquet(folder)
 
     @contextmanager
@@ -217,11 +218,17 @@ class Store:
 
     def around(self, manifest: Manifest, head: str, keys: DataFrame) -> Tables:
         """The tables of a version with the documents of ``head`` and their lines cut to the months that hold
-        one of ``keys``: what an edit of these documents has to read."""
-        key = KEYS[head]
+        one of ``keys``: what an edit of these documents has to read. The lines carry their ``month``."""
+        key, tran = KEYS[head], head.replace("_head", "_tran")
         wanted = keys.select(F.lit(1).alias("company"), F.col(key).cast(schema(head)[key].dataType))
         months = self.months_of(manifest, head, wanted)
-        return self.tables(manifest, {head: months, head.replace("_head", "_tran"): months})
+        near = self.tables(manifest, {head: months, tran: months})
+        return Tables(
+            lambda name: conform(self.rows(manifest, tran, months), tran, "month") if name == tran else getattr(near, name),
+            near.marks,
+            near.standing,
+            {tran: months},
+        )
 
     def between(self, manifest: Manifest, date_from=None, date_to=None) -> Tables:
         """The tables of a version with documents, their lines and the ledger cut to the months of an inclusive
@@ -247,7 +254,7 @@ class Store:
             f"parquet.bloom.filter.enabled#{KEYS[table]}": "true",
             "parquet.bloom.filter.adaptive.enabled": "true",
         }
-        ordered.write.options(**bloom).partitionBy("month").parquet(folder)
+        ordered.write.options(**PACKED, **bloom).partitionBy("month").parquet(folder)
         months = [n.removeprefix("month=") for n in self._names(folder) if n.startswith("month=")]
         numbers = self.rows(_of_commit(table, commit, months), table).filter("company = 1").agg(F.max(KEYS[table]))
         return months, numbers.first()[0]
@@ -267,6 +274,13 @@ class Store:
         kept = self.rows(base, table, touched).join(keys, ["company", KEYS[table]], "left_anti")
         return kept.unionByName(new)
 
+    def _rewritten(self, rows: DataFrame, table: str, touched: list[str]) -> DataFrame:
+        """The rows of the touched months as a posting has them, changed ones in the month of their document: lines
+        meet neither the heads nor the changed keys once more."""
+        kept = F.coalesce("month", F.lit(NO_MONTH)).isin(touched)
+        month = F.when(F.col("_hit"), F.date_format("_dated", "yyyy-MM")).otherwise(F.col("month"))
+        return conform(rows.filter(F.col("_hit") | kept).withColumn("month", month), table, "month")
+
     def commit(self, posting: Posting, batch: str, base: Manifest) -> Manifest:
         """Saves a posting that was built on version ``base``: added rows beside the old ones, changed
         rows in place of those with their key. A batch that is already saved changes nothing. Raises
@@ -288,15 +302,16 @@ class Store:
                 new, touched = [], []
                 if table in posting.added:
                     new.append(conform(posting.added[table], table))
-                if table in posting.changed:
+                months = months_touched.get(HEAD_OF.get(table), [])
+                if table in posting.rewritten and set(months) <= set(posting.months[table]):
+                    touched = months
+                    new.append(self._rewritten(posting.rewritten[table], table, touched))
+                elif table in posting.changed:
                     path = f"{staging}/{table}"
-                    conform(posting.changed[table], table).write.parquet(path)
+                    conform(posting.changed[table], table).write.options(**PACKED).parquet(path)
                     changed = self.spark.read.schema(schema(table)).parquet(path)
                     keys = self._listed(changed.select("company", KEYS[table]), f"{staging}/{table}-keys")
-                    if table in HEAD_OF:
-                        touched = months_touched.get(HEAD_OF[table], [])
-                    else:
-                        touched = self.months_of(base, table, keys)
+                    touched = months if table in HEAD_OF else self.months_of(base, table, keys)
                     months_touched[table] = touched
                     changed = self._with_month(changed, table, heads.get(HEAD_OF.get(table)))
                     new.append(self._replaced(base, table, changed, keys, touched))
@@ -354,7 +369,7 @@ class Store:
         folder = f"{self.root}/staging-{uuid.uuid4().hex}"
         try:
             for i, rows in enumerate(frames):
-                rows.write.parquet(f"{folder}/{i}")
+                rows.write.options(**PACKED).parquet(f"{folder}/{i}")
             yield [self.spark.read.schema(rows.schema).parquet(f"{folder}/{i}") for i, rows in enumerate(frames)]
         finally:
             self._delete(folder)

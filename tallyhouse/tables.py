@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -15,7 +15,7 @@ class Tables:
     ``Tables(loader)`` asks ``loader(name)`` for a table; ``Tables.of(part=df)``
     holds ready DataFrames. ``marks`` are the highest numbers given out in tables of which they
     are known without reading the rows, ``standing`` gives the movement sums of the ledger where
-    they are kept.
+    they are kept, ``months`` the months to which line tables are cut whose rows carry their ``month``.
     """
 
     def __init__(
@@ -23,10 +23,12 @@ class Tables:
         loader: Callable[[str], DataFrame],
         marks: Mapping[str, int] | None = None,
         standing: Callable[[], DataFrame] | None = None,
+        months: Mapping[str, Collection[str]] | None = None,
     ):
         self._loader = loader
         self.marks = dict(marks or {})
         self.standing = standing
+        self.months = dict(months or {})
 
     @classmethod
     def of(cls, **frames: DataFrame) -> Tables:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from compare import SF_DIR, records, rows
@@ -114,6 +115,27 @@ def test_edits_rewrite_their_months_only(store, D, edit):
     assert reads(store, base) == multiset(D.purchase_order_head)
 
 
+@pytest.mark.parametrize("all_months", [True, False])
+def test_edited_lines_meet_heads_and_keys_once(store, D, edit, monkeypatch, all_months):
+    """Lines come from the posting with their month; from the files if it has not read all touched months."""
+    joined = []
+    for name in ("_with_month", "_replaced"):
+        call = getattr(Store, name)
+        monkeypatch.setattr(Store, name, lambda s, *a, call=call: joined.append(PURCHASE.tran in a) or call(s, *a))
+    batch, base = edit((3, "2024-06-20"), (3, "2024-07-20")), store.manifest()
+    near = store.around(base, PURCHASE.head, D.purchase_order_head.filter("po_no in (3, 4)").select("po_no"))
+    posting = replace_documents(near, PURCHASE, batch, TODAY)
+    if not all_months:
+        posting = replace(posting, months={PURCHASE.tran: ["2024-04"]})
+    after = store.commit(posting, "edits", base)
+    assert any(joined) != all_months
+    assert base.parts[PURCHASE.tran]["2024-04"] == after.parts[PURCHASE.tran]["2024-04"]
+    whole = replace_documents(D, PURCHASE, batch, TODAY)
+    assert multiset(store.tables().purchase_order_tran) == multiset(whole.state[PURCHASE.tran])
+    lines = store.rows(after, PURCHASE.tran).filter("po_no = 3")
+    assert {m for (m,) in lines.select("month").collect()} == {"2024-07"}
+
+
 def reads(store, manifest):
     return multiset(store.tables(manifest).purchase_order_head)
 
